@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Q_NAMES = ["qw", "qx", "qy", "qz"]
 R_NAMES = [f"r{i}{j}" for i in range(3) for j in range(3)]
 
 
@@ -36,24 +37,34 @@ def norm(v) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def rot_to_quat(r: list[Column]) -> list[Column]:
-    """Quaternion from the largest of the trace and the three diagonal entries, normalised."""
-    trace = r[0] + r[4] + r[8]
-    s_w = F.lit(2.0) * F.sqrt(trace + 1.0)
-    s_x = F.lit(2.0) * F.sqrt(F.lit(1.0) + r[0] - r[4] - r[8])
-    s_y = F.lit(2.0) * F.sqrt(F.lit(1.0) + r[4] - r[0] - r[8])
-    s_z = F.lit(2.0) * F.sqrt(F.lit(1.0) + r[8] - r[0] - r[4])
-    on_w, on_x, on_y = trace > 0, (r[0] > r[4]) & (r[0] > r[8]), r[4] > r[8]
+def with_quat(df: DataFrame, r: list[Column] | None = None) -> DataFrame:
+    """Adds the unit quaternion of a rotation, taken from the largest of the trace and the three diagonal entries.
 
-    def pick(w, x, y, z):
-        return F.when(on_w, w).when(on_x, x).when(on_y, y).otherwise(z)
-
-    q = [pick(s_w / 4, (r[7] - r[5]) / s_x, (r[2] - r[6]) / s_y, (r[3] - r[1]) / s_z),
-         pick((r[7] - r[5]) / s_w, s_x / 4, (r[1] + r[3]) / s_y, (r[2] + r[6]) / s_z),
-         pick((r[2] - r[6]) / s_w, (r[1] + r[3]) / s_x, s_y / 4, (r[5] + r[7]) / s_z),
-         pick((r[3] - r[1]) / s_w, (r[2] + r[6]) / s_x, (r[5] + r[7]) / s_y, s_z / 4)]
-    n = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
-    return [c / F.when(n > 1e-12, n).otherwise(1.0) for c in q]
+    Built in steps so that each intermediate column is computed once instead of being copied into every expression.
+    """
+    r = r or r_cols()
+    d = df.withColumns({f"_m{i}": c for i, c in enumerate(r)})
+    m = [F.col(f"_m{i}") for i in range(9)]
+    case = F.when(m[0] + m[4] + m[8] > 0, 0).when((m[0] > m[4]) & (m[0] > m[8]), 1).when(m[4] > m[8], 2).otherwise(3)
+    d = d.withColumn("_case", case)
+    lead = [m[0] + m[4] + m[8], m[0] - m[4] - m[8], m[4] - m[0] - m[8], m[8] - m[0] - m[4]]
+
+    def pick(options):
+        out = options[3]
+        for i in (2, 1, 0):
+            out = F.when(F.col("_case") == i, options[i]).otherwise(out)
+        return out
+
+    d = d.withColumn("_s", F.lit(2.0) * F.sqrt(pick(lead) + 1.0))
+    s = F.col("_s")
+    quarter = s / 4
+    wx, wy, wz = (m[7] - m[5]) / s, (m[2] - m[6]) / s, (m[3] - m[1]) / s
+    xy, xz, yz = (m[1] + m[3]) / s, (m[2] + m[6]) / s, (m[5] + m[7]) / s
+    d = d.withColumns(dict(zip(Q_NAMES, (pick([quarter, wx, wy, wz]), pick([wx, quarter, xy, xz]),
+                                         pick([wy, xy, quarter, yz]), pick([wz, xz, yz, quarter])))))
+    n = F.sqrt(sum((F.col(c) * F.col(c) for c in Q_NAMES[1:]), F.col("qw") * F.col("qw")))
+    d = d.withColumn("_n", F.when(n > 1e-12, n).otherwise(1.0))
+    return d.withColumns({c: F.col(c) / F.col("_n") for c in Q_NAMES}).drop("_case", "_s", "_n", *[f"_m{i}" for i in range(9)])
 
 
 def quat_to_rot(q: list[Column]) -> list[Column]:
@@ -64,17 +75,20 @@ def quat_to_rot(q: list[Column]) -> list[Column]:
             two * (x * z - y * w), two * (y * z + x * w), F.lit(1.0) - two * (x * x + y * y)]
 
 
-def slerp(a: list[Column], b: list[Column], alpha: Column) -> list[Column]:
-    """Great-circle interpolation on the shorter arc; nearly equal rotations are interpolated linearly."""
-    raw = sum((p * q for p, q in zip(a[1:], b[1:])), a[0] * b[0])
-    sign = F.when(raw < 0, -1.0).otherwise(1.0)
-    d = F.abs(raw)
-    theta0 = F.acos(F.least(F.lit(1.0), d))
-    w1 = F.sin(theta0 * alpha) / F.sin(theta0)
-    w0 = F.cos(theta0 * alpha) - d * w1
-    lin = [p + alpha * (q * sign - p) for p, q in zip(a, b)]
-    lin_n = F.sqrt(lin[0] * lin[0] + lin[1] * lin[1] + lin[2] * lin[2] + lin[3] * lin[3])
-    return [F.when(d > 0.9995, li / lin_n).otherwise(w0 * p + w1 * q * sign) for li, p, q in zip(lin, a, b)]
+def with_slerp(df: DataFrame, a: str, b: str, alpha: str) -> DataFrame:
+    """Adds qw..qz at `alpha` between the quaternions of structs `a` and `b`, on the shorter arc; nearly equal rotations
+    are interpolated linearly."""
+    qa, qb = ([F.col(f"{s}.{n}") for n in Q_NAMES] for s in (a, b))
+    raw = sum((p * q for p, q in zip(qa[1:], qb[1:])), qa[0] * qb[0])
+    d = df.withColumn("_dot", raw).withColumn("_sg", F.when(F.col("_dot") < 0, -1.0).otherwise(1.0))
+    d = d.withColumn("_dot", F.abs("_dot")).withColumn("_th", F.acos(F.least(F.lit(1.0), F.col("_dot"))))
+    d = d.withColumn("_w1", F.when(F.col("_dot") > 0.9995, F.col(alpha)).otherwise(F.sin(F.col("_th") * F.col(alpha)) / F.sin("_th")))
+    d = d.withColumn("_w0", F.when(F.col("_dot") > 0.9995, F.lit(1.0) - F.col(alpha)).otherwise(
+        F.cos(F.col("_th") * F.col(alpha)) - F.col("_dot") * F.col("_w1")))
+    d = d.withColumns({n: F.col("_w0") * p + F.col("_w1") * F.col("_sg") * q for n, p, q in zip(Q_NAMES, qa, qb)})
+    n = F.sqrt(sum((F.col(c) * F.col(c) for c in Q_NAMES[1:]), F.col("qw") * F.col("qw")))
+    d = d.withColumn("_n", F.when(F.col("_dot") > 0.9995, n).otherwise(1.0))
+    return d.withColumns({c: F.col(c) / F.col("_n") for c in Q_NAMES}).drop("_dot", "_sg", "_th", "_w0", "_w1", "_n")
 
 
 def euler(yaw, pitch, roll) -> list[Column]:
@@ -96,11 +110,10 @@ def body_to_camera_rotation(yaw, pitch, roll) -> list[Column]:
     return [c for i in range(3) for c in (body[3 * i + 1], -body[3 * i + 2], body[3 * i])]
 
 
-def rot_to_vec(r: list[Column]) -> list[Column]:
-    """Axis times angle of a rotation matrix, through its quaternion."""
-    q = rot_to_quat(r)
-    sign = F.when(q[0] < 0, -1.0).otherwise(1.0)
-    s = F.sqrt(q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
-    angle = F.lit(2.0) * F.atan2(s, F.abs(q[0]))
-    scale = F.when(s < 1e-12, 2.0).otherwise(angle / s) * sign
-    return [q[1] * scale, q[2] * scale, q[3] * scale]
+def with_rotation_vector(df: DataFrame) -> DataFrame:
+    """Adds wx, wy, wz: axis times angle of the rotation r00..r22."""
+    d = with_quat(df)
+    d = d.withColumn("_s", F.sqrt(F.col("qx") * F.col("qx") + F.col("qy") * F.col("qy") + F.col("qz") * F.col("qz")))
+    d = d.withColumn("_f", F.when(F.col("_s") < 1e-12, 2.0).otherwise(F.lit(2.0) * F.atan2("_s", F.abs("qw")) / F.col("_s"))
+                     * F.when(F.col("qw") < 0, -1.0).otherwise(1.0))
+    return d.withColumns({f"w{a}": F.col(f"q{a}") * F.col("_f") for a in "xyz"}).drop("_s", "_f", *Q_NAMES)

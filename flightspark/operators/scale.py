@@ -32,10 +32,11 @@ def _names(cols: Sequence[str] | str) -> list[str]:
 def range_chunks(df: DataFrame, by: Sequence[str] | str, order: Sequence[str] | str, chunks: int | None = None) -> DataFrame:
     """Adds `_chunk`: the range partition of the row in (by, order). Frozen by a checkpoint, so it is one fixed value.
 
-    All rows of a chunk precede all rows of the next chunk in (by, order), and a key's rows may span many chunks. A table
-    counted to be small is one chunk and stays lazy.
+    All rows of a chunk precede all rows of the next chunk in (by, order), and a key's rows may span many chunks. The
+    input is materialised first, since it is counted, sampled and then read by several branches; a small one is one chunk.
     """
     by, order = _names(by), _names(order)
+    df = checkpointed(df)
     if df.count() <= SMALL_ROWS:
         return df.withColumn(CHUNK, F.lit(0))
     n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from flightspark.functions import geodesy, rotation as R
 from flightspark.operators.scale import (CHUNK, attach, exact_quantiles, range_chunks, ranked, with_brackets,
-                                         with_previous, with_rank)
+                                         with_previous)
+from flightspark.session import checkpointed
 
 FLIGHT = "flight_id"
 # Candidate clock divisors and the sampling step they are judged by.
@@ -155,13 +156,13 @@ def baro_fuse(telemetry: DataFrame, baro: DataFrame, by: str = FLIGHT, sigma_m:
     `baro` has by, rec_no, raw_ts, alt. A log with fewer than 8 samples or covering under half the flight is ignored.
     """
     t_ends = telemetry.groupBy(by).agg(F.min("ts").alias("_t0"), F.max("ts").alias("_t1"))
-    b = smooth_baro(normalize_time_unit(baro, by), by)
+    b = checkpointed(smooth_baro(normalize_time_unit(baro, by), by))
     b_ends = b.groupBy(by).agg(F.min("ts").alias("_b0"), F.max("ts").alias("_b1"), F.count(F.lit(1)).alias("_bn"))
     cover = F.least("_b1", "_t1") - F.greatest("_b0", "_t0")
     usable = t_ends.join(b_ends, by).filter((F.col("_bn") >= 8) & (cover >= 0.5 * (F.col("_t1") - F.col("_t0")))).select(by)
     q = telemetry.select(by, F.col("rec_no").alias("q_id"), F.col("ts").alias("q_ts"))
     sampled = interp_asof(q, b, by, ["alt"], []).select(by, F.col("q_id").alias("rec_no"), F.col("alt").alias("_baro"))
-    d = telemetry.join(sampled, [by, "rec_no"], "left")
+    d = checkpointed(telemetry.join(sampled, [by, "rec_no"], "left"))
     gap = exact_quantiles(d.select(by, (F.col("enu_z") - F.col("_baro")).alias("_g")), by, "_g", {"_offset": 0.5})
     d = attach(d, usable.join(gap, by).select(by, "_offset"), by)
     used = F.col("_offset").isNotNull() & F.col("_baro").isNotNull()
@@ -192,8 +193,7 @@ def time_offset(frames: DataFrame, telemetry: DataFrame, by: str = FLIGHT) -> Da
 
 def interp_pose(queries: DataFrame, poses: DataFrame, by: str = FLIGHT) -> DataFrame:
     """Poses at the query times (columns by, q_id, q_ts): straight-line position, great-circle rotation."""
-    q = R.rot_to_quat(R.r_cols())
-    src = poses.select(by, "ts", F.col("frame_id").alias("rec_no"), "tx", "ty", "tz", *[c.alias(n) for c, n in zip(q, ("qw", "qx", "qy", "qz"))])
+    src = R.with_quat(poses).select(by, "ts", F.col("frame_id").alias("rec_no"), "tx", "ty", "tz", *R.Q_NAMES)
     rec = F.struct(*[c for c in src.columns if c != by])
     ends = src.groupBy(by).agg(F.max_by(rec, F.struct("ts", "rec_no")).alias("_final"))
     both = queries.select(by, F.col("q_ts").alias("_o"), F.lit(0).alias("_k"), F.col("q_id").cast("long").alias("_i")).unionByName(
@@ -210,9 +210,8 @@ def interp_pose(queries: DataFrame, poses: DataFrame, by: str = FLIGHT) -> DataF
 
 def _between(d: DataFrame, by: str, a: str, b: str, *keep: Column) -> DataFrame:
     """Position and rotation at `alpha` between two pose structs."""
-    qa, qb = ([F.col(f"{s}.{n}") for n in ("qw", "qx", "qy", "qz")] for s in (a, b))
-    mid = d.withColumn("_q", F.array(*R.slerp(qa, qb, F.col("alpha"))))
-    rot = R.quat_to_rot([F.col("_q")[i] for i in range(4)])
+    mid = R.with_slerp(d, a, b, "alpha")
+    rot = R.quat_to_rot([F.col(n) for n in R.Q_NAMES])
     pos = [((F.lit(1.0) - F.col("alpha")) * F.col(f"{a}.{t}") + F.col("alpha") * F.col(f"{b}.{t}")).alias(t) for t in ("tx", "ty", "tz")]
     return mid.select(by, *keep, "alpha", *[c.alias(n) for c, n in zip(rot, R.R_NAMES)], *pos)
 
@@ -222,9 +221,7 @@ def fill_missing_poses(frames: DataFrame, poses: DataFrame, by: str = FLIGHT) ->
 
     cov is the scale of the identity covariance: 0.25 between neighbours, 0.5 beyond the ends, null when registered.
     """
-    q = R.rot_to_quat(R.r_cols())
-    src = poses.select(by, "frame_id", F.struct(
-        F.col("frame_id"), "tx", "ty", "tz", *R.R_NAMES, *[c.alias(n) for c, n in zip(q, ("qw", "qx", "qy", "qz"))]).alias("_rec"))
+    src = R.with_quat(poses).select(by, "frame_id", F.struct("frame_id", "tx", "ty", "tz", *R.R_NAMES, *R.Q_NAMES).alias("_rec"))
     d = frames.select(by, "frame_id").join(src, [by, "frame_id"], "left")
     d = with_brackets(range_chunks(d, by, "frame_id"), by, "frame_id", "_rec")
     d = d.withColumns({"_p0": F.coalesce("_before", "_after"), "_p1": F.coalesce("_after", "_before")})
@@ -266,10 +263,9 @@ def trajectory_residuals(poses: DataFrame, reprojection: DataFrame | None = None
 
     `poses` has ts, tx..tz, r00..r22, gps_x..gps_z, gps_w; `reprojection` has frame_id, du, dv in pixels.
     """
-    vec = R.rot_to_vec(R.r_cols())
-    p = poses.withColumns(dict(zip(("wx", "wy", "wz"), vec)))
+    p = R.with_rotation_vector(poses)
     state = ["ts", "tx", "ty", "tz", "wx", "wy", "wz"]
-    ranked_p = ranked(p, by, "frame_id", "_i")
+    ranked_p = checkpointed(ranked(p, by, "frame_id", "_i"))
     side = ranked_p.select(by, "_i", F.struct(*state).alias("_s"))
     d = (ranked_p.join(side.select(by, (F.col("_i") + 1).alias("_i"), F.col("_s").alias("_l")), [by, "_i"], "left")
          .join(side.select(by, (F.col("_i") - 1).alias("_i"), F.col("_s").alias("_n")), [by, "_i"], "left"))

@@ -291,8 +291,7 @@ def _time_offset(spark, sf_dir):
 @register("rot_to_quat", "flight_id:i frame_id:i qw:5 qz:5", """
 SELECT flight_id, frame_id, abs(cos(a/2)) AS qw, abs(sin(a/2)) AS qz FROM v_poses""")
 def _rot_to_quat(spark, sf_dir):
-    q = R.rot_to_quat(R.r_cols())
-    return v.poses(spark, sf_dir).select("flight_id", "frame_id", F.abs(q[0]).alias("qw"), F.abs(q[3]).alias("qz"))
+    return R.with_quat(v.poses(spark, sf_dir)).select("flight_id", "frame_id", F.abs("qw").alias("qw"), F.abs("qz").alias("qz"))
 
 
 _RPY = {"cy": "cos(radians(yaw))", "sy": "sin(radians(yaw))", "cp": "cos(radians(pitch))", "sp": "sin(radians(pitch))",
@@ -307,9 +306,8 @@ SELECT flight_id, frame_id, cy*sp*sr - sy*cr AS r00, -(cy*sp*cr + sy*sr) AS r01,
 @register("quat_to_rot", "flight_id:i frame_id:i r00:5 r01:5 r02:5 r10:5 r11:5 r12:5 r20:5 r21:5 r22:5", """
 SELECT flight_id, frame_id, r02 AS r00, r00 AS r01, -r01 AS r02, r12 AS r10, r10 AS r11, -r11 AS r12, r22 AS r20, r20 AS r21, -r21 AS r22 FROM v_attitude""")
 def _quat_to_rot(spark, sf_dir):
-    quat = R.rot_to_quat(R.euler("yaw", "pitch", "roll"))
-    t = v.located(spark, sf_dir).withColumn("frame_id", F.col("rec_no") % 1000).withColumn("_q", F.array(*quat))
-    back = R.quat_to_rot([F.col("_q")[i] for i in range(4)])
+    t = R.with_quat(v.located(spark, sf_dir).withColumn("frame_id", F.col("rec_no") % 1000), R.euler("yaw", "pitch", "roll"))
+    back = R.quat_to_rot([F.col(n) for n in R.Q_NAMES])
     return t.select("flight_id", "frame_id", *[c.alias(n) for c, n in zip(back, R.R_NAMES)])
 
 

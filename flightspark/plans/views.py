@@ -117,3 +117,121 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 cte("v_poses", """
 SELECT flight_id, rec_no % 1000 AS frame_id, ts, enu_x AS tx, enu_y AS ty, enu_z AS tz, radians(yaw) AS a,
   cos(radians(yaw)) AS c, sin(radians(yaw)) AS s, unc FROM v_located""")
+
+
+# --- points, cameras, surfels ----------------------------------------------------------------------------------------
+
+_POINT_COLS = """CAST(floor(l_orderkey / 1500) AS BIGINT) AS flight_id, (l_orderkey * 7 + l_linenumber) % 200 AS frame_id,
+  (l_partkey % 20) * {f}0.08{e} + {f}0.01{e} + l_linenumber * {f}0.008{e} AS x,
+  (l_orderkey % 13) * {f}0.08{e} + {f}0.02{e} + l_discount * {f}0.4{e} AS y,
+  floor(l_quantity / 13) * {f}1.2{e} + {f}0.03{e} AS z, {f}1{e} - 5 * l_discount AS conf,
+  CAST(CAST(l_extendedprice AS BIGINT) % 256 AS DOUBLE) AS r, CAST(CAST(l_extendedprice AS BIGINT) % 251 AS DOUBLE) AS g,
+  CAST(CAST(l_extendedprice AS BIGINT) % 241 AS DOUBLE) AS b,
+  CASE WHEN l_linenumber < 5 THEN {f}0{e} ELSE {f}1{e} END AS nx, {f}0{e} AS ny, CASE WHEN l_linenumber < 5 THEN {f}1{e} ELSE {f}0{e} END AS nz,
+  l_tax AS tax"""
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exprs = _POINT_COLS.format(f="CAST(", e=" AS DOUBLE)").replace("CAST(l_extendedprice AS BIGINT)", "CAST(floor(l_extendedprice) AS BIGINT)")
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("_lineitem_points")
+    return spark.sql(f"SELECT {exprs} FROM _lineitem_points")
+
+
+cte("v_points", "SELECT " + _POINT_COLS.format(f="CAST(", e=" AS DOUBLE)").replace(
+    "CAST(l_extendedprice AS BIGINT)", "CAST(floor(l_extendedprice) AS BIGINT)") + " FROM lineitem")
+
+CAMERA = {"fx": 300.0, "fy": 300.0, "cx": 320.0, "cy": 240.0, "width": 640, "height": 480,
+          "k1": 0.05, "k2": -0.01, "p1": 0.001, "p2": -0.0005, "k3": 0.0}
+_CAMS = """flight_id, frame_id, frame_id / {f}30{e} AS ts, {f}0.8{e} + ((frame_id * 7) % 40 - 20) * {f}0.05{e} AS tx,
+  {f}0.5{e} + ((frame_id * 3) % 30 - 15) * {f}0.04{e} AS ty, {f}8{e} + (frame_id % 5) * {f}0.25{e} AS tz,
+  cos(radians(frame_id * {f}1.8{e})) AS r00, sin(radians(frame_id * {f}1.8{e})) * cos(radians((frame_id % 7 - 3) * {f}4{e})) AS r01,
+  -sin(radians(frame_id * {f}1.8{e})) * sin(radians((frame_id % 7 - 3) * {f}4{e})) AS r02, sin(radians(frame_id * {f}1.8{e})) AS r10,
+  -cos(radians(frame_id * {f}1.8{e})) * cos(radians((frame_id % 7 - 3) * {f}4{e})) AS r11,
+  cos(radians(frame_id * {f}1.8{e})) * sin(radians((frame_id % 7 - 3) * {f}4{e})) AS r12, {f}0{e} AS r20,
+  -sin(radians((frame_id % 7 - 3) * {f}4{e})) AS r21, -cos(radians((frame_id % 7 - 3) * {f}4{e})) AS r22"""
+
+
+@derived("cams")
+def cams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One downward-looking pose per (flight, frame) that has points."""
+    base = points(spark, sf_dir).select("flight_id", "frame_id").distinct()
+    base.createOrReplaceTempView("_cam_frames")
+    return spark.sql("SELECT " + _CAMS.format(f="CAST(", e=" AS DOUBLE)") + " FROM _cam_frames")
+
+
+cte("v_cam_frames", "SELECT DISTINCT flight_id, frame_id FROM v_points")
+cte("v_cams", "SELECT " + _CAMS.format(f="CAST(", e=" AS DOUBLE)") + " FROM v_cam_frames")
+
+
+def intrinsics(df: DataFrame) -> DataFrame:
+    return df.withColumns({k: F.lit(val) for k, val in CAMERA.items()})
+
+
+@derived("surfels")
+def surfels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One surfel per 0.08 m cell of the points, with the frames that saw it."""
+    p = points(spark, sf_dir).selectExpr("*", "CAST(floor(x / 0.08D) AS BIGINT) AS gx", "CAST(floor(y / 0.08D) AS BIGINT) AS gy",
+                                         "CAST(floor(z / 0.08D) AS BIGINT) AS gz")
+    s = p.groupBy("flight_id", "gx", "gy", "gz").agg(
+        *[F.avg(c).alias(c) for c in ("x", "y", "z", "r", "g", "b", "conf")], F.avg("nx").alias("mx"), F.avg("nz").alias("mz"),
+        F.max("conf").alias("model_confidence"), (F.avg("tax") * 50).alias("reprojection_error"),
+        F.array_sort(F.collect_set("frame_id")).alias("supporting_frames"))
+    return s.selectExpr(
+        "flight_id", "((flight_id * 1000 + gx) * 1000 + gy) * 1000 + gz AS element_id", "gx", "gy", "gz", "x", "y", "z",
+        "mx / sqrt(mx * mx + mz * mz) AS nx", "0D AS ny", "mz / sqrt(mx * mx + mz * mz) AS nz", "r", "g", "b",
+        "supporting_frames", "size(supporting_frames) AS observation_count", "reprojection_error", "model_confidence",
+        "0.5D + conf / 2 AS gps_confidence", "CASE WHEN (gx + gy) % 5 = 0 THEN 0.3D ELSE 0D END AS dynamic_probability",
+        "conf AS confidence_score", "CASE WHEN (gx * 7 + gy * 3 + gz) % 17 = 0 THEN 'REJECTED' ELSE 'ACTIVE' END AS state",
+        "CASE WHEN size(supporting_frames) > 1 THEN 'MULTI_VIEW_SUPPORTED' ELSE 'OBSERVED' END AS provenance",
+        "CASE WHEN conf > 0.8 THEN 'HIGH' WHEN conf > 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level",
+        "CASE (gx + gy * 2 + gz) % 5 WHEN 0 THEN 'vegetation' WHEN 1 THEN 'building' WHEN 2 THEN 'road' WHEN 3 THEN 'roof' ELSE 'unknown' END AS semantic_class")
+
+
+cte("s_points", "SELECT *, CAST(floor(x / CAST(0.08 AS DOUBLE)) AS BIGINT) AS gx, CAST(floor(y / CAST(0.08 AS DOUBLE)) AS BIGINT) AS gy, CAST(floor(z / CAST(0.08 AS DOUBLE)) AS BIGINT) AS gz FROM v_points")
+cte("s_cells", """
+SELECT flight_id, gx, gy, gz, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(conf) AS conf, avg(nx) AS mx, avg(nz) AS mz,
+  max(conf) AS model_confidence, avg(tax) * 50 AS reprojection_error, count(DISTINCT frame_id) AS observation_count, min(frame_id) AS f0, max(frame_id) AS f1
+FROM s_points GROUP BY flight_id, gx, gy, gz""")
+cte("v_surfels", """
+SELECT flight_id, ((flight_id * 1000 + gx) * 1000 + gy) * 1000 + gz AS element_id, gx, gy, gz, x, y, z, mx / sqrt(mx*mx + mz*mz) AS nx,
+  CAST(0 AS DOUBLE) AS ny, mz / sqrt(mx*mx + mz*mz) AS nz, r, g, b, observation_count, reprojection_error, model_confidence,
+  0.5 + conf / 2 AS gps_confidence, CASE WHEN (gx + gy) % 5 = 0 THEN 0.3 ELSE 0 END AS dynamic_probability, conf AS confidence_score,
+  CASE WHEN (gx * 7 + gy * 3 + gz) % 17 = 0 THEN 'REJECTED' ELSE 'ACTIVE' END AS state,
+  CASE WHEN observation_count > 1 THEN 'MULTI_VIEW_SUPPORTED' ELSE 'OBSERVED' END AS provenance,
+  CASE WHEN conf > 0.8 THEN 'HIGH' WHEN conf > 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level,
+  CASE (gx + gy * 2 + gz) % 5 WHEN 0 THEN 'vegetation' WHEN 1 THEN 'building' WHEN 2 THEN 'road' WHEN 3 THEN 'roof' ELSE 'unknown' END AS semantic_class, f0, f1
+FROM s_cells""")
+cte("v_surfel_frames", "SELECT DISTINCT flight_id, ((flight_id * 1000 + gx) * 1000 + gy) * 1000 + gz AS element_id, frame_id FROM s_points")
+
+
+# --- tracks ----------------------------------------------------------------------------------------------------------
+
+@derived("track_obs")
+def track_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(
+        F.expr("l_partkey % 8").alias("flight_id"), F.col("l_partkey").alias("track_id"), F.expr("(l_suppkey * 3 + l_linenumber) % 120").alias("frame_id")
+    ).agg((F.avg("l_quantity") * 20).alias("u"), (F.avg("l_extendedprice") / 100).alias("v"))
+
+
+cte("v_track_obs", """
+SELECT l_partkey % 8 AS flight_id, l_partkey AS track_id, (l_suppkey * 3 + l_linenumber) % 120 AS frame_id, avg(l_quantity) * 20 AS u, avg(l_extendedprice) / 100 AS v
+FROM lineitem GROUP BY 1, 2, 3""")
+
+
+# --- pixels ----------------------------------------------------------------------------------------------------------
+
+@derived("tiles")
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding as an 8 x 8 picture in four 4 x 4 tiles; flight = vec_id div 50, frame = vec_id % 50."""
+    e = table(spark, sf_dir, "embeddings").withColumn("_t", F.explode(F.expr("sequence(0, 3)")))
+    byte = "lpad(hex(CAST(floor(abs(CAST(element_at(embedding, CAST(((_t div 2) * 4 + i div 4) * 8 + (_t % 2) * 4 + i % 4 + 1 AS INT)) AS DOUBLE)) * {k}) % 256 AS BIGINT)), 2, '0')"
+    rgb = "unhex(array_join(transform(sequence(0, 15), i -> concat(" + ", ".join(byte.format(k=k) for k in (1000, 1700, 2300)) + ")), ''))"
+    return e.selectExpr("CAST(floor(vec_id / 50) AS BIGINT) AS flight_id", "vec_id % 50 AS frame_id", "CAST(_t % 2 AS INT) AS tile_u", "CAST(_t div 2 AS INT) AS tile_v",
+                        "4 AS w", "4 AS h", f"{rgb} AS rgb")
+
+
+cte("v_pixels", """
+SELECT CAST(floor(vec_id / 50) AS BIGINT) AS flight_id, vec_id % 50 AS frame_id, CAST(i % 8 AS BIGINT) AS u, CAST(i // 8 AS BIGINT) AS v,
+  CAST(floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 1000) % 256 AS BIGINT) AS r, CAST(floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 1700) % 256 AS BIGINT) AS g,
+  CAST(floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 2300) % 256 AS BIGINT) AS b
+FROM embeddings, (SELECT unnest(range(64)) AS i)""")
