@@ -130,7 +130,7 @@ def _index_frames(spark, sf_dir):
 cte("v_grey", "SELECT *, floor(CAST(0.299 AS DOUBLE) * r + CAST(0.587 AS DOUBLE) * g + CAST(0.114 AS DOUBLE) * b + 0.5) AS y FROM v_pixels")
 
 
-@register("frame_quality", "flight_id:i frame_id:i sharpness:4 blur:6 exposure:6 saturation:6", """
+@register("frame_quality", "flight_id:i frame_id:i sharpness:3 blur:6 exposure:6 saturation:6", """
 SELECT flight_id, frame_id, sharpness, 1 / (1 + ln(1 + greatest(1e-4, sharpness))) AS blur, 1 - abs(m / 255 - 0.5) * 2 AS exposure, sat / 255 AS saturation FROM (
 SELECT p.flight_id, p.frame_id, var_pop(a.y + b.y + c.y + d.y - 4 * p.y) AS sharpness, avg(p.y) AS m,
   avg(CASE WHEN greatest(p.r, p.g, p.b) > 0 THEN floor(255.0 * (greatest(p.r, p.g, p.b) - least(p.r, p.g, p.b)) / greatest(p.r, p.g, p.b) + 0.5) ELSE 0 END) AS sat

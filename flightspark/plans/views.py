@@ -183,7 +183,7 @@ def surfels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "0.5D + conf / 2 AS gps_confidence", "CASE WHEN (gx + gy) % 5 = 0 THEN 0.3D ELSE 0D END AS dynamic_probability",
         "conf AS confidence_score", "CASE WHEN (gx * 7 + gy * 3 + gz) % 17 = 0 THEN 'REJECTED' ELSE 'ACTIVE' END AS state",
         "CASE WHEN size(supporting_frames) > 1 THEN 'MULTI_VIEW_SUPPORTED' ELSE 'OBSERVED' END AS provenance",
-        "CASE WHEN conf > 0.8 THEN 'HIGH' WHEN conf > 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level",
+        "CASE WHEN conf > 0.8003 THEN 'HIGH' WHEN conf > 0.7003 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level",
         "CASE (gx + gy * 2 + gz) % 5 WHEN 0 THEN 'vegetation' WHEN 1 THEN 'building' WHEN 2 THEN 'road' WHEN 3 THEN 'roof' ELSE 'unknown' END AS semantic_class")
 
 
@@ -198,7 +198,7 @@ SELECT flight_id, ((flight_id * 1000 + gx) * 1000 + gy) * 1000 + gz AS element_i
   0.5 + conf / 2 AS gps_confidence, CASE WHEN (gx + gy) % 5 = 0 THEN 0.3 ELSE 0 END AS dynamic_probability, conf AS confidence_score,
   CASE WHEN (gx * 7 + gy * 3 + gz) % 17 = 0 THEN 'REJECTED' ELSE 'ACTIVE' END AS state,
   CASE WHEN observation_count > 1 THEN 'MULTI_VIEW_SUPPORTED' ELSE 'OBSERVED' END AS provenance,
-  CASE WHEN conf > 0.8 THEN 'HIGH' WHEN conf > 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level,
+  CASE WHEN conf > 0.8003 THEN 'HIGH' WHEN conf > 0.7003 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_level,
   CASE (gx + gy * 2 + gz) % 5 WHEN 0 THEN 'vegetation' WHEN 1 THEN 'building' WHEN 2 THEN 'road' WHEN 3 THEN 'roof' ELSE 'unknown' END AS semantic_class, f0, f1
 FROM s_cells""")
 cte("v_surfel_frames", "SELECT DISTINCT flight_id, ((flight_id * 1000 + gx) * 1000 + gy) * 1000 + gz AS element_id, frame_id FROM s_points")
@@ -235,3 +235,29 @@ SELECT CAST(floor(vec_id / 50) AS BIGINT) AS flight_id, vec_id % 50 AS frame_id,
   CAST(floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 1000) % 256 AS BIGINT) AS r, CAST(floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 1700) % 256 AS BIGINT) AS g,
   CAST(floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 2300) % 256 AS BIGINT) AS b
 FROM embeddings, (SELECT unnest(range(64)) AS i)""")
+
+# --- small-picture cameras: the same poses seen by a 32 x 24 pixel camera whose picture follows a formula --------------
+
+PROXY = {"fx": 15.0, "fy": 15.0, "cx": 16.0, "cy": 12.0, "width": 32, "height": 24}
+PROXY_TILE = 16
+_PIXEL = {"r": "({frame} * 7 + {u} * 13 + {v} * 5) % 256", "g": "({frame} * 3 + {u} * 5 + {v} * 11) % 256", "b": "({u} * {v} + {frame}) % 256"}
+
+
+def proxy_cams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cams(spark, sf_dir).withColumns({k: F.lit(val) for k, val in PROXY.items()})
+
+
+@derived("proxy_tiles")
+def proxy_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16-pixel tiles of the pictures of all poses."""
+    t = cams(spark, sf_dir).select("flight_id", "frame_id").withColumn("_t", F.explode(F.expr("sequence(0, 3)")))
+    t = t.selectExpr("flight_id", "frame_id", "CAST(_t % 2 AS INT) AS tile_u", "CAST(_t div 2 AS INT) AS tile_v", "16 AS w", "CAST(if(_t div 2 = 0, 16, 8) AS INT) AS h")
+    at = {"frame": "frame_id", "u": "(tile_u * 16 + i % 16)", "v": "(tile_v * 16 + i div 16)"}
+    byte = ", ".join(f"lpad(hex(CAST({e.format(**at)} AS BIGINT)), 2, '0')" for e in _PIXEL.values())
+    return t.withColumn("rgb", F.expr(f"unhex(array_join(transform(sequence(0, w * h - 1), i -> concat({byte})), ''))"))
+
+
+def pixel_sql(frame: str, u: str, v: str) -> str:
+    """Grey level of the formula picture."""
+    r, g, b = (e.format(frame=frame, u=u, v=v) for e in _PIXEL.values())
+    return f"floor(CAST(0.299 AS DOUBLE) * ({r}) + CAST(0.587 AS DOUBLE) * ({g}) + CAST(0.114 AS DOUBLE) * ({b}) + 0.5)"
