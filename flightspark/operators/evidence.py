@@ -47,18 +47,20 @@ def view_pairs(surfels: DataFrame, poses: DataFrame, by: str = FLIGHT) -> DataFr
     p = p.withColumn("_far", far)
     corners = [((F.lit(0.0) if i == 0 else F.col("width")), (F.lit(0.0) if j == 0 else F.col("height"))) for i in (0, 1) for j in (0, 1)]
     ends = [C.unproject(u, v, F.col("_far"), *[F.col(k) for k in ("fx", "fy", "cx", "cy")]) for u, v in corners]
-    # One pixel of slack keeps rounding from cutting off a border surfel.
     world = [C.camera_to_world(e, R.r_cols(), [F.col(t) for t in T]) for e in ends]
+    p = p.withColumns({f"_w{k}{c}": w[i] for k, w in enumerate(world) for i, c in enumerate(XYZ)})
     bounds = {}
-    for i, c in enumerate(XYZ):
+    for c in XYZ:
+        # A little slack keeps rounding from cutting off a border surfel.
         pad = F.col("_far") * 0.01 + 1e-6
-        bounds["_a" + c] = F.greatest(F.col("lo_" + c), F.least(F.col("t" + c), *[w[i] for w in world]) - pad)
-        bounds["_b" + c] = F.least(F.col("hi_" + c), F.greatest(F.col("t" + c), *[w[i] for w in world]) + pad)
+        ends_c = [F.col(f"_w{k}{c}") for k in range(4)]
+        bounds["_a" + c] = F.greatest(F.col("lo_" + c), F.least(F.col("t" + c), *ends_c) - pad)
+        bounds["_b" + c] = F.least(F.col("hi_" + c), F.greatest(F.col("t" + c), *ends_c) + pad)
     p = p.withColumns(bounds).filter((F.col("_ax") <= F.col("_bx")) & (F.col("_ay") <= F.col("_by")) & (F.col("_az") <= F.col("_bz")))
     extent = F.greatest(*[F.col("_b" + c) - F.col("_a" + c) for c in XYZ], F.lit(1e-3))
     p = p.withColumn("_level", F.ceil(F.log2(extent / 4.0)).cast("int"))
     p = p.withColumn("_size", F.pow(F.lit(2.0), F.col("_level")))
-    p = p.drop("_far", *[f"{n}_{c}" for n in ("lo", "hi") for c in XYZ])
+    p = p.drop("_far", *[f"{n}_{c}" for n in ("lo", "hi") for c in XYZ], *[f"_w{k}{c}" for k in range(4) for c in XYZ])
     p = checkpointed(p)
     levels = p.select(by, "_level", "_size").distinct()
     for c in XYZ:
@@ -135,7 +137,7 @@ def score_confidence(surfels: DataFrame) -> DataFrame:
     """Composite confidence and level; needs n_views, first and last ray (ray0_*, ray1_*, null when there is one ray)."""
     rejected = F.col("state") == "REJECTED"
     dot = _clip(R.dot([F.col("ray0_" + c) for c in XYZ], [F.col("ray1_" + c) for c in XYZ]), -1.0, 1.0)
-    angle = F.coalesce(_clip(F.degrees(F.acos(dot)) / 15.0), F.lit(0.5))
+    angle = F.when(F.col("ray1_x").isNotNull(), _clip(F.degrees(F.acos(dot)) / 15.0)).otherwise(0.5)
     raw = (0.30 * _clip((F.col("n_views") - 1) / 3.0) + 0.25 * _clip(F.lit(1.0) - F.col("reprojection_error") / 4.0) + 0.20 * angle
            + 0.15 * F.col("model_confidence") + 0.10 * F.col("gps_confidence"))
     weight = F.when(F.col("semantic_class") == "vegetation", 0.7).when(F.col("semantic_class").isin("building", "facade", "roof"), 1.15).otherwise(1.0)
