@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder so that it is computed once and survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise `df` as a table in the shared checkpoint folder, so that it is computed once and survives lost executors.
+
+    A written table also starts a fresh plan: statistics are the true sizes, columns are pruned on reading, and loops do not
+    carry the constraints of earlier rounds along.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "snappy").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
