@@ -47,7 +47,7 @@ _NAMED = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enum
 _EXPECTED = ", ".join(f"('{n}')" for n in jb.EXPECTED_FILES)
 
 
-@register("artifact_audit", "job_id:i name:s size:i present:b size_text:s", f"""
+@register("artifact_audit", "job_id:i name:s present:b size_text:s", f"""
 WITH f AS (SELECT user_id AS job_id, {_NAMED} AS name, CAST(floor(value * value * value * 50) AS BIGINT) AS size FROM events)
 SELECT j.job_id, e.n AS name, s AS size, s IS NOT NULL AS present, CASE WHEN s < 1024 THEN format('{{:.1f}} B', s / 1.0) WHEN s < 1048576 THEN format('{{:.1f}} KB', s / 1024.0) WHEN s < 1073741824 THEN format('{{:.1f}} MB', s / 1048576.0) WHEN s IS NOT NULL THEN format('{{:.1f}} GB', s / 1073741824.0) END AS size_text
 FROM (SELECT DISTINCT job_id FROM f) j CROSS JOIN (VALUES {_EXPECTED}) e(n) LEFT JOIN (SELECT job_id, name, max(size) AS s FROM f GROUP BY 1, 2) x ON x.job_id = j.job_id AND x.name = e.n""")

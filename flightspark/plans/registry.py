@@ -19,17 +19,22 @@ def cte(name: str, body: str) -> None:
 
 
 def expand(sql: str) -> str:
-    """Puts the sub-selects a statement uses, directly or not, in front of it in definition order."""
-    needed: set[str] = set()
-    todo = [sql]
-    while todo:
-        text = todo.pop()
+    """Puts the sub-selects a statement uses, directly or not, in front of it, each after those it needs itself."""
+    order: list[str] = []
+
+    def visit(text: str, above: tuple[str, ...]) -> None:
         for name in CTES:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                needed.add(name)
-                todo.append(CTES[name])
-    parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in needed]
-    return f"WITH RECURSIVE {', '.join(parts)} {sql}" if parts else sql
+            if name not in order and name not in above and re.search(rf"\b{name}\b", text):
+                visit(CTES[name], (*above, name))
+                order.append(name)
+
+    visit(sql, ())
+    return f"WITH RECURSIVE {', '.join(f'{n} AS ({CTES[n]})' for n in order)} {sql}" if order else sql
+
+
+def oracles() -> dict[str, str]:
+    """Complete statements; assembled once every module has registered its sub-selects."""
+    return {name: expand(sql) for name, sql in ORACLES.items()}
 
 
 def _spec(columns: str) -> list[tuple[str, str]]:
@@ -75,7 +80,7 @@ def register(name: str, columns: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: _shape(fn(spark, sf_dir), columns)
         if sql is not None:
-            ORACLES[name] = expand(_shape_sql(sql, columns))
+            ORACLES[name] = _shape_sql(sql, columns)
         return fn
 
     return wrap

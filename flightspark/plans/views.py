@@ -131,10 +131,25 @@ _POINT_COLS = """CAST(floor(l_orderkey / 1500) AS BIGINT) AS flight_id, (l_order
   l_tax AS tax"""
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def point_columns(lineitem: DataFrame) -> DataFrame:
     exprs = _POINT_COLS.format(f="CAST(", e=" AS DOUBLE)").replace("CAST(l_extendedprice AS BIGINT)", "CAST(floor(l_extendedprice) AS BIGINT)")
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("_lineitem_points")
-    return spark.sql(f"SELECT {exprs} FROM _lineitem_points")
+    return lineitem.select(*[F.expr(e.strip()) for e in _split(exprs)])
+
+
+def _split(columns: str) -> list[str]:
+    """Cuts a select list at its top-level commas."""
+    out, depth, cur = [], 0, ""
+    for ch in columns:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and depth == 0:
+            out, cur = out + [cur], ""
+        else:
+            cur += ch
+    return out + [cur]
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return point_columns(table(spark, sf_dir, "lineitem"))
 
 
 cte("v_points", "SELECT " + _POINT_COLS.format(f="CAST(", e=" AS DOUBLE)").replace(
@@ -155,8 +170,7 @@ _CAMS = """flight_id, frame_id, frame_id / {f}30{e} AS ts, {f}0.8{e} + ((frame_i
 def cams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One downward-looking pose per (flight, frame) that has points."""
     base = points(spark, sf_dir).select("flight_id", "frame_id").distinct()
-    base.createOrReplaceTempView("_cam_frames")
-    return spark.sql("SELECT " + _CAMS.format(f="CAST(", e=" AS DOUBLE)") + " FROM _cam_frames")
+    return base.select(*[F.expr(e.strip()) for e in _split(_CAMS.format(f="CAST(", e=" AS DOUBLE)"))])
 
 
 cte("v_cam_frames", "SELECT DISTINCT flight_id, frame_id FROM v_points")
