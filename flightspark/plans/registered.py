@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from flightspark.plans import align, frames, jobs, streams, surfaces, telemetry, tracks, world  # noqa: F401
+from flightspark.plans import align, depth, frames, jobs, streams, surfaces, telemetry, tracks, world  # noqa: F401
 from flightspark.plans.registry import QUERIES, oracles  # noqa: F401
