@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
+# Added before rounding on both sides, so that values lying exactly on a rounding border round the same way.
+OFF_BORDER = 1.37e-9
 
 
 def cte(name: str, body: str) -> None:
@@ -52,7 +54,7 @@ def _shape(df: DataFrame, columns: str) -> DataFrame:
         elif kind == "b":
             c = c.cast("boolean")
         else:
-            c = F.round(c.cast("double"), int(kind)) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(OFF_BORDER), int(kind)) + F.lit(0.0)
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -67,7 +69,7 @@ def _shape_sql(body: str, columns: str) -> str:
         elif kind == "b":
             c = f"CAST({name} AS BOOLEAN)"
         else:
-            c = f"round(CAST({name} AS DOUBLE), {kind}) + 0.0"
+            c = f"round(CAST({name} AS DOUBLE) + CAST({OFF_BORDER!r} AS DOUBLE), {kind}) + 0.0"
         out.append(f"{c} AS {name}")
     return f"SELECT {', '.join(out)} FROM ({body}) AS q"
 
