@@ -8,7 +8,6 @@ from flightspark.functions import geodesy, rotation as R
 from flightspark.operators import timeseries as ts
 from flightspark.plans import views as v
 from flightspark.plans.registry import cte, register
-from flightspark.plans.views import ecef_sql
 from flightspark.sources import telemetry as src
 
 # --- text sources: telemetry is written out as text, then read back by the parser ------------------------------------
