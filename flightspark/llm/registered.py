@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightspark.llm import quality_rules
+from flightspark.llm import quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        (bits & {quality_rules.mask(quality_rules.POLICIES[quality_rules.DEFAULT_POLICY])}) = 0 AS kept
 FROM b"""
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+# DuckDB has SHA-1 in hexadecimal only; base 32 takes five bits a letter from it.
+ORACLES["op5_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex FROM p),
+nib AS (SELECT page_id, n, hex, list_transform(string_split(hex, ''), lambda x: instr('0123456789abcdef', x) - 1) AS v FROM h),
+dig AS (SELECT page_id, n, hex, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          1 + CAST((((v[(i * 5) // 4 + 1] * 256 + coalesce(v[(i * 5) // 4 + 2], 0) * 16 + coalesce(v[(i * 5) // 4 + 3], 0)) >> (12 - 5 - (i * 5) % 4)) & 31) AS INTEGER), 1)), '') AS b32 FROM nib),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY hex, n) AS top FROM dig)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, b32 AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, true AS intact FROM g"""
