@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightspark.llm import quality_rules, warc
+from flightspark.llm import quality_rules, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,21 @@ dig AS (SELECT page_id, n, hex, array_to_string(list_transform(range(0, 32), lam
 g AS (SELECT *, max(page_id) OVER (PARTITION BY hex, n) AS top FROM dig)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, b32 AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, true AS intact FROM g"""
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "_cut.n_words", "_cut.n_removed", "_cut.kept_sha256")
+
+
+ORACLES["op3_substring_dedup"] = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS t
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)),
+later AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY md5(t)) < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM later) GROUP BY doc_id),
+kept AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+                CASE WHEN ps IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(ps, i)) END AS k
+         FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept"""
