@@ -155,20 +155,19 @@ def salted_join(df: DataFrame, other: DataFrame, on, how: str = "inner", salts:
 def connected_components(edges: DataFrame, by: Sequence[str], a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(by, node, component) where component is the smallest node reachable over the undirected edges within `by`.
 
-    Alternates large-star and small-star contraction (O(log n) rounds in practice). A hub is handled by a combining
-    minimum and a join, never by holding its neighbour list; each round is cut by a checkpoint.
+    Alternates large-star and small-star contraction (O(log n) rounds in practice; it raises after `max_rounds`). Minima are
+    combined before each shuffle, and the join with them can be split on a hub's side. A round is cut by one written table,
+    and the end is seen from the number of its edges and the sum of their hashes.
     """
     by = _names(by)
     pairs = edges.select(*by, F.col(a).alias("u"), F.col(b).alias("v"))
-    nodes = pairs.select(*by, F.col("u").alias("node")).union(pairs.select(*by, F.col("v").alias("node"))).distinct()
-    nodes = checkpointed(nodes)
+    nodes = pairs.select(*by, F.explode(F.array("u", "v")).alias("node")).distinct()
     current = checkpointed(_ordered(pairs, by))
+    seen = _digest(current)
     for _ in range(max_rounds):
-        large = _star(current, by, large=True)
-        small = checkpointed(_star(large, by, large=False))
-        changed = small.exceptAll(current).limit(1).count() + current.exceptAll(small).limit(1).count()
-        current = small
-        if changed == 0:
+        current = checkpointed(_star(_star(current, by, large=True), by, large=False))
+        before, seen = seen, _digest(current)
+        if before == seen:
             break
     else:
         raise RuntimeError("components did not settle")
@@ -177,6 +176,11 @@ def connected_components(edges: DataFrame, by: Sequence[str], a: str, b: str, ma
     return out.select(*by, "node", F.coalesce("component", "node").alias("component"))
 
 
+def _digest(pairs: DataFrame) -> tuple:
+    hashed = F.xxhash64(*pairs.columns).cast("decimal(38,0)")
+    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(hashed)).first())
+
+
 def _ordered(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Distinct edges pointing from the larger to the smaller end."""
     return (pairs.filter(F.col("u") != F.col("v"))
