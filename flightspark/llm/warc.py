@@ -32,8 +32,8 @@ DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "shard int, seq int, temp string, path string, records long, bytes long, sha256 string"
 READ = ("page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
         "payload binary, intact boolean")
-#: Rows looked at for the shard bounds, chosen by hash over all rows.
-BOUND_ROWS = 4096
+#: Rows looked at for each shard bound, chosen by hash over all rows.
+BOUND_ROWS = 64
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -79,11 +79,11 @@ def decisions(narrow: DataFrame) -> DataFrame:
 
 
 def shard_bounds(narrow: DataFrame, shards: int) -> list[int]:
-    """Keys at which a new shard begins: quantiles over a fixed number of rows with the least key hashes, weighted by size."""
+    """Keys at which a new shard begins: quantiles over the rows with the least key hashes, so many a shard, weighted by size."""
     if shards <= 1:
         return []
     rows = (narrow.filter("page_id IS NOT NULL").select("page_id", "size", F.xxhash64("page_id").alias("h")).distinct()
-            .orderBy("h", "page_id", "size").limit(BOUND_ROWS).toPandas().sort_values(["page_id", "size"], kind="stable"))
+            .orderBy("h", "page_id", "size").limit(BOUND_ROWS * (shards + 8)).toPandas().sort_values(["page_id", "size"], kind="stable"))
     if not len(rows):
         return []
     at = np.searchsorted(np.cumsum(rows["size"].to_numpy() + 500), np.linspace(0, rows["size"].sum() + 500 * len(rows), shards + 1)[1:-1])
