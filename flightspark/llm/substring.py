@@ -41,18 +41,21 @@ def repeated_windows(docs: DataFrame, unit: Unit = WORDS) -> DataFrame:
     keyed = _keyed(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     narrow = keyed.mapInArrow(seed_rows(unit, ["doc_id"], False), "doc_id long, seed long")
     shared = narrow.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("seed")
+    # Written, so that the join with it can be split where a seed is hot; so are the other small sides below.
+    shared = checkpointed(shared)
     full = keyed.mapInArrow(seed_rows(unit, KEYS, True), f"{_KEY_TYPES}, seed long, at int, n int, fp1 long, fp2 long")
     found = checkpointed(full.join(shared, "seed"))
 
-    contents = found.groupBy("seed", "fp1", "fp2").agg(F.min("doc_id").alias("lo"))
-    varied = contents.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("seed", F.lit(True).alias("varied"))
-    told = found.join(contents, ["seed", "fp1", "fp2"]).join(varied, "seed", "left")
+    contents = checkpointed(found.groupBy("seed", "fp1", "fp2").agg(F.min("doc_id").alias("lo")))
+    varied = checkpointed(contents.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("seed", F.lit(True).alias("varied")))
+    contents = checkpointed(contents.join(varied, "seed", "left"))
+    told = found.join(contents, ["seed", "fp1", "fp2"])
     told = checkpointed(told.select(*KEYS, "at", "n", (F.col("lo") < F.col("doc_id")).alias("whole"), F.col("varied").isNotNull().alias("varied")))
 
     looks = (told.filter("varied AND NOT whole").groupBy(*KEYS).agg(F.collect_list(F.struct("at", "n")).alias("looks")))
     texts = keyed.join(looks, KEYS)
     windows = checkpointed(texts.select(*KEYS, "text", "looks").mapInArrow(window_rows(unit, KEYS), f"{_KEY_TYPES}, at int, fp1 long, fp2 long"))
-    firsts = windows.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
+    firsts = checkpointed(windows.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi"))
     later = windows.join(firsts, ["fp1", "fp2"]).filter(F.col("doc_id") > F.col("lo")).select(*KEYS, "at", F.lit(1).alias("n"))
     spans = told.filter("whole").select(*KEYS, "at", "n").unionByName(later)
     return spans.groupBy(*KEYS).agg(F.collect_set(F.struct("at", "n")).alias("spans"))
