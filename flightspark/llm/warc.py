@@ -74,7 +74,7 @@ def payload_keys(pages: DataFrame, key: str = "page_id", html: str = "html") ->
 def decisions(narrow: DataFrame) -> DataFrame:
     """(page_id, digest, refers_to) for the rows that revisit; keys by themselves are not listed."""
     groups = narrow.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = narrow.join(groups.drop("n"), ["digest", "size"])
+    rows = narrow.join(checkpointed(groups.drop("n")), ["digest", "size"])
     return rows.filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
