@@ -144,18 +144,20 @@ def candidates(docs: DataFrame, bands: int = BANDS, per: int = ROWS) -> DataFram
     """Pairs (a, b), a < b, to be verified among documents with different texts."""
     keys = checkpointed(docs.select("doc_id", "text").mapInArrow(_banded(bands, per), "doc_id long, keys array<long>"))
     rows = keys.select("doc_id", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Small sides are written first: a join with a written table can be split where a bucket is hot.
+    sizes = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = checkpointed(rows.join(sizes, "key").select("key", "doc_id", "n"))
-    met = shared.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("met"))
+    met = checkpointed(shared.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("met")))
     ranked = shared.join(met, "doc_id").select("key", "doc_id", "n", F.struct("met", -F.col("doc_id")).alias("rank"))
     ranked = checkpointed(ranked)
-    # A small bucket needs all its members, a large one its first two; max_by with k keeps that many per task before the shuffle.
+    # A small bucket needs all its members, a large one its first two.
     few = ranked.filter(F.col("n") <= WHOLE).groupBy("key").agg(F.collect_set("doc_id").alias("hubs"))
     large = ranked.filter(F.col("n") > WHOLE)
-    top = large.groupBy("key").agg(F.max("rank").alias("top"))
+    top = checkpointed(large.groupBy("key").agg(F.max("rank").alias("top")))
     second = large.join(top, "key").filter(F.col("rank") < F.col("top")).groupBy("key").agg(F.max("rank").alias("next"))
     hubs = top.join(second, "key", "left").select("key", F.array_compact(F.array(-F.col("top.col2"), -F.col("next.col2"))).alias("hubs"))
-    met_by = ranked.select("key", "doc_id").join(few.unionByName(hubs), "key").select("doc_id", F.explode("hubs").alias("hub")).filter("doc_id <> hub")
+    hubs = checkpointed(few.unionByName(hubs))
+    met_by = ranked.select("key", "doc_id").join(hubs, "key").select("doc_id", F.explode("hubs").alias("hub")).filter("doc_id <> hub")
     return met_by.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
@@ -175,8 +177,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, per:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = rows.filter("doc_id IS NOT NULL")
     narrow = checkpointed(known.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")))
-    first = narrow.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    copies = checkpointed(narrow.join(first.filter("n > 1"), ["h1", "h2"]).filter("doc_id <> first").select("doc_id", "first").distinct())
+    first = checkpointed(narrow.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    copies = checkpointed(narrow.join(first, ["h1", "h2"]).filter("doc_id <> first").select("doc_id", "first").distinct())
     # Only the first of equal texts is compared; a copy's id may still stand for another text of its own.
     single = known.join(copies.groupBy("doc_id").agg(F.min("first").alias("first")), "doc_id", "left_anti")
     found = checkpointed(links(single, candidates(single, bands, per), least))
