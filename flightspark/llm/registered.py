@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightspark.llm import decontaminate, probminhash, quality_crf, quality_rules, substring, toxicity, warc
+from flightspark.llm import decontaminate, probminhash, quality_crf, quality_rules, runlength, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_crf.score(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_runlength_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = runlength.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", "_cut.kept_sha256")
