@@ -140,9 +140,10 @@ def _verifier(least: float):
     return run
 
 
-def candidates(docs: DataFrame, bands: int = BANDS, per: int = ROWS) -> DataFrame:
-    """Pairs (a, b), a < b, to be verified among documents with different texts."""
-    keys = checkpointed(docs.select("doc_id", "text").mapInArrow(_banded(bands, per), "doc_id long, keys array<long>"))
+def candidates(docs: DataFrame, without: DataFrame, bands: int = BANDS, per: int = ROWS) -> DataFrame:
+    """Pairs (a, b), a < b, to be verified, among the documents not listed in `without`."""
+    keys = docs.select("doc_id", "text").mapInArrow(_banded(bands, per), "doc_id long, keys array<long>")
+    keys = checkpointed(keys.join(without.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti"))
     rows = keys.select("doc_id", F.explode("keys").alias("key"))
     # Small sides are written first: a join with a written table can be split where a bucket is hot.
     sizes = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -165,7 +166,8 @@ def links(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataF
     """(a, b, similarity) of the pairs that reach `least`, by their texts."""
     pairs = checkpointed(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = checkpointed(docs.select("doc_id", "text").join(wanted, "doc_id"))
+    # The same plan at every size: the texts are dealt by id, however few of them are wanted.
+    texts = checkpointed(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id"))
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(_verifier(least), "a long, b long, similarity double")
@@ -179,9 +181,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, per:
     narrow = checkpointed(known.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")))
     first = checkpointed(narrow.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     copies = checkpointed(narrow.join(first, ["h1", "h2"]).filter("doc_id <> first").select("doc_id", "first").distinct())
-    # Only the first of equal texts is compared; a copy's id may still stand for another text of its own.
-    single = known.join(copies.groupBy("doc_id").agg(F.min("first").alias("first")), "doc_id", "left_anti")
-    found = checkpointed(links(single, candidates(single, bands, per), least))
+    # Only the first of equal texts is compared.
+    found = checkpointed(links(known, candidates(known, copies, bands, per), least))
     edges = found.select("a", "b").unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     groups = connected_components(edges, [], "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
     degree = found.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
