@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightspark.llm import decontaminate, probminhash, quality_crf, quality_rules, runlength, substring, toxicity, warc
+from flightspark.llm import decontaminate, probminhash, quality_crf, quality_rules, runlength, sentencepieces, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,10 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_runlength_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = runlength.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", "_cut.kept_sha256")
+
+
+@query
+def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepieces.encode(table(spark, sf_dir, "documents"))
+    decoded = sentencepieces.decoder(spark)(F.col("ids"))
+    return coded.select("doc_id", "n_pieces", "ids", F.sha2(decoded, 256).alias("decoded_sha256"))
