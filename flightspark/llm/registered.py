@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightspark.llm import decontaminate, probminhash, quality_crf, quality_rules, runlength, sentencepieces, substring, toxicity, warc
+from flightspark.llm import decontaminate, probminhash, quality_crf, quality_rules, runlength, sentencepieces, substring, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,13 @@ def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepieces.encode(table(spark, sf_dir, "documents"))
     decoded = sentencepieces.decoder(spark)(F.col("ids"))
     return coded.select("doc_id", "n_pieces", "ids", F.sha2(decoded, 256).alias("decoded_sha256"))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents, then after edits that take out lines standing earlier in their document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer = token_counts.Tokenizer.load()
+    edited = token_counts.follow(token_counts.with_counts(docs, tokenizer), token_counts.line_edits(docs), tokenizer)
+    return edited.select("doc_id", token_counts.total("_tree").alias("tokens_before"), token_counts.total("_edited.tree").alias("tokens_after"),
+                         "_edited.leaves", F.col("_edited.encoded").alias("leaves_encoded"), "_edited.encoded_bytes")
