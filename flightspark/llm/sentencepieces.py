@@ -384,7 +384,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, hot_units: int
     vocabulary = vocabulary or Vocabulary.load()
     spark = docs.sparkSession
     words = checkpointed(units(docs, vocabulary))
-    codes = checkpointed(encode_units(words, vocabulary))
+    # Few bytes but much work a unit: dealt out by number, not by size; the lattice then needs no shuffle of its own.
+    dealt = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid")
+    codes = checkpointed(encode_units(dealt, vocabulary))
     # The most frequent units, so many a bucket; buckets are even since they go by hash.
     buckets = 64
     order = Window.partitionBy(F.pmod("uid", F.lit(buckets))).orderBy(F.desc("n"), "uid")
