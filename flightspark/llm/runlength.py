@@ -2,7 +2,7 @@
 
 Candidates come from winnowed seeds (see `seeds`): equal 400-byte windows share their seed, so each seed's stretches can be judged
 by themselves. A stretch whose whole content occurs again is removed as it is. Where several contents share a seed, one copy of each
-goes to an index block: its Burrows-Wheeler transform is kept as runs with the text positions sampled at their ends and the match
+is cut to what another stretch of the seed can share, and what is still different goes to an index block: its Burrows-Wheeler transform is kept as runs with the text positions sampled at their ends and the match
 length with the neighbouring suffix at each sample. Inside a run the match length falls by one per text position, so streaming
 along the text from the samples gives the matching statistics of every position against all other positions of the block, and
 positions with a match of 400 bytes or more start repeated windows.
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightspark.llm.bytes_kit import Rolling, U64, buffers, runs, slices
-from flightspark.llm.seeds import Unit, seed_rows, window_rows
+from flightspark.llm.bytes_kit import Rolling, U64, buffers, mix, runs, slices
+from flightspark.llm.seeds import Unit, seed_rows
 from flightspark.llm.substring import _marked
 from flightspark.session import checkpointed
 
 BYTES = Unit(words=False, length=400, seed=32)
+#: Steps in bytes in which the shared ends of stretches are looked up.
+GRID = 32
 #: Different contents around one seed that go into an index block; a seed with more is counted by window fingerprints.
 BLOCK_KINDS = 600
 #: Bytes of contents in a block, at which the next seed opens a new one.
@@ -133,8 +135,20 @@ def repeated_in(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
 # ---- spans of repeated windows over all documents ----------------------------------------------------------------------------
 
 
+def _codes(body: bytes, ahead: int, seed: int, unit: Unit) -> np.ndarray:
+    """One number for each length on a grid to which the stretch is taken to the left and to the right of its seed."""
+    roll = Rolling(np.frombuffer(body, np.uint8) + U64(1))
+    left = np.arange(GRID, ahead + 1, GRID)
+    right = np.arange(unit.seed + GRID, min(len(body) - ahead, unit.length) + 1, GRID)
+    at = np.full(len(left) + len(right), ahead, np.int64)
+    start = np.concatenate([ahead - left, at[len(left):]])
+    end = np.concatenate([at[: len(left)], ahead + right])
+    side = np.concatenate([np.zeros(len(left), U64), np.ones(len(right), U64)])
+    return mix(roll.of(start, end) ^ mix(U64(seed & ((1 << 64) - 1)) + side)).view(np.int64)
+
+
 def _bodies(unit: Unit):
-    """mapInArrow body: (keys, text, looks) to the contents of the listed stretches."""
+    """mapInArrow body: (keys, text, looks) to the contents of the listed stretches with their codes, left ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,15 +156,53 @@ def _bodies(unit: Unit):
             looks = batch.column("looks")
             flat = looks.flatten()
             row = np.repeat(np.arange(len(looks)), np.diff(np.asarray(looks.offsets, dtype=np.int64)))
-            at, n = flat.field("at").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
+            at, n, ahead, seed = (flat.field(c).to_numpy().astype(np.int64) for c in ("at", "n", "ahead", "seed"))
             start = off[row] + at
             raw = data.tobytes()
-            for i in range(0, len(at), 4000):
-                own = slice(i, min(i + 4000, len(at)))
+            for i in range(0, len(at), 2000):
+                own = slice(i, min(i + 2000, len(at)))
                 body = [raw[s: s + m + unit.length - 1] for s, m in zip(start[own], n[own])]
+                codes = [_codes(b, int(p), int(s), unit) for b, p, s in zip(body, ahead[own], seed[own])]
                 keys = batch.select(KEYS).take(pa.array(row[own])).columns
-                yield pa.RecordBatch.from_arrays([*keys, flat.field("seed").slice(own.start, len(body)), flat.field("many").slice(own.start, len(body)),
-                                                  pa.array(at[own].astype(np.int32)), pa.array(body, pa.binary())], names=[*KEYS, "seed", "many", "at", "body"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)), pa.array(np.concatenate(codes)))
+                yield pa.RecordBatch.from_arrays([*keys, flat.field("seed").slice(own.start, len(body)), flat.field("many").slice(own.start, len(body)), pa.array(at[own].astype(np.int32)),
+                                                  pa.array(ahead[own].astype(np.int32)), pa.array(body, pa.binary()), lists], names=[*KEYS, "seed", "many", "at", "ahead", "body", "codes"])
+
+    return run
+
+
+def trimmed(stretch: DataFrame, unit: Unit) -> DataFrame:
+    """Stretches without the ends that no other stretch of their seed shares, where a window is left: (keys, seed, many, at, body).
+
+    A window can only occur again if its part left of the seed does, and its part right of it. Both parts are looked up on a grid
+    of lengths; what lies beyond the next length of the grid is cut."""
+    each = stretch.select(*KEYS, "at", "ahead", F.posexplode("codes").alias("k", "code"))
+    twice = checkpointed(each.groupBy("code").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("code"))
+    lefts = F.expr(f"CAST(ahead div {GRID} AS INT)")
+    found = each.join(twice, "code").select(*KEYS, "at", F.when(F.col("k") < lefts, F.col("k") + 1).alias("l"), F.when(F.col("k") >= lefts, F.col("k") - lefts + 1).alias("r"))
+    reach = checkpointed(found.groupBy(*KEYS, "at").agg(F.coalesce(F.max("l"), F.lit(0)).alias("l"), F.coalesce(F.max("r"), F.lit(0)).alias("r")))
+    both = stretch.drop("codes").join(reach.hint("merge"), [*KEYS, "at"])
+    size = F.octet_length("body")
+    left = F.least(F.col("ahead"), F.col("l") * GRID + GRID - 1)
+    right = F.least(size - F.col("ahead"), F.lit(unit.seed) + F.col("r") * GRID + GRID - 1)
+    out = both.withColumn("left", left).withColumn("right", right).filter(F.col("left") + F.col("right") >= unit.length)
+    skip = F.col("ahead") - F.col("left")
+    return out.select(*KEYS, "seed", "many", (F.col("at") + skip).cast("int").alias("at"), F.substring("body", skip + 1, F.col("left") + F.col("right")).alias("body"))
+
+
+def _body_windows(unit: Unit):
+    """mapInArrow body: contents to one row per window, with its fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, data, off in slices(batch.column("body")):
+                at = np.concatenate([np.arange(a, b - unit.length + 1) for a, b in zip(off[:-1], off[1:])])
+                row = np.searchsorted(off, at, "right") - 1
+                one, two = Rolling(data + U64(1), 0).of(at, at + unit.length), Rolling(mix(data + U64(77)), 1).of(at, at + unit.length)
+                own = batch.take(pa.array(row + i))
+                place = own.column("at").to_numpy() + at - off[row]
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("th"), own.column("many"), pa.array(place.astype(np.int32)), pa.array(one.view(np.int64)),
+                                                  pa.array(two.view(np.int64))], names=[*KEYS, "many", "at", "fp1", "fp2"])
 
     return run
 
@@ -187,28 +239,36 @@ def repeated_spans(docs: DataFrame, unit: Unit = BYTES, block_kinds: int = BLOCK
     keyed = _keyed(docs)
     seeds = keyed.mapInArrow(seed_rows(unit, [], False), "seed long")
     shared = checkpointed(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("seed"))
-    full = keyed.mapInArrow(seed_rows(unit, KEYS, True), f"{_KEY_TYPES}, seed long, at int, n int, fp1 long, fp2 long")
+    full = keyed.mapInArrow(seed_rows(unit, KEYS, True), f"{_KEY_TYPES}, seed long, at int, n int, ahead int, fp1 long, fp2 long")
     found = checkpointed(full.join(shared, "seed"))
 
-    contents = checkpointed(found.groupBy("seed", "fp1", "fp2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*KEYS, "at", "n")).alias("one")))
+    contents = checkpointed(found.groupBy("seed", "fp1", "fp2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*KEYS, "at", "n", "ahead")).alias("one")))
     kinds = checkpointed(contents.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
     many = checkpointed(contents.filter("c > 1").select("seed", "fp1", "fp2"))
     whole = found.join(many, ["seed", "fp1", "fp2"]).select(*KEYS, "at", "n")
 
-    looks = contents.join(kinds, "seed").select("one.doc_id", "one.th", F.struct("seed", (F.col("c") > 1).alias("many"), "one.at", "one.n", "kinds").alias("look"))
+    # Where contents differ around a seed, one copy of each is cut to what others share; what is equal then is repeated whole.
+    looks = contents.join(kinds, "seed").select("one.doc_id", "one.th", F.struct("seed", (F.col("c") > 1).alias("many"), "one.at", "one.n", "one.ahead").alias("look"))
     looks = looks.groupBy(*KEYS).agg(F.collect_list("look").alias("looks"))
-    hot = lambda x: x["kinds"] > block_kinds
-    # Rows with one id and one text are copies of each other and come several times here; that only repeats what is marked already.
-    texts = keyed.join(looks, KEYS)
-    texts = texts.withColumn("hot", F.filter("looks", hot)).withColumn("looks", F.filter("looks", lambda x: ~hot(x)))
-    texts = checkpointed(texts)
-    bodies = texts.filter(F.size("looks") > 0).select(*KEYS, "text", "looks").mapInArrow(_bodies(unit), f"{_KEY_TYPES}, seed long, many boolean, at int, body binary")
-    marked = bodies.repartition("seed").sortWithinPartitions("seed", *KEYS, "at").mapInArrow(_blocks(unit, block_bytes), f"{_KEY_TYPES}, at int, n int")
-
-    windows = texts.filter(F.size("hot") > 0).select(*KEYS, "text", F.col("hot").alias("looks")).mapInArrow(window_rows(unit, KEYS), f"{_KEY_TYPES}, at int, fp1 long, fp2 long")
+    # Rows with one id and one text come once each; a copy repeats what is marked already.
+    texts = keyed.join(looks.hint("merge"), KEYS).select(*KEYS, "text", "looks")
+    stretch = checkpointed(texts.mapInArrow(_bodies(unit), f"{_KEY_TYPES}, seed long, many boolean, at int, ahead int, body binary, codes array<long>"))
+    cut = trimmed(stretch, unit).withColumn("f1", F.xxhash64("body")).withColumn("f2", F.xxhash64(F.lit(1), "body"))
+    cut = checkpointed(cut)
+    narrow = cut.select(*KEYS, "seed", "many", "at", (F.octet_length("body") - (unit.length - 1)).alias("n"), "f1", "f2")
+    groups = checkpointed(narrow.groupBy("seed", "f1", "f2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*KEYS, "at")).alias("one"), F.max("many").alias("many")))
+    alike = checkpointed(groups.filter("c > 1").select("seed", "f1", "f2"))
+    whole = whole.unionByName(narrow.filter("NOT many").join(alike, ["seed", "f1", "f2"]).select(*KEYS, "at", "n"))
+    left = checkpointed(groups.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+    ones = groups.join(left, "seed").select("one.doc_id", "one.th", "one.at", (F.col("many") | (F.col("c") > 1)).alias("many"), "kinds")
+    rest = checkpointed(cut.drop("many", "f1", "f2").join(ones.hint("merge"), [*KEYS, "at"]))
+    small = rest.filter(F.col("kinds") <= block_kinds).select(*KEYS, "seed", "many", "at", "body")
+    marked = small.repartition("seed").sortWithinPartitions("seed", *KEYS, "at").mapInArrow(_blocks(unit, block_bytes), f"{_KEY_TYPES}, at int, n int")
+
+    windows = rest.filter(F.col("kinds") > block_kinds).select(*KEYS, "many", "at", "body").mapInArrow(_body_windows(unit), f"{_KEY_TYPES}, many boolean, at int, fp1 long, fp2 long")
     windows = checkpointed(windows)
     twice = checkpointed(windows.groupBy("fp1", "fp2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
-    again = windows.join(twice, ["fp1", "fp2"]).select(*KEYS, "at", F.lit(1).alias("n"))
+    again = windows.filter("NOT many").join(twice, ["fp1", "fp2"]).select(*KEYS, "at", F.lit(1).alias("n"))
     spans = whole.unionByName(marked).unionByName(again)
     return spans.groupBy(*KEYS).agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 

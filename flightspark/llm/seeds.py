@@ -63,12 +63,12 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1: n])
 
 
-def stretches(s: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first window, windows, seed hash) of every stretch in a slice; windows never leave a row."""
+def stretches(s: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first window, windows, seed hash, seed place) of every stretch in a slice; windows never leave a row."""
     length, k = s.unit.length, s.unit.seed
     n = len(s.values)
     if n < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64), np.zeros(0, np.int64))
     grams = s.roll.grams(k)
     # Ties go to the leftmost gram, which depends on the window alone.
     least = sliding_min((grams & ~_LOW) | np.arange(len(grams), dtype=U64), length - k + 1)
@@ -84,7 +84,7 @@ def stretches(s: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     after = np.append(stop, len(at))[np.searchsorted(stop, first)]
     end = np.minimum(np.append(first[1:], len(at)), after)
     row = np.searchsorted(s.first, first, "right") - 1
-    return row, first, end - first, grams[at[first]]
+    return row, first, end - first, grams[at[first]], at[first]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -92,13 +92,15 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def seed_rows(unit: Unit, keys: list[str], full: bool):
-    """mapInArrow body: (keys, text) to stretches. Without `full` only the seed is returned."""
+    """mapInArrow body: (keys, text) to stretches. Without `full` only the seed is returned.
+
+    `at` is the first window, `n` their number, `ahead` the symbols of the stretch before its seed, fp1 and fp2 its content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, data, off in slices(batch.column("text")):
                 s = Symbols(unit, data, off)
-                row, first, count, seed = stretches(s)
+                row, first, count, seed, place = stretches(s)
                 if not len(row):
                     continue
                 own = batch.select(keys).take(pa.array(row + i)).columns
@@ -106,8 +108,9 @@ def seed_rows(unit: Unit, keys: list[str], full: bool):
                 names = [*keys, "seed"]
                 if full:
                     a, b = s.prints(first, first + count + unit.length - 1)
-                    cols += [pa.array((first - s.first[row]).astype(np.int32)), pa.array(count.astype(np.int32)), _signed(a), _signed(b)]
-                    names += ["at", "n", "fp1", "fp2"]
+                    cols += [pa.array((first - s.first[row]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array((place - first).astype(np.int32)),
+                             _signed(a), _signed(b)]
+                    names += ["at", "n", "ahead", "fp1", "fp2"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run

@@ -43,7 +43,7 @@ def repeated_windows(docs: DataFrame, unit: Unit = WORDS) -> DataFrame:
     shared = narrow.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("seed")
     # Written, so that the join with it can be split where a seed is hot; so are the other small sides below.
     shared = checkpointed(shared)
-    full = keyed.mapInArrow(seed_rows(unit, KEYS, True), f"{_KEY_TYPES}, seed long, at int, n int, fp1 long, fp2 long")
+    full = keyed.mapInArrow(seed_rows(unit, KEYS, True), f"{_KEY_TYPES}, seed long, at int, n int, ahead int, fp1 long, fp2 long")
     found = checkpointed(full.join(shared, "seed"))
 
     contents = checkpointed(found.groupBy("seed", "fp1", "fp2").agg(F.min("doc_id").alias("lo")))
