@@ -71,8 +71,8 @@ class Vocabulary:
             return 1 << 30
         longest = max(runs)
         others = [(p, s) for p, _, s in self.pieces if len(p) > 1 and p.strip(mark)]
-        if longest > 30 or any(mark * 2 in p for p, _ in others) or runs.get(2, 0.0) > min((s for _, s in others), default=0.0):
-            raise ValueError("pieces of space marks mix with others in this model")
+        if longest > 30 or self.longest() > 31 or self.size > 1 << 17 or any(mark * 2 in p for p, _ in others) or runs.get(2, 0.0) > min((s for _, s in others), default=0.0):
+            raise ValueError("this model has pieces that are too long or mix with space marks")
         for k in range(2, 3 * longest):
             sizes = [1] * k
             while True:
@@ -204,86 +204,100 @@ def units(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 # ---- the lattice -------------------------------------------------------------------------------------------------------------
 
+#: Characters up to which the bounds of a unit are the bits of one number.
+NARROW = 61
+# Edges of a byte-pair lattice are numbers. An edge of several characters: whether it is of space marks only (1 bit), rank (17),
+# start (22), length (5), id (18), so that they sort in the order of merging. An edge of one character is -1 - (start << 22 | what),
+# what being its id, or its code point with bit 21 set if it has no piece.
+_S, _E, _ID = "(shiftright(x, 23) & 4194303L)", "((shiftright(x, 23) & 4194303L) + (shiftright(x, 18) & 31L))", "CAST(x & 262143L AS INT)"
+_MARKS = "shiftleft(1L, 62)"
+
 
-def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(uid, size, edges): for each unit its pieces as (marks, rank, s, e, id, score), positions counted from 0; id -1 where a character
-    has no piece. The piece table is bounded by the model, and so is its broadcast."""
-    spark = words.sparkSession
+def _substrings(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(uid, size, s, l, piece, id, rank, score): the substrings that are pieces, and characters without one, whose id is null.
+
+    The piece table is bounded by the model, and so is its broadcast."""
     size = F.char_length("unit")
     starts = words.select("uid", "unit", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
     lengths = F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest()), F.col("size") - F.col("s")))
     subs = starts.select("uid", "size", "s", "unit", F.explode(lengths).alias("l"))
     subs = subs.select("uid", "size", "s", "l", F.substring("unit", F.col("s") + 1, F.col("l")).alias("piece"))
-    edges = subs.join(F.broadcast(vocabulary.table(spark)), "piece", "left").filter("id IS NOT NULL OR l = 1")
-    marks = F.col("piece").rlike(f"^{chr(SPACE_MARK)}{{2,}}$")
-    edge = F.struct(marks.alias("marks"), F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "s", (F.col("s") + F.col("l")).alias("e"), F.coalesce("id", F.lit(-1)).alias("id"),
-                    F.coalesce("score", F.lit(-1e6)).alias("score"))
-    return edges.groupBy("uid").agg(F.max("size").alias("size"), F.collect_list(edge).alias("edges"))
-
-
-#: Characters up to which the bounds of a unit are the bits of one number.
-NARROW = 61
-
-
-def best_paths(found: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(uid, path): the chosen edges (s, e, id) of each unit, from left to right."""
-    if not vocabulary.merges:
-        # best[e] = (sum of scores, -s, id) over edges into e, each added to best[s]; then back from the end.
-        start = "array(struct(CAST(0 AS DOUBLE) AS v, 0 AS s, -2 AS id))"
-        step = ("(a, e) -> concat(a, array(array_max(transform(filter(edges, x -> x.e = e), "
-                "x -> struct(a[x.s].v + x.score AS v, x.s AS s, x.id AS id)))))")
-        best = found.withColumn("best", F.expr(f"aggregate(sequence(1, size), {start}, {step})"))
-        # Walk back with a counter that never needs more steps than the unit has characters.
-        back = ("aggregate(sequence(1, size), struct(size AS at, CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, id: INT>>) AS p), "
-                "(a, i) -> IF(a.at = 0, a, struct(best[a.at].s AS at, concat(array(struct(best[a.at].s AS s, a.at AS e, best[a.at].id AS id)), a.p) AS p))).p")
-        return best.select("uid", F.expr(back).alias("path"))
-    inner = "(shiftleft(1L, x.e) - shiftleft(2L, x.s))"
-    ends = "(a & shiftleft(1L, x.s)) <> 0 AND (a & shiftleft(1L, x.e)) <> 0"
-    merges = f"{ends} AND bit_count(a & {inner}) = 1"
-    proper = "array_sort(filter(edges, x -> NOT x.marks AND x.e > x.s + 1))"
-    fold = f"aggregate({proper}, shiftleft(1L, size + 1) - 1, (a, x) -> CASE WHEN {merges} THEN a & ~{inner} ELSE a END)"
+    return subs.join(F.broadcast(vocabulary.table(words.sparkSession)), "piece", "left").filter("id IS NOT NULL OR l = 1")
+
+
+def _viterbi(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(uid, path) by the highest sum of scores; path holds the chosen edges (s, id, code) from left to right."""
+    edge = F.struct("s", (F.col("s") + F.col("l")).alias("e"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(-1e6)).alias("score"),
+                    F.when(F.col("id").isNull(), F.ascii("piece")).alias("code"))
+    found = _substrings(words, vocabulary).groupBy("uid").agg(F.max("size").alias("size"), F.collect_list(edge).alias("edges"))
+    # best[e] = (sum of scores, start, id, code) of the best edge into e; then back from the end.
+    start = "array(struct(CAST(0 AS DOUBLE) AS v, 0 AS s, -2 AS id, CAST(NULL AS INT) AS code))"
+    step = ("(a, e) -> concat(a, array(array_max(transform(filter(edges, x -> x.e = e), "
+            "x -> struct(a[x.s].v + x.score AS v, x.s AS s, x.id AS id, x.code AS code)))))")
+    best = found.withColumn("best", F.expr(f"aggregate(sequence(1, size), {start}, {step})"))
+    back = ("aggregate(sequence(1, size), struct(size AS at, CAST(array() AS ARRAY<STRUCT<s: INT, id: INT, code: INT>>) AS p), "
+            "(a, i) -> IF(a.at = 0, a, struct(best[a.at].s AS at, concat(array(struct(best[a.at].s AS s, best[a.at].id AS id, best[a.at].code AS code)), a.p) AS p))).p")
+    return best.select("uid", F.expr(back).alias("path"))
+
+
+def _merged(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(uid, path) by merges: the symbol bounds of a unit are folded over its edges in order."""
+    marks = F.col("piece").rlike(f"^{chr(SPACE_MARK)}{{2,}}$").cast("long")
+    put = lambda c, bits: F.shiftleft(F.col(c).cast("long"), bits)
+    many = F.shiftleft(marks, 62) + put("rank", 45) + put("s", 23) + put("l", 18) + F.col("id").cast("long")
+    one = F.lit(-1) - (put("s", 22) + F.coalesce(F.col("id"), F.ascii("piece") + F.lit(1 << 21)).cast("long"))
+    edges = _substrings(words, vocabulary).select("uid", "size", F.when(F.col("l") > 1, many).otherwise(one).alias("edge"))
+    found = edges.groupBy("uid").agg(F.max("size").alias("size"), F.collect_list("edge").alias("edges"))
+
+    inner = f"(shiftleft(1L, CAST({_E} AS INT)) - shiftleft(2L, CAST({_S} AS INT)))"
+    rim = f"(shiftleft(1L, CAST({_E} AS INT)) | shiftleft(1L, CAST({_S} AS INT)))"
+    merges = f"(a & {rim}) = {rim} AND bit_count(a & {inner}) = 1"
+    proper = f"array_sort(filter(edges, x -> x >= 0 AND x < {_MARKS}))"
+    fold = f"aggregate({proper}, shiftleft(1L, size + 1) - 1, (a, x) -> IF({merges}, a & ~{inner}, a))"
     # Pieces of marks lie in the first few characters, so the low bits are enough for them.
-    after = (f"aggregate(sequence(1, 40), {{low}}, (a, i) -> aggregate(array(array_min(filter(edges, x -> x.marks AND {merges}))), a, "
+    after = (f"aggregate(sequence(1, 31), {{low}}, (a, i) -> aggregate(array(array_min(filter(edges, x -> x >= {_MARKS} AND {merges}))), a, "
              f"(b, x) -> IF(x IS NULL, b, b & ~{inner})))")
-    marked = "exists(edges, x -> x.marks)"
-    narrow = found.filter(F.col("size") <= NARROW).select("uid", "edges", F.expr(fold).alias("a"))
-    narrow = narrow.withColumn("a", F.expr(f"IF({marked}, {after.format(low='a')}, a)"))
-    keep = f"filter(edges, x -> {ends} AND (a & {inner}) = 0)"
-    order = "array_sort(transform({}, x -> struct(x.s AS s, x.e AS e, x.id AS id)))"
-    narrow = narrow.select("uid", F.expr(order.format(keep)).alias("path"))
+    marked = f"exists(edges, x -> x >= {_MARKS})"
     # Longer units: 32 bounds a word, so that an edge looks at few words.
-    word = "coalesce(a[CAST({0} div 32 AS INT)], 0L)"
-    bit = f"(shiftright({word}, CAST({{0}} % 32 AS INT)) & 1L)"
-    inside = f"aggregate(sequence(x.s, x.e), 0L, (c, i) -> c + {bit.format('i')})"
-    # The bounds strictly inside are all but the two ends.
-    clear = ("transform(a, (w, j) -> IF(j < x.s div 32 OR j > x.e div 32, w, "
-             "w & ~aggregate(sequence(x.s + 1, x.e - 1), 0L, (c, i) -> c | IF(i div 32 = j, shiftleft(1L, CAST(i % 32 AS INT)), 0L))))")
-    open_ends = f"{bit.format('x.s')} = 1L AND {bit.format('x.e')} = 1L"
+    bit = "(shiftright(coalesce(a[CAST({0} div 32 AS INT)], 0L), CAST({0} % 32 AS INT)) & 1L)"
+    inside = f"aggregate(sequence({_S}, {_E}), 0L, (c, i) -> c + {bit.format('i')})"
+    clear = (f"transform(a, (w, j) -> IF(j < {_S} div 32 OR j > {_E} div 32, w, "
+             f"w & ~aggregate(sequence({_S} + 1, {_E} - 1), 0L, (c, i) -> c | IF(i div 32 = j, shiftleft(1L, CAST(i % 32 AS INT)), 0L))))")
+    open_ends = f"{bit.format(_S)} = 1L AND {bit.format(_E)} = 1L"
     init = "transform(sequence(0, CAST(size div 32 AS INT)), j -> 4294967295L)"
-    wide_fold = f"aggregate({proper}, {init}, (a, x) -> CASE WHEN {open_ends} AND {inside} = 3L THEN {clear} ELSE a END)"
-    wide = found.filter(F.col("size") > NARROW).select("uid", "edges", F.expr(wide_fold).alias("a"))
-    wide = wide.withColumn("a", F.expr(f"IF({marked}, transform(a, (w, j) -> IF(j = 0, {after.format(low='w')}, w)), a)"))
-    wide = wide.select("uid", F.expr(order.format(f"filter(edges, x -> {open_ends} AND {inside} = 2L)")).alias("path"))
-    return narrow.unionByName(wide)
+    wide_fold = f"aggregate({proper}, {init}, (a, x) -> IF({open_ends} AND {inside} = 3L, {clear}, a))"
+
+    small = f"size <= {NARROW}"
+    folded = found.withColumn("a", F.expr(f"IF({small}, {fold}, 0L)")).withColumn("w", F.expr(f"IF({small}, NULL, {wide_fold})"))
+    folded = folded.withColumn("a", F.expr(f"IF({marked} AND {small}, {after.format(low='a')}, a)"))
+    folded = folded.withColumn("w", F.expr(f"IF({marked} AND w IS NOT NULL, transform(w, (v, j) -> IF(j = 0, {after.format(low='v')}, v)), w)"))
+    z = "(-1L - x)"
+    at, what = f"shiftright({z}, 22)", f"({z} & 4194303L)"
+    single = f"struct(CAST({at} AS INT) AS s, IF({what} < 2097152L, CAST({what} AS INT), -1) AS id, IF({what} < 2097152L, NULL, CAST({what} - 2097152L AS INT)) AS code)"
+    several = f"struct(CAST({_S} AS INT) AS s, {_ID} AS id, CAST(NULL AS INT) AS code)"
+    pick = "array_sort(concat(transform(filter(edges, x -> x >= 0 AND {many}), x -> {several}), transform(filter(edges, x -> x < 0 AND {one}), x -> {single})))"
+    near = pick.format(many=f"(a & {rim}) = {rim} AND (a & {inner}) = 0", one=f"(shiftright(a, CAST({at} AS INT)) & 3L) = 3L", several=several, single=single)
+    far = pick.format(many=f"{open_ends} AND {inside} = 2L", one=f"{bit.format(at)} = 1L AND {bit.format(f'({at} + 1)')} = 1L", several=several, single=single).replace("a[CAST(", "w[CAST(")
+    return folded.select("uid", F.expr(f"IF({small}, {near}, {far})").alias("path"))
 
 
 def encode_units(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(uid, ids) for a table (uid, unit, ...) of different units."""
-    paths = best_paths(lattice(words, vocabulary), vocabulary)
-    plain = paths.select("uid", F.transform("path", lambda x: x["id"]).alias("ids"), F.exists("path", lambda x: x["id"] < 0).alias("odd"), "path")
+    paths = (_merged if vocabulary.merges else _viterbi)(words, vocabulary)
     if vocabulary.byte_ids is None:
-        return plain.select("uid", F.transform("ids", lambda x: F.when(x < 0, F.lit(vocabulary.unknown)).otherwise(x)).alias("ids"))
-    # Only units with a character of no piece are joined with their text again, for its bytes.
+        return paths.select("uid", F.transform("path", lambda x: F.when(x["id"] < 0, F.lit(vocabulary.unknown)).otherwise(x["id"])).alias("ids"))
     table = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
-    odd = plain.filter("odd").join(words.select("uid", "unit"), "uid")
 
     def spelled(x: Column) -> Column:
-        code = F.hex(F.encode(F.substring("unit", x["s"] + 1, F.lit(1)), "utf-8"))
-        numbers = F.transform(F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int"))
+        c = x["code"]
+        tail = lambda k: F.shiftright(c, k).bitwiseAND(F.lit(63)) + 128
+        numbers = (F.when(c < 0x80, F.array(c)).when(c < 0x800, F.array(F.shiftright(c, 6) + 192, tail(0)))
+                   .when(c < 0x10000, F.array(F.shiftright(c, 12) + 224, tail(6), tail(0)))
+                   .otherwise(F.array(F.shiftright(c, 18) + 240, tail(12), tail(6), tail(0))))
         return F.when(x["id"] >= 0, F.array(x["id"])).otherwise(F.transform(numbers, lambda b: F.element_at(table, b + 1)))
 
-    odd = odd.select("uid", F.flatten(F.transform("path", spelled)).alias("ids"))
-    return plain.filter("NOT odd").select("uid", "ids").unionByName(odd)
+    plain = F.transform("path", lambda x: x["id"])
+    return paths.select("uid", F.when(F.exists("path", lambda x: x["id"] < 0), F.flatten(F.transform("path", spelled))).otherwise(plain).alias("ids"))
 
 
 # ---- documents ---------------------------------------------------------------------------------------------------------------
@@ -385,7 +399,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, hot_units: int
     spark = docs.sparkSession
     words = checkpointed(units(docs, vocabulary))
     # Few bytes but much work a unit: dealt out by number, not by size; the lattice then needs no shuffle of its own.
-    dealt = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid")
+    dealt = words.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "uid")
     codes = checkpointed(encode_units(dealt, vocabulary))
     # The most frequent units, so many a bucket; buckets are even since they go by hash.
     buckets = 64
