@@ -181,7 +181,7 @@ def trimmed(stretch: DataFrame, unit: Unit) -> DataFrame:
     lefts = F.expr(f"CAST(ahead div {GRID} AS INT)")
     found = each.join(twice, "code").select(*KEYS, "at", F.when(F.col("k") < lefts, F.col("k") + 1).alias("l"), F.when(F.col("k") >= lefts, F.col("k") - lefts + 1).alias("r"))
     reach = checkpointed(found.groupBy(*KEYS, "at").agg(F.coalesce(F.max("l"), F.lit(0)).alias("l"), F.coalesce(F.max("r"), F.lit(0)).alias("r")))
-    both = stretch.drop("codes").join(reach.hint("merge"), [*KEYS, "at"])
+    both = stretch.drop("codes").join(reach.hint("merge"), [*KEYS, "at"], "left").fillna(0, ["l", "r"])
     size = F.octet_length("body")
     left = F.least(F.col("ahead"), F.col("l") * GRID + GRID - 1)
     right = F.least(size - F.col("ahead"), F.lit(unit.seed) + F.col("r") * GRID + GRID - 1)
