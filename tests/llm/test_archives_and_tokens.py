@@ -176,9 +176,9 @@ def test_pipeline_against_brute_force(spark):
     clean = {}
     for i, t in cut.items():
         own = fold(t)
-        # The full alignment is slow: it is run where an item shares any twelve characters with the text.
-        close = [x for x in map(fold, items) if any(x[k:k + 12] in own for k in range(0, len(x) - 11, 4))]
-        if all(x not in own for x in close) and all(distance_in(x, own) > decontaminate.budget(len(x)) for x in close[:1 + 0 * len(close)]):
+        # Full alignment is slow: it is run where an item shares a stretch of 24 characters with the text, as planted items do.
+        close = [x for x in map(fold, items) if any(x[k:k + 24] in own for k in range(0, len(x) - 23, 8))]
+        if all(distance_in(x, own) > decontaminate.budget(len(x)) for x in close):
             clean[i] = t
     model = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
