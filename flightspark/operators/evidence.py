@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flightspark.functions import camera as C
 from flightspark.functions import rotation as R
-from flightspark.operators.scale import attach, exact_quantiles, range_chunks, with_rank
+from flightspark.operators.scale import attach, exact_quantiles, strided
 from flightspark.session import checkpointed
 
 FLIGHT = "flight_id"
@@ -178,16 +178,14 @@ def classify_semantics(surfels: DataFrame, by: str = FLIGHT) -> DataFrame:
                           "counted": live & ~(single & ~gone)}).select(*surfels.columns, "counted")
 
 
-def select_hr_targets(surfels: DataFrame, frames: DataFrame, limit: int = 1500, by: str = FLIGHT) -> DataFrame:
-    """Confident architectural surfels, strided to `limit` per flight, with their sharpest supporting frame.
+def select_hr_targets(surfels: DataFrame, frames: DataFrame, limit: int | None = None, by: str = FLIGHT) -> DataFrame:
+    """Confident architectural surfels (strided to `limit` per flight if given) with their sharpest supporting frame.
 
     `frames` has by, frame_id, sharpness; surfels carry supporting_frames.
     """
     t = surfels.filter((F.col("confidence_level") == "HIGH") & F.col("semantic_class").isin("facade", "roof", "building"))
-    t = with_rank(range_chunks(t, by, "element_id"), by, "element_id", "_rank").drop("_chunk")
-    t = attach(t, t.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), by)
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / limit))
-    t = t.filter((F.col("_rank") % step == 0) & (F.col("_rank") / step < limit)).drop("_rank", "_n")
+    if limit is not None:
+        t = strided(t, "element_id", limit, by)
     e = t.select(by, "element_id", F.explode("supporting_frames").alias("frame_id"))
     e = attach(e, frames.select(by, "frame_id", "sharpness"), [by, "frame_id"], "inner")
     best = e.groupBy(by, "element_id").agg(F.max_by("frame_id", F.struct("sharpness", -F.col("frame_id"))).alias("frame_id"))

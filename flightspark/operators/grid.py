@@ -83,7 +83,7 @@ def voxel_subsample(points: DataFrame, size: float, row_id: str, by: str = FLIGH
     return d.select(by, "_r.*")
 
 
-def stride_sample(points: DataFrame, order: list[str], limit: int = 60_000, by: tuple[str, ...] = (FLIGHT, "frame_id")) -> DataFrame:
+def stride_sample(points: DataFrame, order: list[str], limit: int, by: tuple[str, ...] = (FLIGHT, "frame_id")) -> DataFrame:
     """Every n-th point of frames with more than `limit` points."""
     by = list(by)
     d = with_rank(range_chunks(points, by, order), by, order, "_rank").drop("_chunk")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flightspark.functions import rotation as R
 from flightspark.operators.evidence import candidate_views
 from flightspark.operators.grid import nearest_neighbor, radius_join
-from flightspark.operators.scale import attach, exact_quantiles, range_chunks, with_rank
+from flightspark.operators.scale import attach, exact_quantiles, range_chunks, strided, with_rank
 from flightspark.session import checkpointed
 
 FLIGHT = "flight_id"
@@ -26,7 +26,7 @@ def plane_ransac(points: DataFrame, point_id: str, threshold: float = 0.08, hypo
     key = shuffle if shuffle is not None else F.xxhash64(point_id)
     p = points.select(FLIGHT, point_id, *XYZ)
     w = Window.partitionBy(FLIGHT).orderBy("_h", point_id)
-    drawn = p.withColumn("_h", key).withColumn("_r", F.row_number().over(w) - 1).filter(F.col("_r") < 3 * hypotheses)
+    drawn = p.withColumn("_h", key).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 3 * hypotheses).withColumn("_r", F.col("_r") - 1)
     drawn = drawn.withColumns({"hyp": F.floor(F.col("_r") / 3), "_k": F.col("_r") % 3})
     tri = drawn.groupBy(FLIGHT, "hyp").agg(*[F.max(F.when(F.col("_k") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in XYZ], F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == 3)
     sub = lambda k: [F.col(f"{c}{k}") - F.col(f"{c}0") for c in XYZ]
@@ -72,10 +72,11 @@ def plane_regularize(surfels: DataFrame, planes: DataFrame, threshold: float = 0
     return d.withColumns(new).select(*surfels.columns, "on_plane")
 
 
-def plane_gap_fill(surfels: DataFrame, planes: DataFrame, voxel: float, threshold: float = 0.06, near: float = 0.08, far: float = 1.5, limit: int = 500) -> DataFrame:
+def plane_gap_fill(surfels: DataFrame, planes: DataFrame, voxel: float, threshold: float = 0.06, near: float = 0.08, far: float = 1.5, limit: int | None = None) -> DataFrame:
     """New surfels in the gaps of each flight's plane: grid cells whose nearest surfel is neither here nor far away.
 
-    The first `limit` cells in grid order are taken, as the structural stage defines it.
+    All of them, or the first `limit` of each flight in grid order. Cells are measured against `surfels` as they are given:
+    regularise them first to follow the structural stage.
     """
     inl = _with_plane(surfels, planes, threshold).filter("on_plane")
     flat = F.hypot("p_nx", "p_ny")
@@ -93,24 +94,25 @@ def plane_gap_fill(surfels: DataFrame, planes: DataFrame, voxel: float, threshol
     cell = checkpointed(cell.withColumns(at).withColumn("cell", F.col("iu") * F.col("_nv") + F.col("iv")).select(FLIGHT, "cell", *XYZ, "facade", "p_nx", "p_ny", "p_nz", "r", "g", "b"))
     gap = nearest_neighbor(cell, surfels.filter(F.col("state") != "REJECTED"), "cell", "element_id", max(near, voxel), max_radius=far)
     hit = cell.join(gap.filter((F.col("distance") > near) & (F.col("distance") <= far)).select(FLIGHT, "cell"), [FLIGHT, "cell"], "left_semi")
-    hit = with_rank(range_chunks(hit, FLIGHT, "cell"), FLIGHT, "cell", "_rank").filter(F.col("_rank") < limit)
+    if limit is not None:
+        hit = with_rank(range_chunks(hit, FLIGHT, "cell"), FLIGHT, "cell", "_rank").filter(F.col("_rank") < limit)
     return hit.select(FLIGHT, "cell", *XYZ, F.col("p_nx").alias("nx"), F.col("p_ny").alias("ny"), F.col("p_nz").alias("nz"), "r", "g", "b", F.lit(1).alias("observation_count"), F.lit(1.5).alias("reprojection_error"),
                       F.lit(0.6).alias("model_confidence"), F.when(F.col("facade"), "facade").otherwise("roof").alias("semantic_class"), F.lit("STRUCTURAL_INFERRED").alias("provenance"),
                       F.lit("ACTIVE").alias("state"), F.lit(0.65).alias("confidence_score"), F.lit("MEDIUM").alias("confidence_level"))
 
 
-def boundary_candidates(surfels: DataFrame, poses: DataFrame, voxel: float, limit: int = 300) -> DataFrame:
+def boundary_candidates(surfels: DataFrame, poses: DataFrame, voxel: float, limit: int | None = None) -> DataFrame:
     """Continuations of weak surfels by a tangent step, unless a camera closer than a metre sees empty space there.
 
-    `poses` are the sampled views with their intrinsics; surfels carry visibility or confidence_level.
+    `poses` are the sampled views with their intrinsics; surfels carry visibility or confidence_level. With `limit`, weak
+    surfels of a flight are strided to about so many.
     """
     weak = F.col("confidence_level") == "LOW"
     if "visibility" in surfels.columns:
         weak = weak | (F.col("visibility") == "UNKNOWN")
-    b = with_rank(range_chunks(surfels.filter(weak), FLIGHT, "element_id"), FLIGHT, "element_id", "_rank").drop("_chunk")
-    b = attach(b, b.groupBy(FLIGHT).agg(F.count(F.lit(1)).alias("_n")), FLIGHT)
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / limit))
-    b = b.filter((F.col("_rank") % step == 0) & (F.col("_rank") / step < limit))
+    b = surfels.filter(weak)
+    if limit is not None:
+        b = strided(b, "element_id", limit, FLIGHT)
     flat = F.hypot("nx", "ny")
     c = checkpointed(b.withColumns({"x": F.col("x") + F.when(flat < 1e-4, 1.0).otherwise(F.col("ny") / flat) * (voxel * 1.2), "y": F.col("y") + F.when(flat < 1e-4, 0.0).otherwise(-F.col("nx") / flat) * (voxel * 1.2)}).select(
         FLIGHT, "element_id", *XYZ, *N, "r", "g", "b", "semantic_class"))

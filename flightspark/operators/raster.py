@@ -25,12 +25,16 @@ def ellipse(size: int) -> list[tuple[int, int]]:
     return out
 
 
-def raster_grid(vertices: DataFrame, gsd: float, lo: int = 32, hi: int = 8192) -> DataFrame:
-    """Extent, size and true ground sample distance of each flight's raster."""
+def raster_grid(vertices: DataFrame, gsd: float, lo: int = 32, hi: int | None = None) -> DataFrame:
+    """Extent, size and true ground sample distance of each flight's raster; `hi` bounds the cells of a side if given.
+
+    A raster is a table of its filled cells, so a large site costs rows only where it has some.
+    """
     b = vertices.groupBy(FLIGHT).agg(*[f(c).alias(f"{c}_{n}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))])
     for c in "xy":
         b = b.withColumn("span_" + c, F.greatest(F.lit(1.0), F.col(f"{c}_max") - F.col(f"{c}_min")))
-    size = lambda c: F.least(F.lit(hi), F.greatest(F.lit(lo), F.ceil(F.col("span_" + c) / gsd))).cast("long")
+    whole = lambda c: F.greatest(F.lit(lo), F.ceil(F.col("span_" + c) / gsd))
+    size = lambda c: (whole(c) if hi is None else F.least(F.lit(hi), whole(c))).cast("long")
     b = b.withColumns({"width": size("x"), "height": size("y")})
     return b.withColumns({"gsd_x": F.col("span_x") / F.col("width"), "gsd_y": F.col("span_y") / F.col("height")})
 
@@ -66,15 +70,14 @@ def close_mask(cells: DataFrame, grid: DataFrame, size: int = 5) -> DataFrame:
     return d.filter(F.col("_n") == on).select(*CELL)
 
 
-def raster_fill(raster: DataFrame, grid: DataFrame, size: int = 5, rounds: int = 4) -> DataFrame:
-    """Raster with the holes of its closed mask filled by the mean of the filled cells around them, ring by ring."""
+def raster_fill(raster: DataFrame, grid: DataFrame, size: int = 5) -> DataFrame:
+    """Raster with the holes of its closed mask filled by the mean of the filled cells around them, ring by ring
+    until none is left: a hole of the closed mask is at most `size` cells wide, so that takes about half as many rounds."""
     holes = checkpointed(close_mask(raster, grid, size).join(raster.select(*CELL), CELL, "left_anti"))
     full = checkpointed(raster.select(*CELL, *[F.col(c).cast("double").alias(c) for c in ("z", "r", "g", "b")], F.lit(False).alias("filled")))
     ring = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
     kernel = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ring])
-    for _ in range(rounds):
-        if holes.limit(1).count() == 0:
-            break
+    while holes.limit(1).count():
         near = full.withColumn("_o", F.explode(kernel)).withColumns({"row": F.col("row") + F.col("_o.dy"), "col": F.col("col") + F.col("_o.dx")})
         new = checkpointed(near.join(holes, CELL, "left_semi").groupBy(*CELL).agg(*[F.avg(c).alias(c) for c in ("z", "r", "g", "b")]).withColumn("filled", F.lit(True)))
         full = full.unionByName(new)

@@ -17,13 +17,6 @@ from flightspark.session import checkpointed
 
 CHUNK = "_chunk"
 
-# Largest table that is broadcast; checked by counting before the hint is given.
-BROADCAST_ROWS = 100_000
-# Tables up to this many rows are ordered inside plain windows; larger ones are range-sorted over all tasks.
-SMALL_ROWS = 2_000_000
-# Copies made of a lookup table too large to broadcast, so that a hot key is read by several tasks.
-SALTS = 16
-
 
 def _names(cols: Sequence[str] | str) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
@@ -32,13 +25,10 @@ def _names(cols: Sequence[str] | str) -> list[str]:
 def range_chunks(df: DataFrame, by: Sequence[str] | str, order: Sequence[str] | str, chunks: int | None = None) -> DataFrame:
     """Adds `_chunk`: the range partition of the row in (by, order). Frozen by a checkpoint, so it is one fixed value.
 
-    All rows of a chunk precede all rows of the next chunk in (by, order), and a key's rows may span many chunks. The
-    input is materialised first, since it is counted, sampled and then read by several branches; a small one is one chunk.
+    All rows of a chunk precede all rows of the next chunk in (by, order), and a key's rows may span many chunks. The plan
+    is the same at every size.
     """
     by, order = _names(by), _names(order)
-    df = checkpointed(df)
-    if df.count() <= SMALL_ROWS:
-        return df.withColumn(CHUNK, F.lit(0))
     n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *[F.col(c) for c in by + order])
     return checkpointed(ranged.withColumn(CHUNK, F.spark_partition_id()))
@@ -135,21 +125,18 @@ def exact_quantiles(df: DataFrame, by, value: str, probs: dict[str, float]) -> D
 
 
 def attach(df: DataFrame, small: DataFrame, on, how: str = "left", compute_once: bool = True) -> DataFrame:
-    """Joins a lookup table: broadcast when its counted size allows, else a salted join that splits hot keys."""
-    on = _names(on)
-    if compute_once:
-        small = checkpointed(small)
-    if small.count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(small), on, how)
-    return salted_join(df, small, on, how)
+    """Joins a lookup table. It is written first, so that Spark knows its size in bytes: within its broadcast limit the table
+    is sent to all tasks, beyond it the join is a sort-merge join whose hot partitions can be split on the side of `df`."""
+    return df.join(checkpointed(small) if compute_once else small, _names(on), how)
 
 
-def salted_join(df: DataFrame, other: DataFrame, on, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Equi-join that spreads each key of `df` over `salts` tasks, copying `other` that many times."""
-    on = _names(on)
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    right = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, on + ["_salt"], how).drop("_salt")
+def strided(df: DataFrame, order: str, limit: int, by) -> DataFrame:
+    """About `limit` rows of every key, evenly spaced in `order`; all rows of a key that has no more."""
+    by = _names(by)
+    d = with_rank(range_chunks(df, by, order), by, order, "_rank").drop(CHUNK)
+    d = attach(d, d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / limit))
+    return d.filter((F.col("_rank") % step == 0) & (F.col("_rank") / step < limit)).drop("_rank", "_n")
 
 
 def connected_components(edges: DataFrame, by: Sequence[str], a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -193,7 +180,8 @@ def _star(pairs: DataFrame, by: list[str], large: bool) -> DataFrame:
         around = pairs.unionByName(pairs.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = pairs
-    least = around.groupBy(*by, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # Written, so that the join can be split where a hub has most edges.
+    least = checkpointed(around.groupBy(*by, "u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     joined = around.join(least, by + ["u"])
     if large:
         moved = joined.filter(F.col("v") > F.col("u")).select(*by, F.col("v").alias("u"), F.col("m").alias("v"))

@@ -286,11 +286,13 @@ def trajectory_residuals(poses: DataFrame, reprojection: DataFrame | None = None
     return out.withColumn("weight", F.when(F.abs("residual") <= huber, 1.0).otherwise(F.lit(huber) / F.abs("residual")))
 
 
-def scale_agreement(telemetry: DataFrame, truth: DataFrame, by: str = FLIGHT, records: int = 80) -> DataFrame:
-    """GPS and ground-truth distance between the first and the n-th record, and their difference."""
-    w = Window.partitionBy(by)
-    t = telemetry.withColumn("_k", F.row_number().over(w.orderBy("rec_no"))).filter(F.col("_k") <= records)
-    g = truth.withColumn("_k", F.row_number().over(w.orderBy("imgid"))).filter(F.col("_k") <= records)
+def scale_agreement(telemetry: DataFrame, truth: DataFrame, by: str = FLIGHT, records: int | None = None) -> DataFrame:
+    """GPS and ground-truth distance between the first and the last record (or the n-th, if given), and their difference."""
+    t, g = telemetry.withColumn("_k", F.col("rec_no")), truth.withColumn("_k", F.col("imgid"))
+    if records is not None:
+        w = Window.partitionBy(by)
+        t = t.withColumn("_n", F.row_number().over(w.orderBy("_k"))).filter(F.col("_n") <= records)
+        g = g.withColumn("_n", F.row_number().over(w.orderBy("_k"))).filter(F.col("_n") <= records)
 
     def ends(d: DataFrame, cols: list[str], name: str) -> DataFrame:
         e = d.groupBy(by).agg(F.min_by(F.struct(*cols), "_k").alias("_a"), F.max_by(F.struct(*cols), "_k").alias("_b"))

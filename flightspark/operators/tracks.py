@@ -289,7 +289,7 @@ def prune_observations(obs: DataFrame, poses: DataFrame, landmarks: DataFrame, m
     return d.join(keep, TRACK, "left_semi")
 
 
-def thin_observations(obs: DataFrame, max_landmarks: int = 12_000, max_obs: int = 24) -> DataFrame:
+def thin_observations(obs: DataFrame, max_landmarks: int, max_obs: int) -> DataFrame:
     """The longest tracks of each flight, each thinned to evenly spaced observations."""
     n = checkpointed(obs.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("n")).withColumn("_neg", -F.col("n")))
     top = with_rank(range_chunks(n, FLIGHT, ["_neg", "track_id"]), FLIGHT, ["_neg", "track_id"], "_r").filter(F.col("_r") < max_landmarks).select(*TRACK, "n")

@@ -195,7 +195,7 @@ SELECT flight_id, frame_id FROM f WHERE n <= 48 OR (ceil(n / 8) <= 48 AND r % 8
 UNION SELECT f.flight_id, f.frame_id FROM f, (SELECT unnest(range(48)) AS k) WHERE ceil(n / 8) > 48 AND r = round_even(k * ((n - 1) / 47), 0)""")
 def _anchors(spark, sf_dir):
     p = v.poses(spark, sf_dir).filter("CASE flight_id % 3 WHEN 0 THEN true WHEN 1 THEN frame_id % 4 = 0 ELSE frame_id < 40 END")
-    return fr.anchors(p.select("flight_id", "frame_id"))
+    return fr.anchors(p.select("flight_id", "frame_id"), 48)
 
 
 cte("z_pairs", "SELECT c.flight_id, c.frame_id, r02*(x-tx) + r12*(y-ty) + r22*(z-tz) AS z FROM v_cams c JOIN v_surfels s USING (flight_id)")
@@ -238,4 +238,4 @@ m AS (SELECT p.*, sqrt((y.u - x.u)**2 + (y.v - x.v)**2) AS d FROM p JOIN v_track
 g AS (SELECT flight_id, frame_id, frame_id_2, count(*) AS shared, quantile_cont(d, 0.5) AS motion FROM m GROUP BY 1, 2, 3 HAVING count(*) >= 10 AND quantile_cont(d, 0.5) >= 5)
 SELECT *, shared * least(motion, 60) AS score, row_number() OVER (PARTITION BY flight_id ORDER BY shared * least(motion, 60) DESC, frame_id DESC, frame_id_2 DESC) AS rank FROM g QUALIFY rank <= 12""")
 def _seed_pairs(spark, sf_dir):
-    return fr.seed_pairs(v.track_obs(spark, sf_dir), min_shared=10)
+    return fr.seed_pairs(v.track_obs(spark, sf_dir), top=12, first_frames=40, min_shared=10)

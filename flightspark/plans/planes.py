@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flightspark.operators import planes as pl
 from flightspark.plans import views as v
 from flightspark.plans.registry import cte, register
+from flightspark.session import checkpointed
 
 _ORDER = "((element_id % 1000003) * 7919) % 1000003"
 cte("h_draw", f"SELECT flight_id, element_id, x, y, z, row_number() OVER (PARTITION BY flight_id ORDER BY {_ORDER}, element_id) - 1 AS k FROM v_surfels QUALIFY k < 150")
@@ -41,12 +42,14 @@ def _regularize(spark, sf_dir):
 
 @register("plane_gap_fill", "flight_id:i cell:i x:4 y:4 z:4 semantic_class:s provenance:s")
 def _gap_fill(spark, sf_dir):
-    return pl.plane_gap_fill(v.surfels(spark, sf_dir), arch(spark, sf_dir), 0.08)
+    planes = arch(spark, sf_dir)
+    moved = checkpointed(pl.plane_regularize(v.surfels(spark, sf_dir), planes).drop("on_plane"))
+    return pl.plane_gap_fill(moved, planes, 0.08)
 
 
 cte("w_cand", """
 SELECT *, x + CASE WHEN sqrt(nx*nx) < 1e-4 THEN 0.096 ELSE 0 END AS px, y + CASE WHEN sqrt(nx*nx) < 1e-4 THEN 0 ELSE -0.096 END AS py FROM (
-SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY element_id) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY flight_id) // 300) AS st FROM v_surfels WHERE confidence_level = 'LOW') WHERE k % st = 0 AND k / st < 300""")
+SELECT * FROM v_surfels WHERE confidence_level = 'LOW')""")
 
 
 @register("boundary_candidates", "flight_id:i element_id:i x:5 y:5 z:5 provenance:s", """

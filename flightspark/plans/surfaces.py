@@ -16,7 +16,7 @@ _QUAD = "CAST(floor(l_orderkey / 1500) AS BIGINT) AS flight_id, l_partkey % 64 A
 
 @v.derived("mesh_faces")
 def faces(spark, sf_dir):
-    q = v.table(spark, sf_dir, "lineitem").filter("l_quantity >= 30").selectExpr(*_QUAD.split(", ")).distinct()
+    q = v.table(spark, sf_dir, "lineitem").selectExpr(*_QUAD.split(", ")).distinct()
     d = q.selectExpr("*", "i * 65 + j AS a", "(i + 1) * 65 + j AS b", "(i + 1) * 65 + j + 1 AS c", "i * 65 + j + 1 AS d").withColumn("k", F.explode(F.expr("array(0L, 1L)")))
     return d.selectExpr("flight_id", "(i * 64 + j) * 2 + k AS fid", "a AS v0", "if(k = 0, b, c) AS v1", "if(k = 0, c, d) AS v2", "(i + j) % 9 = 0 AS inferred")
 
@@ -31,7 +31,7 @@ def vertices(spark, sf_dir):
                         _Z.format(i="(vid div 65)", j="(vid % 65)") + " AS z", "CAST(vid % 256 AS DOUBLE) AS r", "CAST(vid % 251 AS DOUBLE) AS g", "CAST(vid % 241 AS DOUBLE) AS b")
 
 
-cte("q_mesh", f"SELECT DISTINCT {_QUAD} FROM lineitem WHERE l_quantity >= 30")
+cte("q_mesh", f"SELECT DISTINCT {_QUAD} FROM lineitem")
 cte("v_faces", """
 SELECT flight_id, (i*64 + j)*2 + k AS fid, i, j, i*65 + j AS v0, CASE WHEN k = 0 THEN (i+1)*65 + j ELSE (i+1)*65 + j + 1 END AS v1, CASE WHEN k = 0 THEN (i+1)*65 + j + 1 ELSE i*65 + j + 1 END AS v2,
   (i + j) % 9 = 0 AS inferred FROM q_mesh, (VALUES (0), (1)) AS t(k)""")

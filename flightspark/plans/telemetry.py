@@ -366,8 +366,8 @@ def _trajectory_residuals(spark, sf_dir):
 
 
 @register("scale_agreement", "flight_id:i gps_m:3 truth_m:3 difference_m:3", """
-WITH t AS (SELECT flight_id, rec_no, enu_x, enu_y, enu_z, row_number() OVER (PARTITION BY flight_id ORDER BY rec_no) AS k FROM v_located QUALIFY k <= 80),
-g AS (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY imgid) AS k FROM v_truth QUALIFY k <= 80),
+WITH t AS (SELECT flight_id, rec_no, enu_x, enu_y, enu_z, row_number() OVER (PARTITION BY flight_id ORDER BY rec_no) AS k FROM v_located),
+g AS (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY imgid) AS k FROM v_truth),
 a AS (SELECT flight_id, sqrt((arg_max(enu_x,k)-arg_min(enu_x,k))**2 + (arg_max(enu_y,k)-arg_min(enu_y,k))**2 + (arg_max(enu_z,k)-arg_min(enu_z,k))**2) AS gps_m FROM t GROUP BY 1),
 b AS (SELECT flight_id, sqrt((arg_max(x_gt,k)-arg_min(x_gt,k))**2 + (arg_max(y_gt,k)-arg_min(y_gt,k))**2 + (arg_max(z_gt,k)-arg_min(z_gt,k))**2) AS truth_m FROM g GROUP BY 1)
 SELECT flight_id, gps_m, truth_m, abs(gps_m - truth_m) AS difference_m FROM a JOIN b USING (flight_id)""")

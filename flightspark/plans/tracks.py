@@ -293,4 +293,4 @@ WITH n AS (SELECT flight_id, track_id, count(*) AS n, row_number() OVER (PARTITI
 o AS (SELECT o.flight_id, o.track_id, frame_id, n, row_number() OVER (PARTITION BY o.flight_id, o.track_id ORDER BY frame_id) - 1 AS i FROM v_track_obs o JOIN n ON n.flight_id = o.flight_id AND n.track_id = o.track_id)
 SELECT DISTINCT flight_id, track_id, frame_id FROM o WHERE n <= 24 OR i IN (SELECT round_even(k * ((o.n - 1) / 23), 0) FROM (SELECT unnest(range(24)) AS k))""")
 def _thin(spark, sf_dir):
-    return tr.thin_observations(v.track_obs(spark, sf_dir), 200)
+    return tr.thin_observations(v.track_obs(spark, sf_dir), 200, 24)

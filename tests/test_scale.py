@@ -1,4 +1,4 @@
-"""The shared ordering kit against plain Python, with the large-table path forced and one key holding most rows."""
+"""The shared ordering kit against plain Python, with one key holding most rows."""
 
 import random
 
@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 from flightspark.operators import scale
 
 
-@pytest.fixture(params=[0, scale.SMALL_ROWS], ids=["chunked", "plain"])
-def path(request, monkeypatch):
-    monkeypatch.setattr(scale, "SMALL_ROWS", request.param)
-
-
 @pytest.fixture(scope="module")
 def rows():
     rnd = random.Random(3)
@@ -26,7 +21,7 @@ def _df(spark, rows):
     return spark.createDataFrame(rows, "k long, i long, v double")
 
 
-def test_previous_rank_and_running_sum(spark, rows, path):
+def test_previous_rank_and_running_sum(spark, rows):
     ch = scale.range_chunks(_df(spark, rows), "k", "i", 5)
     d = scale.with_running_sum(scale.with_rank(scale.with_previous(ch, "k", "i", ["v"]), "k", "i"), "k", "i", "v", "s")
     got = {(r.k, r.i): (r.prev_v, r["rank"], r.s) for r in d.collect()}
@@ -37,7 +32,7 @@ def test_previous_rank_and_running_sum(spark, rows, path):
             last, n, s = v, n + 1, s + v
 
 
-def test_brackets(spark, rows, path):
+def test_brackets(spark, rows):
     d = _df(spark, rows).withColumn("x", F.when(F.col("i") % 7 == 0, F.struct("i")))
     got = {(r.k, r.i): (r._before and r._before.i, r._after and r._after.i) for r in scale.with_brackets(scale.range_chunks(d, "k", "i", 5), "k", "i", "x").collect()}
     for k in {r[0] for r in rows}:
@@ -48,18 +43,12 @@ def test_brackets(spark, rows, path):
             assert got[(k, i)] == (before[-1] if before else None, after[0] if after else None)
 
 
-def test_exact_quantiles(spark, rows, path):
+def test_exact_quantiles(spark, rows):
     got = {r.k: (r.lo, r.med, r.hi) for r in scale.exact_quantiles(_df(spark, rows), "k", "v", {"lo": 0.02, "med": 0.5, "hi": 0.95}).collect()}
     for k in {r[0] for r in rows}:
         assert np.allclose(got[k], np.quantile([r[2] for r in rows if r[0] == k], [0.02, 0.5, 0.95]))
 
 
-def test_salted_join_equals_join(spark, rows):
-    d, small = _df(spark, rows), spark.createDataFrame([(k, k * 10) for k in range(4)], "k long, w long")
-    want = sorted(map(tuple, d.join(small, "k").select("k", "i", "w").collect()))
-    assert sorted(map(tuple, scale.salted_join(d, small, "k").select("k", "i", "w").collect())) == want
-
-
 def test_components_hub_chain_and_cycle(spark):
     edges = [(0, 0, i) for i in range(1, 60)] + [(0, i, i + 1) for i in range(100, 140)] + [(0, 201, 202), (0, 202, 203), (0, 203, 201), (1, 5, 5), (1, 7, 8)]
     got = {(r.g, r.node): r.component for r in scale.connected_components(spark.createDataFrame(edges, "g long, a long, b long"), ["g"], "a", "b").collect()}
