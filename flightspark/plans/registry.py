@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
+KEPT: set[str] = set()
 # Added before rounding on both sides, so that values lying exactly on a rounding border round the same way.
 OFF_BORDER = 1.37e-9
 
 
-def cte(name: str, body: str) -> None:
-    """A named sub-select that oracle statements may use."""
+def cte(name: str, body: str, once: bool = False) -> None:
+    """A named sub-select that oracle statements may use; `once` keeps its rows for all the places that read it."""
     CTES[name] = body
+    if once:
+        KEPT.add(name)
 
 
 def expand(sql: str) -> str:
@@ -31,7 +34,7 @@ def expand(sql: str) -> str:
                 order.append(name)
 
     visit(sql, ())
-    return f"WITH RECURSIVE {', '.join(f'{n} AS ({CTES[n]})' for n in order)} {sql}" if order else sql
+    return f"WITH RECURSIVE {', '.join(f"{n} AS {'MATERIALIZED ' * (n in KEPT)}({CTES[n]})" for n in order)} {sql}" if order else sql
 
 
 def oracles() -> dict[str, str]:

@@ -77,12 +77,16 @@ def _edges(spark, sf_dir):
     return ms.edge_topology(faces(spark, sf_dir))
 
 
-# Shells of quads: a quad's two faces share its diagonal, and quads share edges with their four neighbours.
+# Shells of quads: a quad's two faces share its diagonal, and quads share edges with their four neighbours. Quads of a lattice row
+# that stand side by side are one run; runs of neighbouring rows are linked where they overlap.
+cte("q_run", """
+SELECT flight_id, i, j, i*64 + min(j) OVER (PARTITION BY flight_id, i, g) AS r FROM (SELECT *, j - row_number() OVER (PARTITION BY flight_id, i ORDER BY j) AS g FROM q_mesh)""")
 cte("q_pairs", """
-SELECT a.flight_id, a.i*64 + a.j AS p, b.i*64 + b.j AS q FROM q_mesh a JOIN q_mesh b ON a.flight_id = b.flight_id AND ((a.i = b.i AND abs(a.j - b.j) = 1) OR (a.j = b.j AND abs(a.i - b.i) = 1))""")
+SELECT DISTINCT a.flight_id, unnest([a.r, b.r]) AS p, unnest([b.r, a.r]) AS q FROM q_run a JOIN q_run b ON a.flight_id = b.flight_id AND b.i = a.i + 1 AND b.j = a.j""")
 cte("q_walk", """
-SELECT flight_id, i*64 + j AS q, i*64 + j AS s FROM q_mesh UNION SELECT w.flight_id, p.q, w.s FROM q_walk w JOIN q_pairs p ON p.flight_id = w.flight_id AND p.p = w.q""")
-cte("q_shell", "SELECT flight_id, q, min(s) AS s FROM q_walk GROUP BY 1, 2")
+SELECT DISTINCT flight_id, r AS q, r AS s FROM q_run UNION SELECT w.flight_id, p.q, w.s FROM q_walk w JOIN q_pairs p ON p.flight_id = w.flight_id AND p.p = w.q""")
+cte("q_shell", """
+SELECT q_run.flight_id, i*64 + j AS q, s FROM q_run JOIN (SELECT flight_id, q, min(s) AS s FROM q_walk GROUP BY 1, 2) m ON m.flight_id = q_run.flight_id AND m.q = q_run.r""")
 cte("v_shell", "SELECT m.*, s.s * 2 AS shell FROM v_metric m JOIN q_shell s ON s.flight_id = m.flight_id AND s.q = m.i*64 + m.j")
 cte("v_comp", "SELECT flight_id, shell, count(*) AS faces, sum(area) AS area, min(mx) AS x_min, max(mx) AS x_max, min(my) AS y_min, max(my) AS y_max, min(mz) AS z_min, max(mz) AS z_max FROM v_shell GROUP BY 1, 2")
 
