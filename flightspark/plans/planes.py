@@ -27,7 +27,7 @@ def plane(spark, sf_dir):
 
 @register("plane_ransac", "flight_id:i hyp:i inliers:i nx:4 ny:4 nz:4 d:4", "SELECT * FROM h_best")
 def _ransac(spark, sf_dir):
-    return plane(spark, sf_dir)
+    return plane.anew(spark, sf_dir)
 
 
 @v.derived("arch_plane")

@@ -58,7 +58,7 @@ def shells(spark, sf_dir):
 
 @register("face_metrics", "flight_id:i fid:i area:6 nx:5 ny:5 nz:5 mx:5 my:5 mz:5 longest:5", "SELECT flight_id, fid, area, ux AS nx, uy AS ny, uz AS nz, mx, my, mz, longest FROM v_metric")
 def _face_metrics(spark, sf_dir):
-    return metrics(spark, sf_dir)
+    return metrics.anew(spark, sf_dir)
 
 
 @register("drop_degenerate", "flight_id:i fid:i", """
@@ -155,12 +155,12 @@ def dsm(spark, sf_dir):
 
 @register("raster_grid", "flight_id:i width:i height:i gsd_x:6 gsd_y:6 z_max:3", "SELECT * FROM r_grid")
 def _grid(spark, sf_dir):
-    return grid(spark, sf_dir)
+    return grid.anew(spark, sf_dir)
 
 
 @register("dsm_ortho", "flight_id:i row:i col:i z:4 r:1 g:1 b:1", "SELECT * FROM r_dsm")
 def _dsm(spark, sf_dir):
-    return dsm(spark, sf_dir)
+    return dsm.anew(spark, sf_dir)
 
 
 def _kernel(size: int) -> str:

@@ -168,7 +168,7 @@ def _enu_to_geodetic(spark, sf_dir):
 @register("attach_datum", "rec_no:i ref_lat:6 ref_lon:6 ref_alt:3 enu_x:3 enu_y:3 enu_z:3",
           "SELECT rec_no, ref_lat, ref_lon, ref_alt, enu_x, enu_y, enu_z FROM v_located")
 def _attach_datum(spark, sf_dir):
-    return v.located(spark, sf_dir)
+    return v.located.anew(spark, sf_dir)
 
 
 cte("v_moving", """

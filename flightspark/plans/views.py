@@ -18,7 +18,10 @@ _DERIVED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def derived(name: str):
-    """Keeps a view that many queries share as one checkpointed table per application and data folder."""
+    """Keeps a view that many queries share as one checkpointed table per application and data folder.
+
+    The query that shows the view itself takes `.anew`, which reads no stored copy of it.
+    """
 
     def wrap(build):
         def get(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +29,7 @@ def derived(name: str):
             if key not in _DERIVED:
                 _DERIVED[key] = checkpointed(build(spark, sf_dir))
             return _DERIVED[key]
+        get.anew = build
         return get
     return wrap
 

@@ -161,12 +161,12 @@ def _updated(spark, sf_dir):
 
 @register("candidate_views", "flight_id:i element_id:i frame_id:i u:4 v:4 zc:5 facing:5", "SELECT * FROM v_cand")
 def _candidate_views(spark, sf_dir):
-    return _candidates(spark, sf_dir)
+    return _candidates.anew(spark, sf_dir)
 
 
 @register("validate_views", "flight_id:i element_id:i frame_id:i supporting:b tested:b agrees:b error:5", "SELECT * FROM v_tests")
 def _validate(spark, sf_dir):
-    return _tests(spark, sf_dir)
+    return _tests.anew(spark, sf_dir)
 
 
 @register("update_surfel_evidence", "flight_id:i element_id:i observation_count:i reprojection_error:4 visibility:s provenance:s", """

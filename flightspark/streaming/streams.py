@@ -22,6 +22,8 @@ from flightspark.operators.world import SURFEL_KEY, assign_surfels, fold_observa
 from flightspark.session import ensure_checkpoint_dir
 
 LATE = "1 hour"
+# Milliseconds of event time after which a silent job is forgotten, with a stage that it never ended.
+IDLE_MS = 7 * 24 * 3_600_000
 # Mission life cycle; a later status is reached only from the ones listed.
 RUNNING = ["extracting_gps", "extracting_frames", "estimating_poses", "reconstructing_geometry", "creating_model", "georeferencing"]
 FINAL = ["ready", "failed", "cancelled"]
@@ -63,8 +65,11 @@ def mission_state_machine(commands: DataFrame) -> DataFrame:
 
 
 def _pair_stages(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     stage, since = state.get if state.exists else (None, None)
-    out = []
+    out, t = [], 0.0
     for row in _ordered(chunks).itertuples(index=False):
         t = row.ts.timestamp()
         if row.kind == "stage_start":
@@ -76,13 +81,17 @@ def _pair_stages(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iter
                 out.append((key[0], stage, t - since, row.seq))
             stage, since = None, None
     state.update((stage, since))
+    state.setTimeoutTimestamp(max(int(t * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
     yield pd.DataFrame(out, columns=["job_id", "stage", "seconds", "seq"])
 
 
 def stage_duration_stream(events: DataFrame) -> DataFrame:
-    """Finished stages with their seconds (job_id, ts, seq, kind, stage); a start ends the stage that is open."""
+    """Finished stages with their seconds (job_id, ts, seq, kind, stage); a start ends the stage that is open.
+
+    A job that is silent for a week of event time is forgotten.
+    """
     e = events.filter(F.col("kind").isin("stage_start", "stage_end")).withWatermark("ts", LATE)
-    return e.groupBy("job_id").applyInPandasWithState(_pair_stages, "job_id long, stage string, seconds double, seq long", "stage string, since double", "append", GroupStateTimeout.NoTimeout)
+    return e.groupBy("job_id").applyInPandasWithState(_pair_stages, "job_id long, stage string, seconds double, seq long", "stage string, since double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _to_ecef(lat, lon, alt):
@@ -102,19 +111,25 @@ def _local_track(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iter
     p, q = np.radians(lat0), np.radians(lon0)
     rot = np.array([[-np.sin(q), np.cos(q), 0.0], [-np.sin(p) * np.cos(q), -np.sin(p) * np.sin(q), np.cos(p)], [np.cos(p) * np.cos(q), np.cos(p) * np.sin(q), np.sin(p)]])
     enu, t = d @ rot.T, pdf["t"].to_numpy(dtype=float)
-    first = np.array([last], dtype=float) if last[0] is not None else np.array([[t[0], *enu[0]]])
-    before = np.vstack([first, np.column_stack([t, enu])[:-1]])
-    dt = np.maximum(1e-4, t - before[:, 0])
-    vel = (enu - before[:, 1:]) / dt[:, None]
-    if last[0] is None:
-        vel[0] = 0.0
-    state.update((lat0, lon0, alt0, float(t[-1]), *[float(c) for c in enu[-1]]))
+    # A record that is not later than one already seen has no velocity and is no predecessor.
+    newest = np.maximum.accumulate(np.concatenate([[-np.inf if last[0] is None else last[0]], t]))[:-1]
+    on_time = t > newest
+    path = np.column_stack([t, enu])[on_time]
+    vel = np.full(enu.shape, np.nan)
+    if len(path):
+        before = np.vstack([path[:1] if last[0] is None else [last], path[:-1]])
+        vel[on_time] = (path[:, 1:] - before[:, 1:]) / np.maximum(1e-4, path[:, :1] - before[:, :1])
+        last = path[-1].tolist()
+    state.update((lat0, lon0, alt0, *[float(c) for c in last]))
     yield pd.DataFrame({"flight_id": key[0], "rec_no": pdf["rec_no"].to_numpy(), "enu_x": enu[:, 0], "enu_y": enu[:, 1], "enu_z": enu[:, 2],
                         "vx": vel[:, 0], "vy": vel[:, 1], "vz": vel[:, 2]})
 
 
 def telemetry_stream(records: DataFrame) -> DataFrame:
-    """Local position and velocity of records as they arrive (flight_id, rec_no, ts timestamp, t seconds, lat, lon, alt)."""
+    """Local position and velocity of records as they arrive (flight_id, rec_no, ts timestamp, t seconds, lat, lon, alt).
+
+    A record that arrives after a later one keeps its position and has no velocity.
+    """
     return records.withWatermark("ts", LATE).groupBy("flight_id").applyInPandasWithState(
         _local_track, "flight_id long, rec_no long, enu_x double, enu_y double, enu_z double, vx double, vy double, vz double",
         "lat0 double, lon0 double, alt0 double, t double, x double, y double, z double", "append", GroupStateTimeout.NoTimeout)
