@@ -38,7 +38,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = 0x2581
 #: Units that are broadcast, and the characters one of them may have.
 HOT_UNITS, HOT_CHARS = 400_000, 48
-_PAIR_BITS = 22
+#: Bytes of text that a task takes up at once; a unit's bookkeeping is many times its text.
+SLICE = 1 << 18
+_PAIR_BITS = 20
 _NO_ID = -(1 << 63)
 
 
@@ -180,12 +182,12 @@ def _counter(joinable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
         for batch in batches:
-            for _, _, data, off in slices(batch.column("text")):
+            for _, _, data, off in slices(batch.column("text"), SLICE):
                 u = Units(data, off, joinable.value)
                 uid, first, n = np.unique(u.uid, return_index=True, return_counts=True)
                 kept.append((uid, u.texts(first), n))
                 size += len(uid)
-                if size > 600_000:
+                if size > 120_000:
                     yield pack(kept)
                     kept, size = [], 0
         if kept:
@@ -332,13 +334,16 @@ def _rare(joinable, hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, off in slices(batch.column("text")):
+            for i, j, data, off in slices(batch.column("text"), SLICE):
                 u = Units(data, off, joinable.value)
                 far = np.flatnonzero(hot.value.find(u.uid) < 0)
                 row = np.searchsorted(u.first, far, "right") - 1
-                both = np.unique(np.stack([row, u.uid[far]]), axis=1) if len(far) else np.zeros((2, 0), np.int64)
-                own = batch.select(["doc_id", "th"]).take(pa.array(both[0] + i)).columns
-                yield pa.RecordBatch.from_arrays([*own, pa.array(both[1])], names=["doc_id", "th", "uid"])
+                order = np.lexsort((u.uid[far], row))
+                row, uid = row[order], u.uid[far][order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (uid[1:] != uid[:-1])
+                own = batch.select(["doc_id", "th"]).take(pa.array(row[new] + i)).columns
+                yield pa.RecordBatch.from_arrays([*own, pa.array(uid[new])], names=["doc_id", "th", "uid"])
 
     return run
 
@@ -354,7 +359,7 @@ def _assembler(joinable, hot):
             i = 0
             while i < batch.num_rows:
                 j, total = i, 0
-                while j < batch.num_rows and (j == i or total + sizes[j] <= 1 << 20):
+                while j < batch.num_rows and (j == i or total + sizes[j] <= SLICE):
                     total += int(sizes[j])
                     j += 1
                 raw = [codec.decompress(p, int(n)).to_pybytes() if n else b"" for p, n in zip(packed[i:j], sizes[i:j])]
@@ -387,7 +392,7 @@ def _assembler(joinable, hot):
 
 def _zstd(text: pa.Array) -> pa.Array:
     codec = pa.Codec("zstd", compression_level=3)
-    return pa.array([codec.compress(t.encode(), asbytes=True) for t in text.to_pylist()], pa.binary())
+    return pa.array([codec.compress(t.as_py().encode(), asbytes=True) for t in text], pa.binary())
 
 
 pack = F.arrow_udf(_zstd, T.BinaryType())
