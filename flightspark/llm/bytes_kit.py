@@ -6,7 +6,7 @@ longer text makes a longer slice. Nulls count as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +38,14 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return _powers(which, max(1 << 16, 1 << int(n).bit_length()))
 
 
+def free_name(columns: Iterable[str], wanted: str) -> str:
+    """`wanted`, with underscores added until no column has that name (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

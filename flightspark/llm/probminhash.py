@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightspark.llm.bytes_kit import Rolling, U64, Words, mix, slices
+from flightspark.llm.bytes_kit import Rolling, U64, Words, free_name, mix, slices
 from flightspark.operators.scale import connected_components
 from flightspark.session import checkpointed
 
@@ -193,8 +193,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, per:
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, per: int = ROWS) -> DataFrame:
     """`docs` with the least id of each class, once; rows without an id stay. Columns as they came."""
-    stay = classes(docs, least, bands, per).filter("doc_id = class_id").select(F.col("doc_id").alias("_stay"))
-    kept = docs.join(stay, F.col("doc_id").cast("long") == F.col("_stay")).drop("_stay")
+    key, nth = (free_name(docs.columns, c) for c in ("_stay", "_nth"))
+    stay = classes(docs, least, bands, per).filter("doc_id = class_id").select(F.col("doc_id").alias(key))
+    kept = docs.join(stay, F.col("doc_id").cast("long") == F.col(key)).drop(key)
     first = Window.partitionBy("doc_id").orderBy("text")
-    once = kept.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    once = kept.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
     return once.unionByName(docs.filter("doc_id IS NULL"))

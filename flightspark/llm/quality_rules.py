@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightspark.llm.bytes_kit import Rolling, U64, Words, covered, mix, per_row, slices
+from flightspark.llm.bytes_kit import Rolling, U64, Words, covered, free_name, mix, per_row, slices
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_exclaim")
 SYMBOLS = np.zeros(256, bool)
@@ -151,7 +151,5 @@ def ablations(rows: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 def reject(docs: DataFrame, policy: str = DEFAULT_POLICY, text: str = "text") -> DataFrame:
     """`docs` without the documents that the policy rejects; columns as they came."""
-    name = "_m"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs.columns, "_m")
     return docs.withColumn(name, measures(F.col(text))).filter(passes(failure_bits(name), policy)).drop(name)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightspark.llm.bytes_kit import Rolling, U64, buffers, mix, runs, slices
+from flightspark.llm.bytes_kit import Rolling, U64, buffers, free_name, mix, runs, slices
 from flightspark.llm.seeds import Unit, seed_rows
 from flightspark.llm.substring import _marked
 from flightspark.session import checkpointed
@@ -305,17 +305,16 @@ def _cutter(unit: Unit):
 
 def remove_repeats(docs: DataFrame, unit: Unit = BYTES, name: str = "_cut", **options) -> DataFrame:
     """`docs` with a struct column `name`: n_bytes, n_removed, n_spans, kept_sha256, and the kept text where bytes were removed."""
-    spans = repeated_spans(docs, unit, **options).select(F.col("doc_id").alias("_k"), F.col("th").alias("_h"), F.col("spans").alias("_spans"))
+    k, h, s = (free_name(docs.columns, c) for c in ("_k", "_h", "_spans"))
+    spans = repeated_spans(docs, unit, **options).select(F.col("doc_id").alias(k), F.col("th").alias(h), F.col("spans").alias(s))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == F.col("_k")) & (F.xxhash64(body) == F.col("_h"))
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == F.col(k)) & (F.xxhash64(body) == F.col(h))
     none = F.array().cast("array<struct<at: int, n: int>>")
-    return docs.join(spans, same, "left").withColumn(name, _cutter(unit)(body, F.coalesce("_spans", none))).drop("_k", "_h", "_spans")
+    return docs.join(spans, same, "left").withColumn(name, _cutter(unit)(body, F.coalesce(s, none))).drop(k, h, s)
 
 
 def dedup_text(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     """`docs` with repeated strings cut out of `text`, to whole characters; other texts stay byte for byte."""
-    name = "_cut"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs.columns, "_cut")
     cut = remove_repeats(docs, unit, name=name)
     return cut.select(*[F.coalesce(F.col(f"{name}.text"), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightspark.llm.bytes_kit import Words, covered, runs, slices
+from flightspark.llm.bytes_kit import Words, free_name, runs, slices
 from flightspark.llm.seeds import Unit, seed_rows, window_rows
 from flightspark.session import checkpointed
 
@@ -111,17 +111,16 @@ def _cutter(unit: Unit):
 def remove_repeats(docs: DataFrame, unit: Unit = WORDS, text: str = "text", name: str = "_cut") -> DataFrame:
     """`docs` with a struct column `name`: n_words, n_removed, kept_sha256, and the kept text where words were removed."""
     spans = repeated_windows(docs if text == "text" else docs.withColumn("text", F.col(text)), unit)
-    spans = spans.select(F.col("doc_id").alias("_k"), F.col("th").alias("_h"), F.col("spans").alias("_spans"))
-    out = docs.join(spans, (F.col("doc_id").cast("long") == F.col("_k")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_h")), "left")
+    k, h, s = (free_name(docs.columns, c) for c in ("_k", "_h", "_spans"))
+    spans = spans.select(F.col("doc_id").alias(k), F.col("th").alias(h), F.col("spans").alias(s))
+    out = docs.join(spans, (F.col("doc_id").cast("long") == F.col(k)) & (F.xxhash64(F.col(text).cast("string")) == F.col(h)), "left")
     none = F.array().cast("array<struct<at: int, n: int>>")
-    return out.withColumn(name, _cutter(unit)(F.col(text).cast("string"), F.coalesce("_spans", none))).drop("_k", "_h", "_spans")
+    return out.withColumn(name, _cutter(unit)(F.col(text).cast("string"), F.coalesce(s, none))).drop(k, h, s)
 
 
 def dedup_text(docs: DataFrame, unit: Unit = WORDS) -> DataFrame:
     """`docs` with repeated passages cut out of `text`; texts without one stay byte for byte, columns as they came."""
-    name = "_cut"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs.columns, "_cut")
     cut = remove_repeats(docs, unit, name=name)
     cols = [F.coalesce(F.col(f"{name}.text"), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     if "n_chars" in docs.columns:

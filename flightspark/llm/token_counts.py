@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightspark.llm.bytes_kit import slices
+from flightspark.llm.bytes_kit import free_name, slices
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -228,12 +228,13 @@ def with_counts(docs: DataFrame, tokenizer: Tokenizer | None = None, name: str =
 
 def follow(counted: DataFrame, edits: DataFrame, tokenizer: Tokenizer | None = None, name: str = "_tree", out: str = "_edited", leaf: int = LEAF_BYTES) -> DataFrame:
     """`counted` with the struct column `out` after the edits, a table (doc_id, start, end, put) in bytes of the old text."""
-    per = edits.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_k"))
-    per = per.agg(F.array_sort(F.collect_list(F.struct("start", "end", "put"))).alias("_edits"))
+    key, own = (free_name(counted.columns, c) for c in ("_k", "_edits"))
+    per = edits.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias(key))
+    per = per.agg(F.array_sort(F.collect_list(F.struct("start", "end", "put"))).alias(own))
     none = F.array().cast("array<struct<start: int, end: int, put: string>>")
-    both = counted.join(per.hint("merge"), F.col("doc_id").cast("long") == F.col("_k"), "left")
+    both = counted.join(per.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left")
     fn = recount(counted.sparkSession, tokenizer, leaf)
-    return both.withColumn(out, fn(F.col("text").cast("string"), F.col(name), F.coalesce("_edits", none))).drop("_k", "_edits")
+    return both.withColumn(out, fn(F.col("text").cast("string"), F.col(name), F.coalesce(own, none))).drop(key, own)
 
 
 def line_edits(docs: DataFrame) -> DataFrame:

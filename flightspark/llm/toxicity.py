@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightspark.llm.bytes_kit import Rolling, U64, Words, mix, slices
@@ -31,8 +31,8 @@ STEMS = (4, 5, 6)
 LEAST_EVIDENCE = 12.0
 #: Labelled rows used for training at most, those with the least hashes of each class.
 SAMPLE_ROWS = 6_000
-#: Characters of a training row that are looked at; the whole text is scored.
-SAMPLE_CHARS = 8_000
+#: Characters of the sample at most, for either class; rows are taken whole, those with the least hashes first.
+SAMPLE_CHARS = 10_000_000
 SCORED = "doc_id long, held_out boolean, score double, predicted int, n_sentences int, n_offending int, worst_at int, worst_score double"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -87,14 +87,10 @@ def _chances(model: Model, s: Sentences) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def evidence(pairs: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def evidence(toxic: np.ndarray, other: np.ndarray, share: float) -> np.ndarray:
     """By feature: twice the log likelihood ratio that it stands in toxic rows more often than rows are toxic, else zero.
 
-    `pairs` are the different (row, feature) of the sample in one number."""
-    feature, of_toxic = pairs & ((1 << BITS) - 1), labels[pairs >> BITS] == 1
-    share = labels.mean()
-    toxic = np.bincount(feature[of_toxic], minlength=1 << BITS).astype(float)
-    other = np.bincount(feature[~of_toxic], minlength=1 << BITS).astype(float)
+    `toxic` and `other` count the rows of either class that have the feature; `share` of all rows are toxic."""
     both = np.maximum(toxic + other, 1)
     term = lambda n, p: n * np.log(np.maximum(n, 1) / (both * p))
     return np.where(toxic > both * share, 2 * (term(toxic, share) + term(other, 1 - share)), 0.0)
@@ -106,20 +102,27 @@ def train(texts: pa.Array, labels: np.ndarray, *, rounds: int = 200, rate: float
     weights, bias = np.zeros(1 << BITS), -6.0
     if not 0 < prior < 1:
         return Model(weights, bias, prior)
+    # First the features worth a weight, then only those, so that memory holds the sample's texts and little more.
+    seen = np.zeros((2, 1 << BITS))
+    for i, _, data, off in slices(texts):
+        s = sentences(data, off)
+        pairs = np.unique(s.row[s.sentence].astype(np.int64) << BITS | s.feature)
+        of_toxic = labels[(pairs >> BITS) + i] == 1
+        for k in (0, 1):
+            seen[k] += np.bincount(pairs[of_toxic == k] & ((1 << BITS) - 1), minlength=1 << BITS)
+    used = np.flatnonzero(evidence(seen[1], seen[0], prior) >= LEAST_EVIDENCE)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[used] = np.arange(len(used))
     sent = 0
     feature, sentence, row = [], [], []
     for i, _, data, off in slices(texts):
         s = sentences(data, off)
-        feature.append(s.feature)
-        sentence.append(s.sentence + sent)
+        kept = number[s.feature] >= 0
+        feature.append(number[s.feature[kept]])
+        sentence.append(s.sentence[kept] + sent)
         row.append(s.row + i)
         sent += len(s.row)
     feature, sentence, row = np.concatenate(feature), np.concatenate(sentence), np.concatenate(row)
-    used = np.flatnonzero(evidence(np.unique(row[sentence].astype(np.int64) << BITS | feature), labels) >= LEAST_EVIDENCE)
-    number = np.full(1 << BITS, -1, np.int32)
-    number[used] = np.arange(len(used))
-    feature = number[feature]
-    sentence, feature = sentence[feature >= 0], feature[feature >= 0]
     w, b = np.zeros(len(used)), bias
     m1, m2, n1, n2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     n = len(labels)
@@ -142,17 +145,21 @@ def train(texts: pa.Array, labels: np.ndarray, *, rounds: int = 200, rate: float
 
 
 def sample(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """(text, label) of at most `rows` labelled rows that are not held out, half of them of either class where there are as many."""
+    """(doc_id, text, label) of at most `rows` labelled rows that are not held out and `chars` characters for either class, half of the
+    rows of either class where there are as many."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)")
     marks = marks.filter(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = marks.filter("label = 1").orderBy(*order).limit(rows // 2).unionByName(marks.filter("label = 0").orderBy(*order).limit(rows // 2))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, chars).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).dropDuplicates(["text", "label"]).select("doc_id", "text", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).dropDuplicates(["text", "label"])
+    # Over a bounded number of rows: one task per class.
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy(*order))
+    return found.withColumn("so_far", so_far).filter(F.col("so_far") <= chars).select("doc_id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", **options) -> Model:
-    """Trains on the driver: the sample is bounded by SAMPLE_ROWS x SAMPLE_CHARS whatever the table's size."""
+    """Trains on the driver: the sample is bounded by SAMPLE_ROWS and SAMPLE_CHARS whatever the table's size."""
     rows = sample(docs, labels, target).toArrow().sort_by("doc_id")
     text = rows.column("text").combine_chunks()
     return train(text, rows.column("label").to_numpy().astype(int), **options)
