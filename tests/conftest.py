@@ -8,10 +8,10 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from flightspark.session import build_session
 
-    s = build_session("tests", "local[4]", 4, **{"spark.driver.memory": "4g"})
+    s = build_session("tests", "local[4]", 4, **{"spark.driver.memory": "4g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
