@@ -134,6 +134,25 @@ def boundary_loops(faces: DataFrame, vertices: DataFrame, voxel: float, max_vert
     return g.filter(F.col("vertices").between(3, max_vertices) & (F.col("diagonal") <= max(6.0 * voxel, 0.12)))
 
 
+def close_loops(loops: DataFrame, faces: DataFrame) -> DataFrame:
+    """Triangles that close the loops of `boundary_loops`: (flight_id, loop, v0, v1, v2), wound like the faces around.
+
+    Every boundary edge of a loop gets a triangle with the loop's centroid, which is the new vertex -1 - loop; a loop of three
+    edges is closed by one triangle of its own vertices.
+    """
+    sides = F.array(*[F.struct(F.col(p).alias("p"), F.col(q).alias("q")) for p, q in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))])
+    e = faces.select(FLIGHT, F.explode(sides).alias("_e")).select(FLIGHT, "_e.p", "_e.q")
+    e = e.groupBy(FLIGHT, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(
+        F.count(F.lit(1)).alias("uses"), F.min(F.struct("p", "q")).alias("_d"))
+    rim = checkpointed(e.filter("uses = 1").select(FLIGHT, "_d.p", "_d.q"))
+    ring = connected_components(rim, [FLIGHT], "p", "q").select(FLIGHT, F.col("node").alias("p"), F.col("component").alias("loop"))
+    own = rim.join(ring.join(loops.select(FLIGHT, "loop", "vertices"), [FLIGHT, "loop"]), [FLIGHT, "p"])
+    fan = own.filter("vertices > 3").select(FLIGHT, "loop", F.col("q").alias("v0"), F.col("p").alias("v1"), (F.lit(-1) - F.col("loop")).alias("v2"))
+    three = own.filter("vertices = 3 AND p = loop").select(FLIGHT, "loop", F.col("q").alias("v0"), F.col("p").alias("v1"))
+    before = own.filter("vertices = 3 AND q = loop").select(FLIGHT, "loop", F.col("p").alias("v2"))
+    return fan.unionByName(three.join(before, [FLIGHT, "loop"]))
+
+
 def mesh_provenance(metrics: DataFrame) -> DataFrame:
     """Measured and inferred faces and areas of each delivered mesh."""
     inf = F.coalesce("inferred", F.lit(False))

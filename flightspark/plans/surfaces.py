@@ -115,9 +115,31 @@ def _islands(spark, sf_dir):
     return ms.drop_islands(metrics(spark, sf_dir), shells(spark, sf_dir), 0.3, anchor_faces=90, anchor_area=4.01, crumb_faces=12, crumb_area=0.8)
 
 
-@register("boundary_loops", "flight_id:i loop:i vertices:i diagonal:5 cx:4 cy:4 cz:4")
+# A ring of at most 24 vertices is walked round in twelve steps either way; a larger one shows 25 vertices by then.
+cte("b_edge", "SELECT flight_id, a AS p, b AS q FROM v_edges WHERE uses = 1 UNION ALL SELECT flight_id, b, a FROM v_edges WHERE uses = 1", once=True)
+cte("b_walk", """
+SELECT DISTINCT flight_id, p AS s, p AS v, 0 AS k FROM b_edge UNION SELECT w.flight_id, w.s, e.q, w.k + 1 FROM b_walk w JOIN b_edge e ON e.flight_id = w.flight_id AND e.p = w.v WHERE w.k < 12""")
+cte("b_ring", """
+SELECT flight_id, s, v FROM (SELECT *, min(degree) OVER g AS least, max(degree) OVER g AS most, count(*) OVER g AS n, min(v) OVER g AS first FROM (SELECT DISTINCT flight_id, s, v FROM b_walk) w
+JOIN (SELECT flight_id, p AS v, count(*) AS degree FROM b_edge GROUP BY 1, 2) d USING (flight_id, v) WINDOW g AS (PARTITION BY flight_id, s)) WHERE least = 2 AND most = 2 AND n BETWEEN 3 AND 24 AND first = s""")
+cte("b_loop", """
+SELECT * FROM (SELECT r.flight_id, s AS loop, count(*) AS vertices, sqrt((max(x)-min(x))**2 + (max(y)-min(y))**2 + (max(z)-min(z))**2) AS diagonal, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz
+FROM b_ring r JOIN v_vertices p ON p.flight_id = r.flight_id AND p.vid = r.v GROUP BY 1, 2) WHERE diagonal <= 1.21""")
+
+
+@register("boundary_loops", "flight_id:i loop:i vertices:i diagonal:5 cx:4 cy:4 cz:4", "SELECT * FROM b_loop")
 def _loops(spark, sf_dir):
-    return ms.boundary_loops(faces(spark, sf_dir), vertices(spark, sf_dir), 0.2)
+    # Six voxels of this size are no diagonal of the lattice.
+    return ms.boundary_loops(faces(spark, sf_dir), vertices(spark, sf_dir), 1.21 / 6)
+
+
+@register("close_loops", "flight_id:i loop:i v0:i v1:i v2:i", """
+WITH side AS (SELECT flight_id, v0 AS p, v1 AS q FROM v_faces UNION ALL SELECT flight_id, v1, v2 FROM v_faces UNION ALL SELECT flight_id, v2, v0 FROM v_faces)
+SELECT l.flight_id, loop, q AS v0, p AS v1, -1 - loop AS v2 FROM b_loop l JOIN b_ring r ON r.flight_id = l.flight_id AND r.s = l.loop JOIN side ON side.flight_id = l.flight_id AND side.p = r.v
+JOIN v_edges e ON e.flight_id = l.flight_id AND e.a = least(p, q) AND e.b = greatest(p, q) AND uses = 1 WHERE vertices > 3""")
+def _close(spark, sf_dir):
+    f = faces(spark, sf_dir)
+    return ms.close_loops(ms.boundary_loops(f, vertices(spark, sf_dir), 1.21 / 6), f)
 
 
 @register("mesh_provenance", "flight_id:i measured_faces:i inferred_faces:i measured_area_m2:4 inferred_area_m2:4 inferred_face_percent:4 inferred_area_percent:4", """
