@@ -1,6 +1,6 @@
 """Vectorised helpers over the UTF-8 bytes of an Arrow string column, used inside Spark tasks.
 
-A column is handled in slices of about a megabyte, so memory stays small however many rows a batch has; only a single
+A column is handled in slices of a quarter of a megabyte to one, so memory stays small however many rows a batch has; only a single
 longer text makes a longer slice. Nulls count as empty texts.
 """
 
@@ -14,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: For work with a fixed cost a slice, such as rounds or steps that go over all rows of the slice at once.
+WIDE_SLICE = 1 << 20
 #: Word separators: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True

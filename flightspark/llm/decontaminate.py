@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightspark.llm.bytes_kit import Rolling, U64, slices
+from flightspark.llm.bytes_kit import WIDE_SLICE, Rolling, U64, slices
 
 Q = 8
 BUDGET = 0.1
@@ -208,7 +208,7 @@ def _finder(shared):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
-            for i, j, data, off in slices(batch.column("text")):
+            for i, j, data, off in slices(batch.column("text"), WIDE_SLICE):
                 if not len(data) or not index.ids:
                     continue
                 chars, place, bound, origin = _folded(data.tobytes(), off, index.fold)

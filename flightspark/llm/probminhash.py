@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightspark.llm.bytes_kit import Rolling, U64, Words, free_name, mix, slices
+from flightspark.llm.bytes_kit import WIDE_SLICE, Rolling, U64, Words, free_name, mix, slices
 from flightspark.operators.scale import connected_components
 from flightspark.session import checkpointed
 
@@ -80,7 +80,7 @@ def signatures(row: np.ndarray, item: np.ndarray, weight: np.ndarray, rows: int,
 def _banded(bands: int, per: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, off in slices(batch.column("text")):
+            for i, j, data, off in slices(batch.column("text"), WIDE_SLICE):
                 row, item, count = shingles(data, off)
                 if not len(row):
                     continue

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightspark.llm.bytes_kit import Rolling, U64, Words, mix, slices
+from flightspark.llm.bytes_kit import WIDE_SLICE, Rolling, U64, Words, mix, slices
 from flightspark.llm.toxicity import held_out, sample
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int, n_lines int, n_bad_lines int"
@@ -194,7 +194,7 @@ def _scorer(shared):
         model: Model = shared.value
         for batch in batches:
             out = [[], [], []]
-            for i, j, data, off in slices(batch.column("text")):
+            for i, j, data, off in slices(batch.column("text"), WIDE_SLICE):
                 ls = lines(data, off)
                 share, bad = _share(model, ls, j - i)
                 score = _sigmoid(model.slope * _curve(share) + model.shift) if 0 < model.prior < 1 else np.full(j - i, model.prior)

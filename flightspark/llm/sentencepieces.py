@@ -22,6 +22,7 @@ text itself, which the format cannot tell from spaces.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -305,6 +306,30 @@ def encode_units(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 # ---- documents ---------------------------------------------------------------------------------------------------------------
 
 
+@dataclass
+class Spelling:
+    """Bytes of all pieces, one after the other."""
+
+    flat: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+    @staticmethod
+    def of(vocabulary: Vocabulary) -> Spelling:
+        each = vocabulary.bytes_of()
+        size = np.array([len(b) for b in each], np.int64)
+        return Spelling(np.frombuffer(b"".join(each), np.uint8), np.cumsum(size) - size, size)
+
+    def texts(self, ids: pa.ListArray) -> list[str]:
+        own = np.asarray(ids.flatten(), dtype=np.int64)
+        n = self.size[own]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(self.start[own] - stop[:-1], n) + np.arange(int(stop[-1]))
+        raw = self.flat[at].tobytes()
+        cut = stop[np.asarray(ids.offsets, dtype=np.int64) - ids.offsets[0].as_py()]
+        return [raw[a:b].removeprefix(b" ").decode(errors="replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
 class Lookup:
     """Encodings by uid in flat arrays."""
 
@@ -348,8 +373,8 @@ def _rare(joinable, hot):
     return run
 
 
-def _assembler(joinable, hot):
-    """mapInArrow body: (doc_id, packed text, rare: array of (uid, ids)) to piece ids."""
+def _assembler(joinable, hot, spelling):
+    """mapInArrow body: (doc_id, packed text, rare: array of (uid, ids)) to piece ids and a digest of what they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
@@ -384,7 +409,9 @@ def _assembler(joinable, hot):
                                extra.flat[np.maximum(at - split, 0)] if len(extra.flat) else 0).astype(np.int32)
                 ends = np.concatenate([[0], stop])[u.first]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(ends)), lists], names=["doc_id", "n_pieces", "ids"])
+                digests = [hashlib.sha256(t.encode()).hexdigest() for t in spelling.value.texts(lists)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(ends)), lists, pa.array(digests, pa.string())],
+                                                 names=["doc_id", "n_pieces", "ids", "decoded_sha256"])
                 i = j
 
     return run
@@ -399,7 +426,7 @@ pack = F.arrow_udf(_zstd, T.BinaryType())
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, hot_units: int = HOT_UNITS) -> DataFrame:
-    """(doc_id, n_pieces, ids) for every row of `docs`."""
+    """(doc_id, n_pieces, ids, decoded_sha256) for every row of `docs`; the digest is of the text that the ids decode to."""
     vocabulary = vocabulary or Vocabulary.load()
     spark = docs.sparkSession
     words = checkpointed(units(docs, vocabulary))
@@ -421,30 +448,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, hot_units: int
     packed = keyed.select("doc_id", "th", pack("text").alias("packed"), F.octet_length("text").alias("size"))
     none = F.array().cast("array<struct<uid: bigint, ids: array<int>>>")
     both = packed.join(rare.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "packed", "size", F.coalesce("rare", none).alias("rare"))
-    out = both.mapInArrow(_assembler(joinable, hot), "doc_id long, n_pieces long, ids array<int>")
+    spelling = spark.sparkContext.broadcast(Spelling.of(vocabulary))
+    out = both.mapInArrow(_assembler(joinable, hot, spelling), "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
 
 
 def decoder(spark: SparkSession, vocabulary: Vocabulary | None = None):
     """A column function from piece ids to text; unknown pieces come out as the usual mark."""
-    vocabulary = vocabulary or Vocabulary.load()
-    each = vocabulary.bytes_of()
-    size = np.array([len(b) for b in each], np.int64)
-    shared = spark.sparkContext.broadcast((np.frombuffer(b"".join(each), np.uint8), np.cumsum(size) - size, size))
+    shared = spark.sparkContext.broadcast(Spelling.of(vocabulary or Vocabulary.load()))
 
     def decode(ids: pa.Array) -> pa.Array:
-        flat, start, size = shared.value
-        out = []
-        step = 512
-        for i in range(0, len(ids), step):
-            part = ids.slice(i, step)
-            own = np.asarray(part.flatten(), dtype=np.int64)
-            n = size[own]
-            stop = np.concatenate([[0], np.cumsum(n)])
-            at = np.repeat(start[own] - stop[:-1], n) + np.arange(int(stop[-1]))
-            raw = flat[at].tobytes()
-            cut = stop[np.asarray(part.offsets, dtype=np.int64) - part.offsets[0].as_py()]
-            out += [raw[a:b].removeprefix(b" ").decode(errors="replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        return pa.array(out, pa.string())
+        return pa.array([t for i in range(0, len(ids), 128) for t in shared.value.texts(ids.slice(i, 128))], pa.string())
 
     return F.arrow_udf(decode, T.StringType())
