@@ -38,11 +38,10 @@ from flightspark.session import checkpointed
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = 0x2581
 #: Units that are broadcast, and the characters one of them may have.
-HOT_UNITS, HOT_CHARS = 400_000, 48
+HOT_UNITS, HOT_CHARS = 600_000, 48
 #: Bytes of text that a task takes up at once; a unit's bookkeeping is many times its text.
 SLICE = 1 << 18
 _PAIR_BITS = 20
-_NO_ID = -(1 << 63)
 
 
 @dataclass
@@ -355,7 +354,7 @@ def _list_of(col) -> pa.ListArray:
 
 
 def _rare(joinable, hot):
-    """mapInArrow body: (doc_id, th, text) to the units of each row that are not broadcast."""
+    """mapInArrow body: (rid, text) to the units of each row that are not broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,8 +366,8 @@ def _rare(joinable, hot):
                 row, uid = row[order], u.uid[far][order]
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (uid[1:] != uid[:-1])
-                own = batch.select(["doc_id", "th"]).take(pa.array(row[new] + i)).columns
-                yield pa.RecordBatch.from_arrays([*own, pa.array(uid[new])], names=["doc_id", "th", "uid"])
+                own = batch.select(["rid"]).take(pa.array(row[new] + i)).columns
+                yield pa.RecordBatch.from_arrays([*own, pa.array(uid[new])], names=["rid", "uid"])
 
     return run
 
@@ -442,15 +441,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, hot_units: int
     joinable = spark.sparkContext.broadcast(Cuts.of(vocabulary))
 
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
-    rare = keyed.mapInArrow(_rare(joinable, hot), "doc_id long, th long, uid long").join(codes.hint("merge"), "uid")
-    rare = rare.groupBy("doc_id", "th").agg(F.collect_list(F.struct("uid", "ids")).alias("rare"))
-    packed = keyed.select("doc_id", "th", pack("text").alias("packed"), F.octet_length("text").alias("size"))
+    # A row's number only has to bring its units to it: should two rows share one, each gets some it does not need.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), body).alias("rid"), body.alias("text"))
+    rare = keyed.select("rid", "text").mapInArrow(_rare(joinable, hot), "rid long, uid long").join(codes.hint("merge"), "uid")
+    rare = rare.groupBy("rid").agg(F.collect_list(F.struct("uid", "ids")).alias("rare"))
+    packed = keyed.select("doc_id", "rid", pack("text").alias("packed"), F.octet_length("text").alias("size"))
     none = F.array().cast("array<struct<uid: bigint, ids: array<int>>>")
-    both = packed.join(rare.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "packed", "size", F.coalesce("rare", none).alias("rare"))
+    both = packed.join(rare.hint("merge"), "rid", "left").select("doc_id", "packed", "size", F.coalesce("rare", none).alias("rare"))
     spelling = spark.sparkContext.broadcast(Spelling.of(vocabulary))
-    out = both.mapInArrow(_assembler(joinable, hot, spelling), "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
+    return both.mapInArrow(_assembler(joinable, hot, spelling), "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string")
 
 
 def decoder(spark: SparkSession, vocabulary: Vocabulary | None = None):
