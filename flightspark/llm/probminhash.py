@@ -6,8 +6,10 @@ shingle stops when its next point is later than all that the components hold. Co
 similarity of two documents. Bands of components make buckets.
 
 Exact copies are merged first. In each bucket every document meets the two members that share most buckets with others, the
-likely originals, so a bucket of any size costs two candidates a member; buckets with few members meet whole. Candidates are
-verified on their texts, links are closed to classes.
+likely originals; buckets with few members meet whole. Candidates are verified on their texts, links are closed to classes. Then
+the members of a bucket that are still in different classes meet each other, so two documents that share a bucket end in one class
+if they are alike. A bucket of near copies costs two candidates a member; one of documents that are alike only just below the limit
+costs all its pairs, each of which may be a link.
 
 Defined results: texts without a word are alike only if equal; a text of one to four words is one shingle; a null text counts as
 empty; a null doc_id belongs to no class; rows with one id are one document with the links of all its texts; other columns are
@@ -32,6 +34,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 #: Buckets of at most so many members are compared whole.
 WHOLE = 6
+#: Members of a bucket that meet the rest of it in one group of a join.
+BLOCK = 256
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -140,8 +144,8 @@ def _verifier(least: float):
     return run
 
 
-def candidates(docs: DataFrame, without: DataFrame, bands: int = BANDS, per: int = ROWS) -> DataFrame:
-    """Pairs (a, b), a < b, to be verified, among the documents not listed in `without`."""
+def buckets(docs: DataFrame, without: DataFrame, bands: int = BANDS, per: int = ROWS) -> DataFrame:
+    """(key, doc_id, n, rank): the n members of each bucket of several, without the documents listed in `without`."""
     keys = docs.select("doc_id", "text").mapInArrow(_banded(bands, per), "doc_id long, keys array<long>")
     keys = checkpointed(keys.join(without.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti"))
     rows = keys.select("doc_id", F.explode("keys").alias("key"))
@@ -150,7 +154,11 @@ def candidates(docs: DataFrame, without: DataFrame, bands: int = BANDS, per: int
     shared = checkpointed(rows.join(sizes, "key").select("key", "doc_id", "n"))
     met = checkpointed(shared.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("met")))
     ranked = shared.join(met, "doc_id").select("key", "doc_id", "n", F.struct("met", -F.col("doc_id")).alias("rank"))
-    ranked = checkpointed(ranked)
+    return checkpointed(ranked)
+
+
+def candidates(ranked: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, to be verified first."""
     # A small bucket needs all its members, a large one its first two.
     few = ranked.filter(F.col("n") <= WHOLE).groupBy("key").agg(F.collect_set("doc_id").alias("hubs"))
     large = ranked.filter(F.col("n") > WHOLE)
@@ -162,6 +170,21 @@ def candidates(docs: DataFrame, without: DataFrame, bands: int = BANDS, per: int
     return met_by.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
+def rest(ranked: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of members of large buckets that `groups` (doc_id, class_id) leaves in different classes."""
+    large = ranked.filter(F.col("n") > WHOLE).select("key", "doc_id").join(groups, "doc_id", "left")
+    large = checkpointed(large.select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
+    sizes = large.groupBy("key", "class_id").agg(F.count(F.lit(1)).alias("m"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("m", "class_id")).alias("top"), F.sum("m").alias("n")).filter("top.m < n")
+    tops = checkpointed(tops.select("key", F.col("top.class_id").alias("top"), F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    members = checkpointed(large.join(tops, "key"))
+    # Who is not in the largest class of a bucket meets all its other classes, in blocks of the bucket.
+    left = members.filter("class_id <> top").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("doc_id").alias("x"), F.col("class_id").alias("cx"))
+    right = members.select("key", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), F.col("doc_id").alias("y"), F.col("class_id").alias("cy"), (F.col("class_id") != F.col("top")).alias("both"))
+    met = left.join(right, ["key", "block"]).filter("cx <> cy AND (x < y OR NOT both)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def links(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity) of the pairs that reach `least`, by their texts."""
     pairs = checkpointed(pairs)
@@ -175,15 +198,21 @@ def links(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataF
 
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, per: int = ROWS) -> DataFrame:
     """(doc_id, class_id, n_links): one row per id; class_id is the least id of the class, n_links counts verified links of the
-    first of its exact copies."""
+    first of its exact copies (of the pairs that were compared: members of one class need not all meet)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = rows.filter("doc_id IS NOT NULL")
     narrow = checkpointed(known.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")))
     first = checkpointed(narrow.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     copies = checkpointed(narrow.join(first, ["h1", "h2"]).filter("doc_id <> first").select("doc_id", "first").distinct())
     # Only the first of equal texts is compared.
-    found = checkpointed(links(known, candidates(known, copies, bands, per), least))
-    edges = found.select("a", "b").unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    ranked = buckets(known, copies, bands, per)
+    tried = checkpointed(candidates(ranked))
+    near = checkpointed(links(known, tried, least))
+    so_far = checkpointed(connected_components(near, [], "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("class_id")))
+    more = checkpointed(links(known, rest(ranked, so_far).join(tried, ["a", "b"], "left_anti"), least))
+    found = near.unionByName(more)
+    edges = so_far.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).unionByName(more.select("a", "b"))
+    edges = edges.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     groups = connected_components(edges, [], "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
     degree = found.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
     ids = narrow.select("doc_id").distinct()

@@ -112,6 +112,19 @@ def test_one_large_group_of_near_copies(spark):
     assert (got[got.doc_id < 300].class_id == 0).all() and (got[got.doc_id >= 1000].class_id == got[got.doc_id >= 1000].doc_id).all()
 
 
+def test_links_inside_a_family_alike_just_below_the_limit(spark):
+    """Pairs at 0.81 within a family at 0.78, of which a bucket's hubs are no part."""
+    base, rows = [f"b{i}" for i in range(104)], []
+    for i in range(80):
+        rows.append((i, " ".join(base + [f"p{i // 2}_{k}" for k in range(2)] + [f"u{i}_{k}" for k in range(12)])))
+    sets = shingle_sets(dict(rows))
+    alike = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.8}
+    assert alike == {(i, i + 1) for i in range(0, 80, 2)}
+    got = {r["doc_id"]: r for r in probminhash.classes(table(spark, rows)).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == {i: i // 2 * 2 for i in range(80)}
+    assert {r["n_links"] for r in got.values()} == {1}
+
+
 def word_cut(rows, length):
     texts = [(i, WORD.findall(t or "")) for i, t in rows]
     first = {}
