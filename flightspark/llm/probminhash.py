@@ -3,7 +3,8 @@
 A document is the weighted set of its five-word shingles, a weight being the count of the shingle. Every shingle sends points
 of a Poisson process with its weight as rate to random components; a component keeps the shingle whose point came first, and a
 shingle stops when its next point is later than all that the components hold. Components agree with the probability Jaccard
-similarity of two documents. Bands of components make buckets.
+similarity of two documents, or with their plain Jaccard similarity where all weights are one. Bands of components of both kinds
+make buckets; documents without a repeated shingle have one signature, which is of both kinds.
 
 Exact copies are merged first. In each bucket every document meets the two members that share most buckets with others, the
 likely originals; buckets with few members meet whole. Candidates are verified on their texts, links are closed to classes. Then
@@ -81,6 +82,15 @@ def signatures(row: np.ndarray, item: np.ndarray, weight: np.ndarray, rows: int,
     return out.reshape(rows, m)
 
 
+def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
+    """rows x bands: a hash of the components of each band and its number."""
+    sig = sig.reshape(len(sig), bands, -1)
+    key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=U64)), sig.shape[:2]).copy()
+    for c in range(sig.shape[2]):
+        key = mix(key * _STEP + sig[:, :, c])
+    return key
+
+
 def _banded(bands: int, per: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,11 +99,22 @@ def _banded(bands: int, per: int):
                 if not len(row):
                     continue
                 own, row = np.unique(row, return_inverse=True)
-                sig = signatures(row, item, count, len(own), bands * per).reshape(len(own), bands, per)
-                key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=U64)), (len(own), bands)).copy()
-                for c in range(per):
-                    key = mix(key * _STEP + sig[:, :, c])
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * bands), pa.array(key.ravel().view(np.int64)))
+                plain = band_keys(signatures(row, item, np.ones(len(row)), len(own), bands * per), bands)
+                # Equal weights give the signature of weights of one.
+                first = np.searchsorted(row, np.arange(len(own)))
+                heavy = np.zeros(len(own), bool)
+                heavy[row[count != count[first][row]]] = True
+                here = heavy[row]
+                new = np.zeros((len(own), bands), bool)
+                weighted = np.zeros((len(own), bands), U64)
+                if here.any():
+                    number = np.cumsum(heavy) - 1
+                    weighted[heavy] = band_keys(signatures(number[row[here]], item[here], count[here], int(heavy.sum()), bands * per), bands)
+                    new[heavy] = weighted[heavy] != plain[heavy]
+                both = np.hstack([plain, weighted])
+                kept = np.hstack([np.ones_like(new), new])
+                ends = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(both[kept].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own + i)), keys], names=["doc_id", "keys"])
 
     return run

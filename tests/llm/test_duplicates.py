@@ -125,6 +125,18 @@ def test_links_inside_a_family_alike_just_below_the_limit(spark):
     assert {r["n_links"] for r in got.values()} == {1}
 
 
+def test_near_copies_by_plain_jaccard_only(spark):
+    """One passage of a copy comes 50 times, so the probability Jaccard similarity is about 0.25 and the plain one 0.94."""
+    rows = []
+    for i in range(0, 40, 2):
+        text, passage = [f"w{i}_{k}" for k in range(204)], [f"r{i}_{k}" for k in range(12)]
+        rows += [(i, " ".join(text)), (i + 1, " ".join(text + passage * 50))]
+    a, b = (shingle_sets(dict(rows))[i] for i in (0, 1))
+    assert probability_jaccard(a, b) < 0.3 and len(set(a) & set(b)) / len(set(a) | set(b)) > 0.9
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.classes(table(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(40)}
+
+
 def word_cut(rows, length):
     texts = [(i, WORD.findall(t or "")) for i, t in rows]
     first = {}
