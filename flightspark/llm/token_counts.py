@@ -227,18 +227,21 @@ def with_counts(docs: DataFrame, tokenizer: Tokenizer | None = None, name: str =
 
 
 def follow(counted: DataFrame, edits: DataFrame, tokenizer: Tokenizer | None = None, name: str = "_tree", out: str = "_edited", leaf: int = LEAF_BYTES) -> DataFrame:
-    """`counted` with the struct column `out` after the edits, a table (doc_id, start, end, put) in bytes of the old text."""
-    key, own = (free_name(counted.columns, c) for c in ("_k", "_edits"))
-    per = edits.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias(key))
+    """`counted` with the struct column `out` after the edits, a table (doc_id, start, end, put) in bytes of the old text.
+
+    With a column `text_hash` (xxhash64) the edits are those of one text of the id."""
+    key, own, of = (free_name(counted.columns, c) for c in ("_k", "_edits", "_of"))
+    same = F.xxhash64(F.col("text").cast("string")) == F.col(of) if "text_hash" in edits.columns else F.lit(True)
+    per = edits.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias(key), *([F.col("text_hash").alias(of)] if "text_hash" in edits.columns else []))
     per = per.agg(F.array_sort(F.collect_list(F.struct("start", "end", "put"))).alias(own))
     none = F.array().cast("array<struct<start: int, end: int, put: string>>")
-    both = counted.join(per.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left")
+    both = counted.join(per.hint("merge"), (F.col("doc_id").cast("long") == F.col(key)) & same, "left")
     fn = recount(counted.sparkSession, tokenizer, leaf)
-    return both.withColumn(out, fn(F.col("text").cast("string"), F.col(name), F.coalesce(own, none))).drop(key, own)
+    return both.withColumn(out, fn(F.col("text").cast("string"), F.col(name), F.coalesce(own, none))).drop(key, own, of)
 
 
 def line_edits(docs: DataFrame) -> DataFrame:
-    """Edits that take out each line standing earlier in its document word for word: (doc_id, start, end, put).
+    """Edits that take out each line standing earlier in its text word for word: (doc_id, text_hash, start, end, put).
 
     A line goes with the line feed after it, if it has one, so edits never overlap.
     """
@@ -248,9 +251,12 @@ def line_edits(docs: DataFrame) -> DataFrame:
     # start of line i = bytes of the lines before it and one for each of their ends
     sizes = F.transform("l", lambda x: F.octet_length(x) + 1)
     at = F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    rows = repeated.select("doc_id", "th", "l", at.alias("at")).select("doc_id", "th", "at", F.posexplode("l").alias("i", "line"))
-    seen = rows.groupBy("doc_id", "th", "line").agg(F.collect_set("i").alias("is"), F.first("at").alias("at")).filter("size(is) > 1 AND line <> ''")
-    later = seen.select("doc_id", "at", F.explode(F.slice(F.array_sort("is"), 2, 1 << 30)).alias("i"))
-    start, end = F.get("at", F.col("i")), F.get("at", F.col("i") + 1)
-    last = F.col("i") == F.size("at") - 2
-    return later.select("doc_id", start.alias("start"), F.when(last, end - 1).otherwise(end).alias("end"), F.lit("").alias("put"))
+    size = F.size("l")
+    rows = repeated.select("doc_id", "th", "l", size.alias("n"), at.alias("at"))
+    rows = rows.select("doc_id", "th", "n", "l", F.slice("at", 1, size).alias("start"), F.slice("at", 2, size).alias("end"))
+    rows = rows.select("doc_id", "th", "n", F.posexplode(F.arrays_zip("l", "start", "end")).alias("i", "x"))
+    end = F.when(F.col("i") == F.col("n") - 1, F.col("x.end") - 1).otherwise(F.col("x.end"))
+    span = F.struct(F.col("x.start").alias("start"), end.alias("end"))
+    seen = rows.groupBy("doc_id", "th", F.col("x.l").alias("line")).agg(F.collect_set(span).alias("spans")).filter("size(spans) > 1 AND line <> ''")
+    later = seen.select("doc_id", "th", F.explode(F.slice(F.array_sort("spans"), 2, 1 << 30)).alias("x"))
+    return later.select("doc_id", F.col("th").alias("text_hash"), "x.start", "x.end", F.lit("").alias("put"))

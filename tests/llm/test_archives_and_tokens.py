@@ -94,6 +94,23 @@ def test_edits_touch_few_leaves(spark):
     assert len(out) == 5 and token_counts.follow(token_counts.with_counts(docs.limit(0)), edits).count() == 0
 
 
+def test_line_edits_of_two_texts_with_one_id(spark):
+    texts = ["a b\na b\nc é\na b", "a much longer line\nx\nx\n\n\nx", "no line twice\nhere", "é\né\n", None]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(8, texts[0])], "doc_id long, text string")
+    out = token_counts.follow(token_counts.with_counts(docs), token_counts.line_edits(docs)).select("text", "_edited.text")
+    got = sorted(tuple(r) for r in out.toDF("before", "after").na.fill("").collect())
+
+    def once(text):
+        lines, seen, kept = (text or "").split("\n"), set(), []
+        for i, line in enumerate(lines):
+            if line == "" or line not in seen:
+                kept.append(line + ("\n" if i < len(lines) - 1 else ""))
+            seen.add(line)
+        return "".join(kept)
+
+    assert got == sorted((t or "", once(t)) for t in [*texts, texts[0]])
+
+
 def test_overlapping_edits_are_refused():
     encoding = token_counts.Tokenizer.load().encoding()
     for edits in ([(0, 3, b""), (2, 4, b"")], [(5, 9, b"")], [(None, 1, b"")]):
