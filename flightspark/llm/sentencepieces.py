@@ -13,7 +13,8 @@ piece table, the edges are grouped by unit, and the best path is folded with the
 Characters without a piece fall back to their bytes, or to the unknown piece if the model has no bytes.
 
 The most frequent units, a fixed number of bounded length, are broadcast to the tasks that assemble documents; the encodings of all
-other units reach their documents by a join. Texts are shuffled once, compressed. Nothing is dropped, whatever the vocabulary.
+other units reach their documents by a join. Texts are shuffled once, compressed. Nothing is dropped, whatever the vocabulary;
+a unit of more than 4,194,304 characters without a cut raises an error under a byte-pair model.
 
 Defined results: null and empty texts have no piece; a null doc_id is a document like any other; repeated rows give repeated
 results; other columns are left out by `encode`. Decoding gives the text back byte for byte, but for space marks that stood in the
@@ -215,6 +216,10 @@ _S, _E, _ID = "(shiftright(x, 23) & 4194303L)", "((shiftright(x, 23) & 4194303L)
 _MARKS = "shiftleft(1L, 62)"
 
 
+#: Characters of a unit whose starts fit into an edge; longer units are refused, not encoded wrongly.
+LONGEST_UNIT = 1 << 22
+
+
 def _substrings(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(uid, size, s, l, piece, id, rank, score): the substrings that are pieces, and characters without one, whose id is null.
 
@@ -244,6 +249,8 @@ def _viterbi(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def _merged(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(uid, path) by merges: the symbol bounds of a unit are folded over its edges in order."""
+    refused = F.raise_error(F.lit(f"a unit has more than {LONGEST_UNIT} characters"))
+    words = words.select("uid", F.when(F.char_length("unit") <= LONGEST_UNIT, F.col("unit")).otherwise(refused).alias("unit"))
     marks = F.col("piece").rlike(f"^{chr(SPACE_MARK)}{{2,}}$").cast("long")
     put = lambda c, bits: F.shiftleft(F.col(c).cast("long"), bits)
     many = F.shiftleft(marks, 62) + put("rank", 45) + put("s", 23) + put("l", 18) + F.col("id").cast("long")

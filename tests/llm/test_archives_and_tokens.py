@@ -134,6 +134,13 @@ def test_pieces_equal_the_library(spark, hot):
     assert sentencepieces.encode(docs.limit(0)).count() == 0
 
 
+def test_units_whose_starts_do_not_fit_are_refused(spark):
+    vocabulary = sentencepieces.Vocabulary.load()
+    words = spark.range(1).selectExpr("id AS uid", f"repeat('=', {(1 << 22) + 1}) AS unit")
+    with pytest.raises(Exception, match="a unit has more than 4194304 characters"):
+        sentencepieces.encode_units(words, vocabulary).count()
+
+
 def test_viterbi_finds_the_best_sum(spark):
     rng = random.Random(3)
     pieces = sorted({"".join(rng.choice("ab▁") for _ in range(rng.randrange(1, 5))) for _ in range(25)} | {"a", "b", "▁"})
