@@ -1,8 +1,8 @@
 """Removal of word passages that an earlier document already has.
 
 Seed and extend: documents meet on winnowed seeds. A stretch of windows around a seed whose whole content stands in a document
-with a smaller id is removed at once; where contents around a shared seed differ, one copy of each content is extended window
-by window. Runs of removed windows are the maximal repeats over the length threshold.
+with a smaller id is removed at once; where contents around a shared seed differ, the windows of one copy of each content are
+grouped by fingerprint over all documents. Nothing is extended to the left or right of a seed. Runs of removed windows are the maximal repeats over the length threshold.
 
 A seed shared by very many documents costs one row per occurrence and one per differing content, never a pair; counts and
 minima are combined before each shuffle.
