@@ -4,8 +4,8 @@ Documents are reduced to the terms of the items: a bag lists the item terms that
 length of a document enters a score only through an integer m, so documents with equal bag and equal m score alike
 for every item. They are one class. A class is found by a hash and verified by the bag itself, which is part of the key;
 of its members the `top` smallest ids are kept, more can never be among the first `top` of an item. Each class is scored once against
-all items that share a term with it, every task keeps the best `top` classes of an item, and members are expanded by ascending id at
-the end.
+all items that share a term with it, every task keeps the best `top` classes of an item and expands their members by ascending id, up
+to `top` rows an item.
 
 The class of a document that holds a third of all rows costs `top` rows a task: the limit is applied before the shuffle. Items are taken in
 blocks, so that the vocabulary in a task is bounded however many items there are; each block reads the documents once. Scores are
@@ -158,9 +158,10 @@ def _scorer(vocabulary: Vocabulary, weight: np.ndarray, top: int):
                     np.add.at(sums, np.repeat(row[a:b], k) * items + vocabulary.item[at], np.repeat(part[a:b], k) * vocabulary.times[at])
                     a = b
                 best.offer(sums.reshape(j - i, items), members[i:j])
-        out = [(vocabulary.items[i], score, ids) for i, mine in enumerate(best.held) for score, ids in mine]
-        item, score, ids = zip(*out) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(score, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["item_id", "score", "members"])
+        # Of the members of the classes that a task has kept, no more than the first `top` can be among the first of an item.
+        out = [(vocabulary.items[i], score, doc) for i, mine in enumerate(best.held)
+               for score, doc in sorted(((s, d) for s, ids in mine for d in ids), key=lambda r: (-r[0], r[1] is not None, r[1] or 0))[:top]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))], names=["item_id", "score", "doc_id"])
 
     return run
 
@@ -211,12 +212,11 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
         weight = np.floor(1000 * np.log((2.0 * docs_with + 2.0) / (2.0 * df + 1.0))).astype(np.int64)
         held = bags.filter(F.length("bag") > 0)
         m = F.lit(75).cast("long") + F.expr(f"(25 * n * {docs_with}L) div {length}L")
-        best = classes(held.select("doc_id", "bag", m.alias("m")), top).mapInArrow(_scorer(vocabulary, weight, top), "item_id long, score long, members array<long>")
+        best = classes(held.select("doc_id", "bag", m.alias("m")), top).mapInArrow(_scorer(vocabulary, weight, top), "item_id long, score long, doc_id long")
         part = checkpointed(best)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-    each = found.select("item_id", "score", F.explode("members").alias("doc_id"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc("doc_id")))
-    return each.withColumn("rank", rank).filter(F.col("rank") <= top).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
