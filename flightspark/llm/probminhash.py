@@ -7,10 +7,11 @@ similarity of two documents, or with their plain Jaccard similarity where all we
 make buckets; documents without a repeated shingle have one signature, which is of both kinds.
 
 Exact copies are merged first. In each bucket every document meets the two members that share most buckets with others, the
-likely originals; buckets with few members meet whole. Candidates are verified on their texts, links are closed to classes. Then
-the members of a bucket that are still in different classes meet each other, so two documents that share a bucket end in one class
-if they are alike. A bucket of near copies costs two candidates a member; one of documents that are alike only just below the limit
-costs all its pairs, each of which may be a link.
+likely originals; buckets with few members meet whole. Candidates are verified on their texts, links are closed to classes. Members
+of large buckets that are still in different classes are compared by an exact filter: shingles are ordered by how many of
+these documents hold them, rare ones first, and two documents meet only on a shingle that stands so early in both that they can still
+reach the limit. Copies of one text that differ in places of their own share the frequent shingles, which come late, so a family
+alike just below the limit costs its pairs no more. No link between documents that share a bucket is lost.
 
 Defined results: texts without a word are alike only if equal; a text of one to four words is one shingle; a null text counts as
 empty; a null doc_id belongs to no class; rows with one id are one document with the links of all its texts; other columns are
@@ -35,8 +36,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 #: Buckets of at most so many members are compared whole.
 WHOLE = 6
-#: Members of a bucket that meet the rest of it in one group of a join.
-BLOCK = 256
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -191,19 +190,69 @@ def candidates(ranked: DataFrame) -> DataFrame:
     return met_by.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
-def rest(ranked: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of members of large buckets that `groups` (doc_id, class_id) leaves in different classes."""
+def contested(ranked: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id, class_id, left): members of large buckets that `groups` (doc_id, class_id) leaves in several classes; `left` if
+    the document is outside the largest class of such a bucket."""
     large = ranked.filter(F.col("n") > WHOLE).select("key", "doc_id").join(groups, "doc_id", "left")
     large = checkpointed(large.select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
     sizes = large.groupBy("key", "class_id").agg(F.count(F.lit(1)).alias("m"))
     tops = sizes.groupBy("key").agg(F.max(F.struct("m", "class_id")).alias("top"), F.sum("m").alias("n")).filter("top.m < n")
-    tops = checkpointed(tops.select("key", F.col("top.class_id").alias("top"), F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    members = checkpointed(large.join(tops, "key"))
-    # Who is not in the largest class of a bucket meets all its other classes, in blocks of the bucket.
-    left = members.filter("class_id <> top").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("doc_id").alias("x"), F.col("class_id").alias("cx"))
-    right = members.select("key", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), F.col("doc_id").alias("y"), F.col("class_id").alias("cy"), (F.col("class_id") != F.col("top")).alias("both"))
-    met = left.join(right, ["key", "block"]).filter("cx <> cy AND (x < y OR NOT both)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    tops = checkpointed(tops.select("key", F.col("top.class_id").alias("top")))
+    return large.join(tops, "key").groupBy("doc_id", "class_id").agg(F.max(F.col("class_id") != F.col("top")).alias("left"))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j, data, off in slices(batch.column("text")):
+            row, item, count = shingles(data, off)
+            ends = pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32))
+            cols = [batch.column(c).slice(i, j - i) for c in ("doc_id", "class_id", "left", "h")]
+            cols += [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int64))) for v in (item.view(np.int64), count)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "class_id", "left", "h", "items", "counts"])
+
+
+def prefixes(docs: DataFrame, members: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The first shingles of `members` in one order of all shingles, rare ones first, as far as a partner has to share one of them.
+
+    Two sets that reach `least` have overlap/(sum of sizes) of at least least/(1 + least), so their first common shingle has at
+    least that overlap behind it in both. A term of the probability Jaccard is at most the share of either side, so before their
+    first common shingle neither side has a share of more than 1 - least. (item, doc_id, class_id, left, size, pos, lead, heavy).
+    """
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(checkpointed(members).hint("merge"), "doc_id")
+    sets = checkpointed(texts.select("doc_id", "class_id", "left", "h", "text").mapInArrow(
+        _sets, "doc_id long, class_id long, left boolean, h long, items array<long>, counts array<long>"))
+    # Shingles of one text only come before all others and can be shared with none.
+    often = checkpointed(sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"))
+    heavy = F.array_max("counts") > F.array_min("counts")
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
+    each = sets.select("doc_id", "class_id", "left", "h", F.size("items").alias("size"), total.alias("total"), heavy.alias("heavy"),
+                       F.explode(F.arrays_zip("items", "counts")).alias("e")).select("*", F.col("e.items").alias("item"), F.col("e.counts").alias("c")).drop("e")
+    own = Window.partitionBy("doc_id", "h")
+    upto = own.orderBy("f", "item").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.join(often, "item").select(
+        "*", (F.col("size") - F.count(F.lit(1)).over(own) + F.count(F.lit(1)).over(upto) - 1).alias("pos"),
+        ((F.col("total") - F.sum("c").over(own) + F.sum("c").over(upto) - F.col("c")) / F.col("total")).alias("lead"))
+    reach = (F.col("pos") <= F.col("size") * (1 - least) + 1e-6) | (F.col("lead") <= 1 - least + 1e-9)
+    return placed.filter(reach).select("item", "doc_id", "class_id", "left", "size", "pos", "lead", "heavy")
+
+
+def rest(docs: DataFrame, ranked: DataFrame, groups: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b), a < b, of contested members in different classes that share a shingle early enough to reach `least`; one of
+    the two is outside the largest class of a bucket. All such pairs are found, whether they share that bucket or not."""
+    near = checkpointed(prefixes(docs, contested(ranked, groups), least))
+    names = ("doc_id", "class_id", "left", "size", "pos", "lead", "heavy")
+    right = near.select("item", *[F.col(c).alias("r_" + c) for c in names])
+    new = (F.col("class_id") != F.col("r_class_id")) & (~F.col("r_left") | (F.col("doc_id") < F.col("r_doc_id")))
+    overlap = (F.col("size") + F.col("r_size")) * (least / (1 + least)) - 1e-6
+    plain = (F.col("pos") + overlap <= F.col("size")) & (F.col("r_pos") + overlap <= F.col("r_size"))
+    share = (F.col("lead") <= 1 - least + 1e-9) & (F.col("r_lead") <= 1 - least + 1e-9)
+    left = near.filter("left")
+    met = [left.join(right, (left["item"] == right["item"]) & new & plain),
+           # Without repeated shingles both similarities are one; only pairs with a heavy side need the other bound.
+           left.filter("heavy").join(right, (left["item"] == right["item"]) & new & share),
+           left.join(right.filter("r_heavy"), (left["item"] == right["item"]) & new & share)]
+    pairs = [m.select(F.least("doc_id", "r_doc_id").alias("a"), F.greatest("doc_id", "r_doc_id").alias("b")) for m in met]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
 
 
 def links(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -230,7 +279,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, per:
     tried = checkpointed(candidates(ranked))
     near = checkpointed(links(known, tried, least))
     so_far = checkpointed(connected_components(near, [], "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("class_id")))
-    more = checkpointed(links(known, rest(ranked, so_far).join(tried, ["a", "b"], "left_anti"), least))
+    more = checkpointed(links(known, rest(known, ranked, so_far, least).join(tried, ["a", "b"], "left_anti"), least))
     found = near.unionByName(more)
     edges = so_far.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).unionByName(more.select("a", "b"))
     edges = edges.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
