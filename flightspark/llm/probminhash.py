@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightspark.llm.bytes_kit import WIDE_SLICE, Rolling, U64, Words, free_name, mix, slices
+from flightspark.llm.bytes_kit import WIDE_SLICE, Rolling, U64, Words, free_name, mix, per_row, slices
 from flightspark.operators.scale import connected_components
 from flightspark.session import checkpointed
 
@@ -205,10 +205,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, off in slices(batch.column("text")):
             row, item, count = shingles(data, off)
-            ends = pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32))
+            ends = np.searchsorted(row, np.arange(j - i + 1))
             cols = [batch.column(c).slice(i, j - i) for c in ("doc_id", "class_id", "left", "h")]
-            cols += [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int64))) for v in (item.view(np.int64), count)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "class_id", "left", "h", "items", "counts"])
+            cols += [pa.array(per_row(v, ends)) for v in (np.ones(len(row), np.int64), count)]
+            heavy = count != count[np.minimum(ends[:-1], max(0, len(row) - 1))][row] if len(row) else np.zeros(0, bool)
+            cols.append(pa.array(per_row(heavy, ends) > 0))
+            cols += [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v.astype(np.int64))) for v in (item.view(np.int64), count)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "class_id", "left", "h", "size", "total", "heavy", "items", "counts"])
 
 
 def prefixes(docs: DataFrame, members: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -220,13 +223,12 @@ def prefixes(docs: DataFrame, members: DataFrame, least: float = SIMILARITY) ->
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(checkpointed(members).hint("merge"), "doc_id")
     sets = checkpointed(texts.select("doc_id", "class_id", "left", "h", "text").mapInArrow(
-        _sets, "doc_id long, class_id long, left boolean, h long, items array<long>, counts array<long>"))
+        _sets, "doc_id long, class_id long, left boolean, h long, size long, total long, heavy boolean, items array<long>, counts array<long>"))
     # Shingles of one text only come before all others and can be shared with none.
     often = checkpointed(sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"))
-    heavy = F.array_max("counts") > F.array_min("counts")
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
-    each = sets.select("doc_id", "class_id", "left", "h", F.size("items").alias("size"), total.alias("total"), heavy.alias("heavy"),
-                       F.explode(F.arrays_zip("items", "counts")).alias("e")).select("*", F.col("e.items").alias("item"), F.col("e.counts").alias("c")).drop("e")
+    # Only numbers travel with each shingle: what is computed from the arrays has been before.
+    each = sets.select("doc_id", "class_id", "left", "h", "size", "total", "heavy", F.explode(F.arrays_zip("items", "counts")).alias("e"))
+    each = each.select("*", F.col("e.items").alias("item"), F.col("e.counts").alias("c")).drop("e")
     own = Window.partitionBy("doc_id", "h")
     upto = own.orderBy("f", "item").rowsBetween(Window.unboundedPreceding, 0)
     placed = each.join(often, "item").select(

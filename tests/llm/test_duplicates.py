@@ -213,3 +213,29 @@ def test_shingles_of_slices_do_not_cross_rows():
     data, off = next((d, o) for _, _, d, o in slices(pa.array(["a b c d e f", "g h", None])))
     row, _, count = probminhash.shingles(data, off)
     assert row.tolist() == [0, 0, 1] and count.tolist() == [1, 1, 1]
+
+
+def test_contested_members_meet_on_early_shingles_only(spark):
+    """A family of one text, each copy changed in places of its own: alike below the limit, some pairs above it."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+
+    def changed(words, n, tag):
+        words = list(words)
+        for k in rng.sample(range(len(words)), n):
+            words[k] = f"{tag}x{k}"
+        return words
+
+    family = [changed(base, 6, f"m{i}") for i in range(120)]
+    for i in range(0, 40, 2):  # every second one gets a partner of its own
+        family[i + 1] = changed(family[i], 1, f"p{i}")
+    family += [changed(base, rng.randrange(0, 3), f"n{i}") for i in range(20)]
+    family += [f * 2 for f in family[:6]] + [family[3] + family[3][:10]]  # weights other than one
+    rows = [(i, " ".join(w)) for i, w in enumerate(family)]
+    sets = shingle_sets(dict(rows))
+    want = {(a, b) for a in sets for b in sets if a < b and max(probability_jaccard(sets[a], sets[b]), len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))) >= 0.8}
+    ranked = spark.createDataFrame([(1, i, len(rows)) for i, _ in rows], "key long, doc_id long, n long")
+    alone = spark.createDataFrame([(i, i) for i, _ in rows], "doc_id long, class_id long")
+    found = {tuple(r) for r in probminhash.rest(table(spark, rows), ranked, alone).collect()}
+    top = max(i for i, _ in rows)  # the largest of equal classes; who is inside it needs no other member of it
+    assert {p for p in want if p != (top, top)} <= found and len(found) < 3 * len(want) < len(rows) ** 2 / 8
