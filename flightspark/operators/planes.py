@@ -87,7 +87,8 @@ def plane_gap_fill(surfels: DataFrame, planes: DataFrame, voxel: float, threshol
     frame = ["p_nx", "p_ny", "p_nz", "p_d", "facade", *[f"_{k}{c}" for k in "uv" for c in XYZ]]
     box = checkpointed(inl.groupBy(FLIGHT, *frame).agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"), *[F.avg(c).alias(c) for c in "rgb"]))
     step = voxel * 1.5
-    count = lambda k: F.greatest(F.lit(0), F.ceil((F.col(k + "1") - F.col(k + "0")) / step)).cast("long")
+    # An extent of a whole number of steps must not gain a cell by rounding.
+    count = lambda k: F.greatest(F.lit(0), F.ceil((F.col(k + "1") - F.col(k + "0")) / step - 1e-9)).cast("long")
     cell = box.withColumns({"_nu": count("u"), "_nv": count("v")}).filter((F.col("_nu") > 0) & (F.col("_nv") > 0))
     cell = cell.withColumn("iu", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nu") - 1))).withColumn("iv", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nv") - 1)))
     at = {c: (F.col("u0") + F.col("iu") * step) * F.col("_u" + c) + (F.col("v0") + F.col("iv") * step) * F.col("_v" + c) - F.col("p_d") * F.col("p_" + n) for c, n in zip(XYZ, N)}

@@ -71,15 +71,17 @@ def close_mask(cells: DataFrame, grid: DataFrame, size: int = 5) -> DataFrame:
 
 
 def raster_fill(raster: DataFrame, grid: DataFrame, size: int = 5) -> DataFrame:
-    """Raster with the holes of its closed mask filled by the mean of the filled cells around them, ring by ring
-    until none is left: a hole of the closed mask is at most `size` cells wide, so that takes about half as many rounds."""
+    """Raster with the holes of its closed mask filled by the mean of the filled cells around them, ring by ring as long as a round
+    fills any. Closed cells that no ring reaches, such as a corner between far apart cells, touch no filled cell and stay open."""
     holes = checkpointed(close_mask(raster, grid, size).join(raster.select(*CELL), CELL, "left_anti"))
     full = checkpointed(raster.select(*CELL, *[F.col(c).cast("double").alias(c) for c in ("z", "r", "g", "b")], F.lit(False).alias("filled")))
     ring = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
     kernel = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ring])
-    while holes.limit(1).count():
+    while True:
         near = full.withColumn("_o", F.explode(kernel)).withColumns({"row": F.col("row") + F.col("_o.dy"), "col": F.col("col") + F.col("_o.dx")})
         new = checkpointed(near.join(holes, CELL, "left_semi").groupBy(*CELL).agg(*[F.avg(c).alias(c) for c in ("z", "r", "g", "b")]).withColumn("filled", F.lit(True)))
+        if not new.limit(1).count():
+            break
         full = full.unionByName(new)
         holes = checkpointed(holes.join(new.select(*CELL), CELL, "left_anti"))
     return full

@@ -64,7 +64,7 @@ def _regularize(spark, sf_dir):
 cte("g_axes", """
 SELECT *, py*0 - pz*uy AS vx, pz*ux - px*0 AS vy, px*uy - py*ux AS vz FROM (SELECT *, CASE WHEN flat < 1e-4 THEN 1 ELSE py/flat END AS ux, CASE WHEN flat < 1e-4 THEN 0 ELSE -px/flat END AS uy FROM (SELECT *, sqrt(px*px + py*py) AS flat FROM a_plane))""")
 cte("g_box", """
-SELECT *, greatest(0, ceil((u1 - u0) / (0.08 * 1.5::DOUBLE))) AS nu, greatest(0, ceil((v1 - v0) / (0.08 * 1.5::DOUBLE))) AS nv FROM (
+SELECT *, greatest(0, ceil((u1 - u0) / (0.08 * 1.5::DOUBLE) - 1e-9)) AS nu, greatest(0, ceil((v1 - v0) / (0.08 * 1.5::DOUBLE) - 1e-9)) AS nv FROM (
 SELECT a.flight_id, min(ux*x + uy*y) AS u0, max(ux*x + uy*y) AS u1, min(vx*x + vy*y + vz*z) AS v0, max(vx*x + vy*y + vz*z) AS v1, any_value(ux) AS ux, any_value(uy) AS uy, any_value(vx) AS vx, any_value(vy) AS vy, any_value(vz) AS vz,
   any_value(a.px) AS px, any_value(a.py) AS py, any_value(a.pz) AS pz, any_value(a.pd) AS pd, any_value(a.facade) AS facade
 FROM g_axes a JOIN a_moved m ON m.flight_id = a.flight_id WHERE semantic_class IN ('facade', 'roof', 'building') AND abs(a.fx*x + a.fy*y + a.fz*z + a.fd) < 0.0613 GROUP BY 1)""")
