@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +21,32 @@ XYZ = ("x", "y", "z")
 T = ("tx", "ty", "tz")
 
 
+def _decode(by: str, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, frame, tu, tv, w, h, rgb in zip(*[batch.column(i).to_pylist() for i in range(7)]):
+                px = np.frombuffer(rgb or b"", np.uint8)
+                px = px[: min(len(px) // 3, w * h) * 3].reshape(-1, 3)
+                k = np.arange(len(px))
+                cols = [pa.repeat(pa.scalar(key, batch.schema.field(0).type), len(k)), pa.repeat(pa.scalar(frame, batch.schema.field(1).type), len(k)),
+                        pa.array(tu * size + k % w), pa.array(tv * size + k // w), *[pa.array(px[:, c].astype(np.int32)) for c in range(3)]]
+                yield pa.RecordBatch.from_arrays(cols, names=[by, "frame_id", "_pu", "_pv", "pr", "pg", "pb"])
+
+    return run
+
+
 def pixel_lookup(df: DataFrame, tiles: DataFrame, u: str, v: str, size: int, by: str = FLIGHT) -> DataFrame:
-    """Adds pr, pg, pb: the pixel (u, v) of the row's frame from tiles of `size` pixels; rows outside any tile drop out."""
-    d = df.withColumns({"tile_u": F.floor(F.col(u) / size).cast("int"), "tile_v": F.floor(F.col(v) / size).cast("int")})
-    d = d.join(tiles.select(by, "frame_id", "tile_u", "tile_v", "w", "h", "rgb"), [by, "frame_id", "tile_u", "tile_v"])
-    lu, lv = F.col(u) - F.col("tile_u") * size, F.col(v) - F.col("tile_v") * size
-    d = d.filter((lu < F.col("w")) & (lv < F.col("h"))).withColumn("_at", ((lv * F.col("w") + lu) * 3).cast("int"))
-    byte = [F.conv(F.hex(F.substring("rgb", F.col("_at") + i, F.lit(1))), 16, 10).cast("int") for i in (1, 2, 3)]
-    return d.withColumns(dict(zip(("pr", "pg", "pb"), byte))).drop("tile_u", "tile_v", "w", "h", "rgb", "_at")
+    """Adds pr, pg, pb: the pixel (u, v) of the row's frame from tiles of `size` pixels; rows outside any tile drop out.
+
+    Every tile that some row looks into is decoded once, to one row a pixel; no row carries a tile.
+    """
+    want = df.select(by, "frame_id", F.floor(F.col(u) / size).cast("int").alias("tile_u"), F.floor(F.col(v) / size).cast("int").alias("tile_v")).distinct()
+    used = tiles.select(by, "frame_id", F.col("tile_u").cast("int").alias("tile_u"), F.col("tile_v").cast("int").alias("tile_v"), "w", "h", "rgb")
+    used = used.join(want, [by, "frame_id", "tile_u", "tile_v"], "left_semi")
+    kind = {f.name: f.dataType.simpleString() for f in tiles.schema.fields}
+    px = used.mapInArrow(_decode(by, size), f"{by} {kind[by]}, frame_id {kind['frame_id']}, _pu long, _pv long, pr int, pg int, pb int")
+    d = df.withColumns({"_pu": F.col(u).cast("long"), "_pv": F.col(v).cast("long")})
+    return d.join(px, [by, "frame_id", "_pu", "_pv"]).select(*df.columns, "pr", "pg", "pb")
 
 
 def luma() -> Column:

@@ -12,3 +12,26 @@ def test_a_hole_that_no_ring_reaches_stays_open(spark):
     assert (11, 11) in closed and (11, 11) not in got
     assert all(got[c]["z"] == 5.0 for c in got) and {c for c in got if not got[c]["filled"]} == set(filled)
     assert set(got) - set(filled) <= closed
+
+
+def test_cells_of_an_atlas_are_disjoint_and_fill_page_after_page(spark):
+    from flightspark.operators import atlas
+
+    faces = [(f, k * 3, 0.08 if k % 2 else 0.02) for f, n in ((1, 50), (2, 7), (3, 1)) for k in range(n)]
+    m = spark.createDataFrame(faces, "flight_id long, fid long, area double").repartition(5)
+    gsd = spark.createDataFrame([(1, 0.1), (2, 0.1), (3, 100.0)], "flight_id long, gsd double")
+    for max_px, pages in ((8192, 1), (20, 6)):
+        rows = atlas.atlas_layout(m, gsd, max_px).collect()
+        by = {}
+        for r in rows:
+            by.setdefault(r["flight_id"], []).append(r)
+        assert {f: len(v) for f, v in by.items()} == {1: 50, 2: 7, 3: 1}
+        for own in by.values():
+            own.sort(key=lambda r: r["fid"])
+            order = [(r["page"], r["y"], r["x"]) for r in own]
+            assert order == sorted(order) and len(set(order)) == len(order)
+            step = own[0]["cell"] + atlas.PAD
+            assert all((r["x"] - 1) % step == 0 and r["x"] + r["cell"] < r["side"] and r["y"] + r["cell"] < r["side"] for r in own)
+            assert own[0]["side"] <= max(max_px, step)
+        assert len({r["page"] for r in by[1]}) == pages
+        assert by[3][0]["cell"] == 2 and by[2][0]["cell"] == 4
