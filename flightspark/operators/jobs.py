@@ -101,20 +101,10 @@ def ablation_compare(runs: DataFrame, baseline: str, metrics: list[str], by: str
 
 # --- missions --------------------------------------------------------------------------------------------------------
 
-def mission_flight(points: DataFrame, by: str = FLIGHT, sparse: bool = False) -> DataFrame:
-    """Centre, height, point count and duration of a mission's path (by, rec_no, lat, lng, altitude).
-
-    `sparse` is the variant for long logs: the centre comes from every n/60-th point and the duration is fixed.
-    """
-    if not sparse:
-        g = points.groupBy(by).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.min_by("altitude", "rec_no").alias("altitude"), F.count(F.lit(1)).alias("points"))
-        return g.withColumn("duration", F.col("points") * 1.5)
-    d = ranked(points, by, "rec_no", "_rank")
-    d = attach(d, d.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), by)
-    on = lambda parts: F.col("_rank") % F.greatest(F.lit(1), F.floor(F.col("_n") / parts)) == 0
-    g = d.groupBy(by).agg(F.avg(F.when(on(60), F.col("lat"))).alias("lat"), F.avg(F.when(on(60), F.col("lng"))).alias("lng"), F.lit(464.9).alias("altitude"),
-                          F.sum(F.when(on(30), 1).otherwise(0)).alias("points"))
-    return g.withColumn("duration", F.lit(45.0))
+def mission_flight(points: DataFrame, by: str = FLIGHT) -> DataFrame:
+    """Centre, height, point count and duration of a mission's path (by, rec_no, lat, lng, altitude)."""
+    g = points.groupBy(by).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.min_by("altitude", "rec_no").alias("altitude"), F.count(F.lit(1)).alias("points"))
+    return g.withColumn("duration", F.col("points") * 1.5)
 
 
 def mission_footprint(centres: DataFrame, by: str = FLIGHT, d_lat: float = 0.00045, d_lng: float = 0.00065) -> DataFrame:

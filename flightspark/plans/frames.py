@@ -178,24 +178,22 @@ def _select_keyframes(spark, sf_dir):
     return fr.select_keyframes(p, min_baseline=0.5, min_angle=3.0, max_gap=12, fold_rows=400)
 
 
-cte("w_key", "SELECT flight_id, frame_id, row_number() OVER (PARTITION BY flight_id ORDER BY frame_id) - 1 AS rank, count(*) OVER (PARTITION BY flight_id) AS n FROM v_poses WHERE frame_id % 3 <> 1")
+cte("w_key", "SELECT flight_id, frame_id, row_number() OVER (PARTITION BY flight_id ORDER BY frame_id) - 1 AS rank, count(*) OVER (PARTITION BY flight_id) AS n FROM v_poses")
 
 
 @register("make_windows", "flight_id:i window_id:i frame_id:i rank:i in_previous:b in_next:b", """
 SELECT flight_id, w AS window_id, frame_id, rank, w > 0 AND rank < (w - 1) * 6 + 10 AS in_previous, w < l AND rank >= (w + 1) * 6 AS in_next
 FROM (SELECT *, greatest(0, ceil((n - 10) / 6)) AS l FROM w_key), (SELECT unnest(range(100000)) AS w) WHERE w <= l AND rank >= w * 6 AND rank < w * 6 + 10""")
 def _make_windows(spark, sf_dir):
-    return fr.make_windows(v.poses(spark, sf_dir).filter(F.col("frame_id") % 3 != 1).select("flight_id", "frame_id"), 10, 4)
+    return fr.make_windows(v.poses(spark, sf_dir).select("flight_id", "frame_id"), 10, 4)
 
 
 @register("anchors", "flight_id:i frame_id:i", """
-WITH f AS (SELECT flight_id, frame_id, row_number() OVER (PARTITION BY flight_id ORDER BY frame_id) - 1 AS r, count(*) OVER (PARTITION BY flight_id) AS n FROM v_poses
-  WHERE CASE flight_id % 3 WHEN 0 THEN true WHEN 1 THEN frame_id % 4 = 0 ELSE frame_id < 40 END)
+WITH f AS (SELECT flight_id, frame_id, row_number() OVER (PARTITION BY flight_id ORDER BY frame_id) - 1 AS r, count(*) OVER (PARTITION BY flight_id) AS n FROM v_poses)
 SELECT flight_id, frame_id FROM f WHERE n <= 48 OR (ceil(n / 8) <= 48 AND r % 8 = 0)
 UNION SELECT f.flight_id, f.frame_id FROM f, (SELECT unnest(range(48)) AS k) WHERE ceil(n / 8) > 48 AND r = round_even(k * ((n - 1) / 47), 0)""")
 def _anchors(spark, sf_dir):
-    p = v.poses(spark, sf_dir).filter("CASE flight_id % 3 WHEN 0 THEN true WHEN 1 THEN frame_id % 4 = 0 ELSE frame_id < 40 END")
-    return fr.anchors(p.select("flight_id", "frame_id"), 48)
+    return fr.anchors(v.poses(spark, sf_dir).select("flight_id", "frame_id"), 48)
 
 
 cte("z_pairs", "SELECT c.flight_id, c.frame_id, r02*(x-tx) + r12*(y-ty) + r22*(z-tz) AS z FROM v_cams c JOIN v_surfels s USING (flight_id)")

@@ -8,6 +8,7 @@ from flightspark.operators import jobs as jb
 from flightspark.plans import surfaces
 from flightspark.plans import views as v
 from flightspark.plans.registry import cte, register
+from flightspark.session import shared_folder
 from flightspark.sources import missions as mi
 from flightspark.sources import sinks as sk
 
@@ -120,13 +121,6 @@ def _flight(spark, sf_dir):
     return jb.mission_flight(_path_points(spark, sf_dir))
 
 
-@register("mission_flight_sparse", "flight_id:i lat:7 lng:7 altitude:3 points:i duration:1", """
-SELECT flight_id, avg(CASE WHEN k % greatest(1, n // 60) = 0 THEN lat END) AS lat, avg(CASE WHEN k % greatest(1, n // 60) = 0 THEN lon END) AS lng, 464.9 AS altitude, sum(CASE WHEN k % greatest(1, n // 30) = 0 THEN 1 ELSE 0 END) AS points, 45 AS duration
-FROM (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY rec_no) - 1 AS k, count(*) OVER (PARTITION BY flight_id) AS n FROM v_telemetry) GROUP BY 1""")
-def _flight_sparse(spark, sf_dir):
-    return jb.mission_flight(_path_points(spark, sf_dir), sparse=True)
-
-
 @register("mission_footprint", "flight_id:i lng0:6 lat0:6 lng2:6 lat2:6 n:i", """
 SELECT flight_id, avg(lon) - 0.00065 AS lng0, avg(lat) - 0.00045 AS lat0, avg(lon) + 0.00065 AS lng2, avg(lat) + 0.00045 AS lat2, 5 AS n FROM v_telemetry GROUP BY 1""")
 def _mission_footprint(spark, sf_dir):
@@ -170,32 +164,46 @@ def _mission_model(spark, sf_dir):
 
 @register("write_world", "flight_id:i element_id:i x:5 semantic_class:s", "SELECT flight_id, element_id, x, semantic_class FROM v_surfels WHERE state <> 'REJECTED'")
 def _world(spark, sf_dir):
-    return sk.world_rows(v.surfels(spark, sf_dir))
+    folder = shared_folder(spark, "files")
+    sk.write_world(v.surfels(spark, sf_dir), folder)
+    return spark.read.parquet(folder)
 
 
 @register("write_uncertainty", "flight_id:i element_id:i confidence_score:5 confidence_level:s covariance_trace:6",
           "SELECT flight_id, element_id, confidence_score, confidence_level, 0.03 * observation_count AS covariance_trace FROM v_surfels WHERE state <> 'REJECTED'")
 def _uncertainty(spark, sf_dir):
     cov = F.array(*[F.when(F.lit(k % 4 == 0), F.col("observation_count") * 0.01).otherwise(F.lit(0.0)) for k in range(9)])
-    return sk.uncertainty_rows(v.surfels(spark, sf_dir).withColumn("cov", cov))
+    folder = shared_folder(spark, "files")
+    sk.write_uncertainty(v.surfels(spark, sf_dir).withColumn("cov", cov), folder)
+    return spark.read.parquet(folder)
 
 
 @register("write_overlay", "flight_id:i provenance:s confidence_level:s n:i", "SELECT flight_id, provenance, confidence_level, count(*) AS n FROM v_surfels WHERE state <> 'REJECTED' GROUP BY 1, 2, 3")
 def _overlay(spark, sf_dir):
-    return sk.overlay_rows(v.surfels(spark, sf_dir))
+    folder = shared_folder(spark, "files")
+    sk.write_overlay(v.surfels(spark, sf_dir), folder)
+    return spark.read.schema("provenance string, confidence_level string, n long, flight_id long").json(folder)
 
 
 @register("write_poses", "flight_id:i frame_id:i t0:4 r00:5 r22:3", "SELECT flight_id, frame_id, tx AS t0, r00, r22 FROM v_cams")
 def _poses(spark, sf_dir):
-    d = sk.pose_json(v.cams(spark, sf_dir))
+    folder = shared_folder(spark, "files")
+    sk.write_poses(v.cams(spark, sf_dir), folder)
+    d = spark.read.text(folder)
     g = lambda p: F.get_json_object("value", p).cast("double")
     return d.select("flight_id", g("$.frame_id").alias("frame_id"), g("$.t_wc[0]").alias("t0"), g("$.R_wc[0][0]").alias("r00"), (g("$.R_wc[2][2]") + 0.0).alias("r22"))
 
 
-@register("write_point_cloud", "flight_id:i value:s", """
-SELECT flight_id, format('{:.4f} {:.4f} {:.4f} {:d} {:d} {:d}', x, y, z, CAST(r AS INT), CAST(g AS INT), CAST(b AS INT)) AS value FROM v_points""")
+_PLY = ["ply", "format ascii 1.0", *[f"property float {c}" for c in ("x", "y", "z", "nx", "ny", "nz")], *[f"property uchar {c}" for c in ("red", "green", "blue")], "end_header"]
+
+
+@register("write_point_cloud", "flight_id:i part:s value:s", f"""
+SELECT flight_id, 'vertices' AS part, format('{{:.4f}} {{:.4f}} {{:.4f}} {{:.4f}} {{:.4f}} {{:.4f}} {{:d}} {{:d}} {{:d}}', x, y, z, nx, ny, nz, CAST(r AS INT), CAST(g AS INT), CAST(b AS INT)) AS value FROM v_points
+UNION ALL SELECT flight_id, 'header', unnest(list_concat({_PLY!r}, ['element vertex ' || n])) FROM (SELECT flight_id, count(*) AS n FROM v_points GROUP BY 1)""")
 def _cloud(spark, sf_dir):
-    return sk.point_lines(v.points(spark, sf_dir))
+    folder = shared_folder(spark, "files")
+    sk.write_point_cloud(v.points(spark, sf_dir), folder, normals=True)
+    return spark.read.text(folder)
 
 
 @register("splat_table", "flight_id:i element_id:i f_dc_0:5 scale:6 opacity:1 qw:5 qx:5 qy:5", """
@@ -204,20 +212,31 @@ def _splat(spark, sf_dir):
     return sk.splat_table(v.surfels(spark, sf_dir), 0.08)
 
 
-@register("flight_path_geojson", "flight_id:i part:i feature:s", """
-SELECT flight_id, 0 AS part, '{"type":"Feature","properties":{"part":0},"geometry":{"type":"LineString","coordinates":[' || string_agg(format('[{:.7f},{:.7f},{:.2f}]', lon, lat, alt), ',' ORDER BY rec_no) || ']}}' AS feature
-FROM (SELECT flight_id, rec_no, lat, lon, alt + 0.0013 AS alt FROM v_telemetry) GROUP BY 1""")
+def _geojson(spark, lines):
+    """The lines of a written collection."""
+    folder = shared_folder(spark, "files")
+    sk.write_geojson(lines, folder)
+    return spark.read.text(folder)
+
+
+@register("flight_path_geojson", "flight_id:i value:s", """
+WITH t AS (SELECT flight_id, format('[{:.7f},{:.7f},{:.2f}]', lon, lat, alt + 0.0013) AS p, row_number() OVER (PARTITION BY flight_id ORDER BY rec_no) AS k, count(*) OVER (PARTITION BY flight_id) AS n FROM v_telemetry)
+SELECT flight_id, CASE WHEN k < n THEN p || ',' ELSE p END AS value FROM t
+UNION ALL SELECT DISTINCT flight_id, unnest(['{"type":"FeatureCollection","features":[{"type":"Feature","properties":{},"geometry":{"type":"LineString","coordinates":[', ']}}]}']) FROM t""")
 def _path_geojson(spark, sf_dir):
-    return sk.flight_path_geojson(v.telemetry(spark, sf_dir).withColumn("alt", F.col("alt") + 0.0013))
+    return _geojson(spark, sk.flight_path_geojson(v.telemetry(spark, sf_dir).withColumn("alt", F.col("alt") + 0.0013)))
 
 
-@register("footprints_geojson", "flight_id:i height_m:2 lng0:5 lat0:5 n:i", """
-SELECT b.flight_id, round(hm, 2) AS height_m, 8.54 + x0 / 75517.0 AS lng0, 47.38 + y0 / 111170.0 AS lat0, 5 AS n FROM (
+@register("footprints_geojson", "flight_id:i lines:i kind:s height_m:2 lng0:5 lat0:5 n:i", """
+SELECT b.flight_id, 3 AS lines, 'FeatureCollection' AS kind, round(hm, 2) AS height_m, 8.54 + x0 / 75517.0 AS lng0, 47.38 + y0 / 111170.0 AS lat0, 5 AS n FROM (
 SELECT s.flight_id, min(x) AS x0, min(y) AS y0, max(z) - any_value(zg) AS hm FROM v_surfels s JOIN (SELECT flight_id, quantile_cont(z, 0.12) AS zg FROM v_surfels GROUP BY 1) g ON g.flight_id = s.flight_id WHERE z > zg + 2.5 GROUP BY 1 HAVING count(*) >= 30) b""")
 def _footprints(spark, sf_dir):
     from flightspark.operators import raster as ra
     fp = ra.building_footprint(v.surfels(spark, sf_dir))
     d = sk.footprints_geojson(fp, fp.select("flight_id", F.lit(47.38).alias("ref_lat"), F.lit(8.54).alias("ref_lon"), F.lit(450.0).alias("ref_alt")))
-    g = lambda p: F.get_json_object("feature", p).cast("double")
-    return d.select("flight_id", g("$.properties.height_m").alias("height_m"), g("$.geometry.coordinates[0][0][0]").alias("lng0"), g("$.geometry.coordinates[0][0][1]").alias("lat0"),
-                    F.size(F.split("feature", r"\],\[")).alias("n"))
+    # A flight has one footprint, so its three lines are put together and read as one document.
+    part = lambda p: F.max(F.when(F.col("value").rlike(p), F.col("value")))
+    lines = _geojson(spark, sk.feature_collection(d)).groupBy("flight_id").agg(F.count(F.lit(1)).alias("lines"), F.concat(part("Collection"), part('"Feature"'), part("^\\]")).alias("doc"))
+    g = lambda p: F.get_json_object("doc", p)
+    return lines.select("flight_id", "lines", g("$.type").alias("kind"), g("$.features[0].properties.height_m").cast("double").alias("height_m"),
+                        g("$.features[0].geometry.coordinates[0][0][0]").cast("double").alias("lng0"), g("$.features[0].geometry.coordinates[0][0][1]").cast("double").alias("lat0"), F.size(F.split("doc", r"\],\[")).alias("n"))

@@ -8,6 +8,7 @@ from flightspark.functions import geodesy, rotation as R
 from flightspark.operators import timeseries as ts
 from flightspark.plans import views as v
 from flightspark.plans.registry import cte, register
+from flightspark.session import shared_folder
 from flightspark.sources import telemetry as src
 
 # --- text sources: telemetry is written out as text, then read back by the parser ------------------------------------
@@ -69,6 +70,44 @@ def _read_csv(spark, sf_dir):
     return src.parse_telemetry_rows(_csv_rows(spark, sf_dir), "flight_id")
 
 
+def _files(lines):
+    """Text lines (flight_id, k, value) written as one file per flight; the folder of them."""
+    folder = shared_folder(lines.sparkSession, "files")
+    lines.repartition("flight_id").sortWithinPartitions("flight_id", "k").select("flight_id", "value").write.partitionBy("flight_id").text(folder)
+    return folder
+
+
+def _flight_of(df):
+    return df.withColumn("flight_id", F.regexp_extract("path", r"flight_id=(\d+)", 1).cast("long"))
+
+
+@register("read_srt_files", "flight_id:i ts:3 lat:6 lon:6 alt:3 rel_alt:3 yaw:1 pitch:1 roll:1 unc:3", "SELECT *, 1.0 AS unc FROM t_srt WHERE rec_no % 11 <> 0")
+def _read_srt_files(spark, sf_dir):
+    # Every third flight has plain line ends, the others carriage returns or blank lines of spaces and tabs.
+    text = _srt_text(spark, sf_dir).withColumn("value", F.expr("""CASE flight_id % 3 WHEN 0 THEN concat(block, '\n')
+        WHEN 1 THEN concat(replace(block, '\n', '\r\n'), '\r\n\r') ELSE concat(block, '\n \t') END"""))
+    return _flight_of(src.read_srt(spark, _files(text.withColumn("k", F.col("rec_no")))))
+
+
+@register("read_telemetry_csv_files", "flight_id:i ts:6 lat:6 lon:6 alt:2 yaw:1 unc:4 vunc:5 image_id:i", """
+SELECT flight_id, ts, round(lat * 10000000) / 1e7 AS lat, round(lon * 10000000) / 1e7 AS lon, round(alt, 2) AS alt,
+  CASE WHEN rec_no % 3 = 0 OR flight_id % 4 = 3 THEN 0 ELSE yaw END AS yaw, greatest(0.1, round(unc, 4)) AS unc,
+  CASE WHEN rec_no % 5 >= 2 THEN 2.5 ELSE greatest(0.1, round(unc, 4)) * 1.6 END AS vunc, image_id
+FROM v_timed WHERE rec_no % 97 <> 1 OR rec_no % 3 = 0 OR flight_id % 4 = 3""")
+def _read_csv_files(spark, sf_dir):
+    # Logs of three makes in one folder: names, order and number of columns differ, one has quotes, one has no heading.
+    rows = _csv_rows(spark, sf_dir)
+    makes = F.expr("flight_id % 4")
+    line = (F.when(makes == 3, F.concat_ws(",", "lat", "lon", "alt", "eph_m", "epv_m", "imgid", "Timpstemp"))
+            .when(makes == 1, F.concat_ws(" , ", F.concat(F.lit('"'), "imgid", F.lit('"')), "heading", "Timpstemp", "lon", "lat", F.lit('"a, b"'), "alt", "eph_m", "epv_m"))
+            .otherwise(F.concat_ws(",", "Timpstemp", "imgid", "lat", "lon", "alt", "eph_m", "epv_m", "heading")))
+    head = (F.when(makes == 3, "Latitude,Longitude,HEIGHT,Accuracy,Vertical_Accuracy,img_id,t")
+            .when(makes == 1, ' frame , yaw,Time,lng,LAT,"note, free",abs_alt,uncertainty,epv_m').otherwise("Timpstemp,imgid,lat,lon,alt,eph_m,epv_m,heading"))
+    lines = rows.select("flight_id", F.col("rec_no").alias("k"), line.alias("value"))
+    heads = rows.select("flight_id").distinct().select("flight_id", F.lit(-1).cast("long").alias("k"), head.alias("value"))
+    return _flight_of(src.read_telemetry_csv(spark, _files(heads.unionByName(lines))))
+
+
 @register("read_telemetry_json", "doc:i rec_no:i ts:3 lat:6 lon:6 alt:3 unc:4", """
 SELECT flight_id * 1000 + rec_no % 1000 // 10 AS doc, rec_no % 10 AS rec_no, raw_ts AS ts, lat, lon, alt,
   CASE WHEN rec_no % 2 = 0 THEN unc ELSE 1 END AS unc FROM v_telemetry""")

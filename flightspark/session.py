@@ -44,6 +44,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new name for a folder below the shared one."""
+    return f"{ensure_checkpoint_dir(spark)}/{kind}-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise `df` as a table in the shared checkpoint folder, so that it is computed once and survives lost executors.
 
@@ -51,6 +56,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     carry the constraints of earlier rounds along.
     """
     spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "tables")
     df.write.option("compression", "snappy").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
