@@ -134,30 +134,69 @@ def merge_tracks(edges: DataFrame, features: DataFrame, min_frames: int = 3, by:
 _DIRECTIONS = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1), (0, 1, 1), (0, 1, -1), (1, 1, 1), (1, 1, -1), (1, -1, 1), (-1, 1, 1)]
 
 
-def widest_pair(obs: DataFrame, poses: DataFrame, min_baseline: float = 0.2, by: str = FLIGHT) -> DataFrame:
-    """The two views of each track that lie farthest apart (by, track_id, frame_id, frame_id_2, baseline).
+#: Halvings of a key's extent at most; points that share a cell of the last one are compared with each other.
+_LEVELS = 20
+
 
-    Views that cannot belong to the pair are dropped before any two views meet: a view nearer to the track's centre than
-    the best known distance minus the track's radius has no partner far enough away. Views at one place count once.
+def farthest_pairs(points: DataFrame, by: list[str], at: tuple[str, ...], name: str) -> DataFrame:
+    """The two places of each key that lie farthest apart (by, name, name_2, distance), the smallest names of equal pairs.
+
+    Exact, without meeting all places: cells of a key are paired, and a pair goes on only if the farthest corners of what it holds
+    are at least as far apart as two places known so far. Cells are halved until few places are left to compare, so places on a
+    circle meet those about opposite to them. A large key is spread over its cells. Names at one place count once.
     """
-    d = attach(obs.select(*TRACK, "frame_id"), poses.select(by, "frame_id", *T), [by, "frame_id"], "inner")
-    d = checkpointed(d.groupBy(*TRACK, *T).agg(F.min("frame_id").alias("frame_id")))
+    d = checkpointed(points.groupBy(*by, *at).agg(F.min(name).alias(name)))
     ends = []
-    for i, (a, b, c) in enumerate(_DIRECTIONS):
-        along = F.col("tx") * a + F.col("ty") * b + F.col("tz") * c
-        ends += [F.min_by(F.struct(*T), along).alias(f"_lo{i}"), F.max_by(F.struct(*T), along).alias(f"_hi{i}")]
-    s = d.groupBy(*TRACK).agg(*ends, *[((F.min(t) + F.max(t)) / 2).alias("_c" + t) for t in T])
-    known = F.greatest(*[R.norm([F.col(f"_lo{i}.{t}") - F.col(f"_hi{i}.{t}") for t in T]) for i in range(len(_DIRECTIONS))])
-    s = s.select(*TRACK, known.alias("_known"), *["_c" + t for t in T])
-    d = checkpointed(d.join(s, TRACK).withColumn("_rad", R.norm([F.col(t) - F.col("_c" + t) for t in T])))
-    rim = d.join(d.groupBy(*TRACK).agg(F.max("_rad").alias("_maxrad")), TRACK).filter(F.col("_rad") >= F.col("_known") - F.col("_maxrad") - 1e-9)
-    rim = checkpointed(rim.select(*TRACK, "frame_id", *T))
-    other = rim.select(*TRACK, F.col("frame_id").alias("frame_id_2"), *[F.col(t).alias(t + "_2") for t in T])
-    pair = rim.join(other, TRACK).filter(F.col("frame_id") < F.col("frame_id_2")).withColumn(
-        "baseline", R.norm([F.col(t) - F.col(t + "_2") for t in T]))
-    best = pair.groupBy(*TRACK).agg(F.max_by(F.struct("frame_id", "frame_id_2", "baseline"), F.struct(
-        F.round("baseline", 9), -F.col("frame_id"), -F.col("frame_id_2"))).alias("_b"))
-    return best.select(*TRACK, "_b.*").filter(F.col("baseline") >= min_baseline)
+    for i, way in enumerate(_DIRECTIONS):
+        along = sum((F.col(t) * w for t, w in zip(at, way)), F.lit(0.0))
+        ends += [F.min_by(F.struct(*at), along).alias(f"_lo{i}"), F.max_by(F.struct(*at), along).alias(f"_hi{i}")]
+    s = d.groupBy(*by).agg(*ends, *[F.min(t).alias("_o" + t) for t in at], F.greatest(*[F.max(t) - F.min(t) for t in at]).alias("_size"))
+    known = F.greatest(*[R.norm([F.col(f"_lo{i}.{t}") - F.col(f"_hi{i}.{t}") for t in at]) for i in range(len(_DIRECTIONS))])
+    s = checkpointed(s.filter("_size > 0").select(*by, known.alias("_known"), "_size", *["_o" + t for t in at]))
+    d = d.join(s, by).select(*by, name, *at, *[((F.col(t) - F.col("_o" + t)) / F.col("_size")).alias("_u" + t) for t in at])
+    d, places = checkpointed(d), 0
+
+    def cell(level: int) -> Column:
+        """Number of the cell of a place: 21 bits an axis."""
+        parts = [F.floor(F.col("_u" + t) * float(1 << level)).cast("long") for t in at]
+        return sum((F.shiftleft(c, 21 * k) for k, c in enumerate(parts[1:], 1)), parts[0])
+
+    def boxes(level: int, side: str) -> DataFrame:
+        g = d.groupBy(*by, cell(level - 1).alias(f"_{side}"), cell(level).alias(f"_{side}k")).agg(
+            F.count(F.lit(1)).alias(f"_n{side}"), F.min(F.struct(*at)).alias(f"_r{side}"), *[f(t).alias(f"_{n}{side}{t}") for t in at for n, f in (("l", F.min), ("h", F.max))])
+        return g
+
+    pairs = None
+    for level in range(1, _LEVELS + 1):
+        a, b = boxes(level, "a"), boxes(level, "b")
+        if pairs is None:
+            both = a.drop("_a").join(b.drop("_b"), by).filter("_ak <= _bk").join(s.select(*by, "_known"), by)
+        else:
+            both = pairs.join(a, [*by, "_a"]).join(b, [*by, "_b"]).filter("_a <> _b OR _ak <= _bk")
+        apart = R.norm([F.greatest(F.col(f"_hb{t}") - F.col(f"_la{t}"), F.col(f"_ha{t}") - F.col(f"_lb{t}")) for t in at])
+        met = R.norm([F.col(f"_ra.{t}") - F.col(f"_rb.{t}") for t in at])
+        both = checkpointed(both.select(*by, F.col("_ak").alias("_a"), F.col("_bk").alias("_b"), (F.col("_na") * F.col("_nb")).alias("_work"), "_known", apart.alias("_apart"), met.alias("_met")).filter("_apart >= _known - 2e-9"))
+        best = both.groupBy(*by).agg(F.max(F.greatest("_known", "_met")).alias("_known"))
+        pairs = checkpointed(attach(both.drop("_known"), best, by, "inner").filter("_apart >= _known - 2e-9").select(*by, "_a", "_b", "_work", "_known"))
+        work = pairs.agg(F.sum("_work")).first()[0] or 0
+        places = places or d.count()
+        if work <= 8 * places:
+            break
+    pairs = pairs.select(*by, "_a", "_b", "_known")
+    place = d.select(*by, cell(level).alias("_a"), name, *at)
+    other = d.select(*by, cell(level).alias("_b"), F.col(name).alias("_name"), *[F.col(t).alias("_2" + t) for t in at])
+    far = R.norm([F.col(t) - F.col("_2" + t) for t in at])
+    met = pairs.join(place, [*by, "_a"]).join(other, [*by, "_b"]).filter(F.col(name) != F.col("_name")).withColumn("distance", far).filter("distance >= _known - 2e-9")
+    met = met.select(*by, F.least(name, "_name").alias(name), F.greatest(name, "_name").alias(f"{name}_2"), "distance")
+    top = met.groupBy(*by).agg(F.max_by(F.struct(name, f"{name}_2", "distance"), F.struct(F.round("distance", 9), -F.col(name), -F.col(f"{name}_2"))).alias("_b"))
+    return top.select(*by, "_b.*")
+
+
+def widest_pair(obs: DataFrame, poses: DataFrame, min_baseline: float = 0.2, by: str = FLIGHT) -> DataFrame:
+    """The two views of each track that lie farthest apart (by, track_id, frame_id, frame_id_2, baseline)."""
+    d = attach(obs.select(*TRACK, "frame_id"), poses.select(by, "frame_id", *T), [by, "frame_id"], "inner")
+    best = farthest_pairs(d, list(TRACK), T, "frame_id").withColumnRenamed("distance", "baseline")
+    return best.filter(F.col("baseline") >= min_baseline)
 
 
 _SUMS = [(i, j) for i in range(4) for j in range(i, 4)]
@@ -231,8 +270,8 @@ def triangulate(obs: DataFrame, poses: DataFrame, max_reproj_px: float = 2.0, mi
 def _angle_reached(rows: DataFrame, angle: float) -> DataFrame:
     """Tracks with two rays at least `angle` apart.
 
-    Any ray that far from the first one settles a track. The others have all rays within `angle` of the first, where the
-    rays are few directions in a small cone: distinct ones are compared, after merging equal viewpoints.
+    Any ray that far from the first one settles a track. The others have all rays within `angle` of the first, and their two
+    farthest ones decide.
     """
     ray = [F.col(c) - F.col("t" + c) for c in "xyz"]
     d = rows.withColumn("_n", F.greatest(F.lit(1e-12), R.norm(ray)))
@@ -244,10 +283,9 @@ def _angle_reached(rows: DataFrame, angle: float) -> DataFrame:
     sure = g.filter(F.col("_c") <= math.cos(angle)).select(*TRACK)
     # Twice the spread from the first ray bounds every pair, so a narrow bundle is settled too.
     open_ = g.filter((F.col("_c") > math.cos(angle)) & (F.col("_c") <= math.cos(angle / 2) + 1e-15)).select(*TRACK)
-    rest = checkpointed(d.join(open_, TRACK, "left_semi").select(*TRACK, "dx", "dy", "dz").distinct())
-    pair = rest.join(rest.select(*TRACK, *[F.col("d" + c).alias("e" + c) for c in "xyz"]), TRACK)
-    late = pair.groupBy(*TRACK).agg(F.min(R.dot([F.col("d" + c) for c in "xyz"], [F.col("e" + c) for c in "xyz"])).alias("_c")).filter(
-        F.col("_c") <= math.cos(angle)).select(*TRACK)
+    # Among unit vectors the widest angle is the longest chord.
+    rest = d.join(open_, TRACK, "left_semi").select(*TRACK, "frame_id", "dx", "dy", "dz")
+    late = farthest_pairs(rest, list(TRACK), ("dx", "dy", "dz"), "frame_id").filter(F.col("distance") >= 2.0 * math.sin(angle / 2.0)).select(*TRACK)
     return sure.unionByName(late)
 
 

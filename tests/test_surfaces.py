@@ -35,3 +35,28 @@ def test_cells_of_an_atlas_are_disjoint_and_fill_page_after_page(spark):
             assert own[0]["side"] <= max(max_px, step)
         assert len({r["page"] for r in by[1]}) == pages
         assert {f: own[0]["cell"] for f, own in by.items()} == {1: 3, 2: 2, 3: 2}
+
+
+def test_farthest_views_of_orbits_and_clouds(spark):
+    import math
+    import random
+    import time
+
+    from flightspark.operators import tracks
+
+    rng = random.Random(8)
+    turn = [(math.cos(k * 2 * math.pi / 20_001), math.sin(k * 2 * math.pi / 20_001)) for k in range(20_001)]
+    keys = {1: [(30 * c, 30 * s, 10.0) for c, s in turn], 2: [(rng.gauss(0, 5), rng.gauss(0, 5), rng.gauss(0, 1)) for _ in range(400)],
+            3: [(1.0, 2.0, 3.0)] * 5, 4: [(float(k % 7), 0.0, 0.0) for k in range(60)], 5: [(0.0, 0.0, 0.0), (0.0, 0.0, 1.0)]}
+    rows = [(1, k, i, *p) for k, ps in keys.items() for i, p in enumerate(ps)]
+    d = spark.createDataFrame(rows, "flight_id long, track_id long, frame_id long, tx double, ty double, tz double").repartition(4)
+    start = time.time()
+    got = {r["track_id"]: (r["frame_id"], r["frame_id_2"], r["distance"]) for r in tracks.farthest_pairs(d, ["flight_id", "track_id"], ("tx", "ty", "tz"), "frame_id").collect()}
+    assert time.time() - start < 120
+    for k in (2, 4, 5):
+        ps = keys[k]
+        dist, a, b = max((round(math.dist(ps[a], ps[b]), 9), -a, -b) for a in range(len(ps)) for b in range(a + 1, len(ps)))
+        assert (round(got[k][2], 9), -got[k][0], -got[k][1]) == (dist, a, b)
+    assert 3 not in got
+    # An odd number of places: the farthest are half a step from being opposite.
+    assert abs(got[1][2] - 60 * math.cos(math.pi / 40_002)) < 1e-9 and got[1][1] - got[1][0] in (10_000, 10_001)
