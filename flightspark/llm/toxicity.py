@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightspark.llm.bytes_kit import Rolling, U64, Words, mix, slices
@@ -153,9 +153,12 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE_R
     picked = marks.filter("label = 1").orderBy(*order).limit(rows // 2).unionByName(marks.filter("label = 0").orderBy(*order).limit(rows // 2))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).dropDuplicates(["text", "label"])
-    # Over a bounded number of rows: one task per class.
-    so_far = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy(*order))
-    return found.withColumn("so_far", so_far).filter(F.col("so_far") <= chars).select("doc_id", "text", "label")
+    # Of the bounded number of rows of a class, in their order, each is taken that fits into the characters left: a long text costs none but itself.
+    lengths = F.array_sort(F.collect_list(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.length("text").cast("long").alias("n"))))
+    start = F.struct(F.lit(chars).cast("long").alias("left"), F.array().cast("array<bigint>").alias("ids"))
+    taken = F.aggregate("rows", start, lambda s, r: F.when(r["n"] <= s["left"], F.struct((s["left"] - r["n"]).alias("left"), F.array_append(s["ids"], r["doc_id"]).alias("ids"))).otherwise(s))
+    kept = found.groupBy("label").agg(lengths.alias("rows")).select("label", F.explode(taken["ids"]).alias("doc_id"))
+    return found.join(kept, ["label", "doc_id"]).select("doc_id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", **options) -> Model:

@@ -180,3 +180,19 @@ def test_chain_marginals_match_enumeration():
             for k, v in enumerate(y):
                 weight[k, v] += score
         assert np.allclose(np.log(weight[:, 1] / weight[:, 0]), odds[at])
+
+
+def test_a_long_labelled_text_costs_the_sample_nothing_but_itself(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:60]
+    texts = {i: "word " * 20 for i in ids} | {ids[0]: "x" * 5000, ids[1]: "y" * 5000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("text", docs_unique())
+    labels = spark.createDataFrame([(i, k % 2, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int, quality int")
+    got = {r["doc_id"]: r["label"] for r in toxicity.sample(docs, labels, "toxic", 60, 4000).collect()}
+    assert set(got) == set(ids[2:]) and sum(got.values()) == 29
+    assert toxicity.sample(docs, labels, "toxic", 60, 10).collect() == []
+
+
+def docs_unique():
+    from pyspark.sql import functions as F
+
+    return F.concat("text", F.col("doc_id").cast("string"))
