@@ -60,3 +60,38 @@ def test_farthest_views_of_orbits_and_clouds(spark):
     assert 3 not in got
     # An odd number of places: the farthest are half a step from being opposite.
     assert abs(got[1][2] - 60 * math.cos(math.pi / 40_002)) < 1e-9 and got[1][1] - got[1][0] in (10_000, 10_001)
+
+
+def test_depth_range_with_landmarks_on_all_sides(spark):
+    import random
+
+    import numpy as np
+
+    from flightspark.operators import frames
+
+    rng = random.Random(3)
+    points = [(f, rng.uniform(-9, 9), rng.choice([rng.uniform(-9, 9), 1.5]), rng.gauss(0, 4)) for f, n in ((1, 900), (2, 25), (3, 12)) for _ in range(n)]
+    points += [(1, None, 0.0, 0.0)]
+    poses = []
+    for f in (1, 2, 3, 4):
+        for k in range(12):
+            axis = np.array([rng.gauss(0, 1) for _ in range(3)])
+            axis /= np.linalg.norm(axis)
+            poses.append((f, k, *map(float, axis), *[rng.uniform(-4, 4) for _ in range(3)]))
+    got = {(r["flight_id"], r["frame_id"]): (r["lo"], r["hi"]) for r in frames.depth_range(
+        spark.createDataFrame(points, "flight_id long, x double, y double, z double"),
+        spark.createDataFrame(poses, "flight_id long, frame_id long, r02 double, r12 double, r22 double, tx double, ty double, tz double")).collect()}
+    for f, k, *p in poses:
+        own = np.array([q[1:] for q in points if q[0] == f and q[1] is not None]).reshape(-1, 3)
+        z = (own - p[3:]) @ np.array(p[:3])
+        z = z[z > 0.2]
+        lo, hi = 1.0, 100.0
+        if len(z) >= 20:
+            p2, p98 = np.percentile(1 / z, [2, 98])
+            if p98 * 1.15 > p2 * 0.85 > 1e-6:
+                lo, hi = 1 / (p98 * 1.15), 1 / (p2 * 0.85)
+        lo = 1.0 if lo <= 0.1 else lo
+        hi = max(lo * 3, 100.0) if hi <= lo * 1.05 else hi
+        if f == 4:  # no landmark at all: no row is asked of the flight
+            continue
+        assert got[f, k] == (np.float64(lo), np.float64(hi)) or np.allclose(got[f, k], (lo, hi), rtol=1e-9)
