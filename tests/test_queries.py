@@ -6,7 +6,8 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["read_srt", "interp_asof", "baro_fuse", "cell_aggregate", "fuse_surfels", "score_confidence", "epipolar_inliers", "edge_topology", "dsm_ortho",
-         "stage_durations", "mission_state_machine", "pick_sources"]
+         "stage_durations", "mission_state_machine", "pick_sources", "detect_planes", "atlas_layout", "read_srt_files", "read_telemetry_csv_files",
+         "footprints_geojson", "widest_pair", "depth_range", "make_windows", "anchors", "raster_fill"]
 
 
 def test_every_oracle_has_a_query():
