@@ -240,23 +240,31 @@ def follow(counted: DataFrame, edits: DataFrame, tokenizer: Tokenizer | None = N
     return both.withColumn(out, fn(F.col("text").cast("string"), F.col(name), F.coalesce(own, none))).drop(key, own, of)
 
 
+def _line_bounds(text: pa.Array) -> pa.Array:
+    """Start and end byte of every line of each text, the line feed included."""
+    ends, starts, stops = [0], [], []
+    for t in text:
+        raw = np.frombuffer(t.as_buffer(), np.uint8) if t.is_valid and t.as_buffer().size else np.zeros(0, np.uint8)
+        breaks = np.flatnonzero(raw == 10).astype(np.int32) + 1
+        starts.append(np.concatenate([[0], breaks]))
+        stops.append(np.concatenate([breaks, [len(raw)]]))
+        ends.append(ends[-1] + len(starts[-1]))
+    flat = [pa.array(np.concatenate(c) if c else np.zeros(0), pa.int32()) for c in (starts, stops)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, ["start", "end"]))
+
+
+line_bounds = F.arrow_udf(_line_bounds, T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+
+
 def line_edits(docs: DataFrame) -> DataFrame:
     """Edits that take out each line standing earlier in its text word for word: (doc_id, text_hash, start, end, put).
 
-    A line goes with the line feed after it, if it has one, so edits never overlap.
+    A line goes with the line feed after it, if it has one, so edits never overlap. Bounds of lines are found in one pass over the bytes.
     """
     body = F.col("text").cast("string")
-    starts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), F.split(body, "\n").alias("l"))
-    repeated = starts.filter(F.size(F.array_distinct("l")) < F.size("l"))
-    # start of line i = bytes of the lines before it and one for each of their ends
-    sizes = F.transform("l", lambda x: F.octet_length(x) + 1)
-    at = F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    size = F.size("l")
-    rows = repeated.select("doc_id", "th", "l", size.alias("n"), at.alias("at"))
-    rows = rows.select("doc_id", "th", "n", "l", F.slice("at", 1, size).alias("start"), F.slice("at", 2, size).alias("end"))
-    rows = rows.select("doc_id", "th", "n", F.posexplode(F.arrays_zip("l", "start", "end")).alias("i", "x"))
-    end = F.when(F.col("i") == F.col("n") - 1, F.col("x.end") - 1).otherwise(F.col("x.end"))
-    span = F.struct(F.col("x.start").alias("start"), end.alias("end"))
-    seen = rows.groupBy("doc_id", "th", F.col("x.l").alias("line")).agg(F.collect_set(span).alias("spans")).filter("size(spans) > 1 AND line <> ''")
+    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("t"))
+    texts = texts.withColumn("l", F.split("t", "\n")).filter(F.size(F.array_distinct("l")) < F.size("l"))
+    rows = texts.select("doc_id", "th", "l", line_bounds("t").alias("b")).select("doc_id", "th", F.explode(F.arrays_zip("l", "b")).alias("x"))
+    seen = rows.groupBy("doc_id", "th", F.col("x.l").alias("line")).agg(F.collect_set("x.b").alias("spans")).filter("size(spans) > 1 AND line <> ''")
     later = seen.select("doc_id", "th", F.explode(F.slice(F.array_sort("spans"), 2, 1 << 30)).alias("x"))
     return later.select("doc_id", F.col("th").alias("text_hash"), "x.start", "x.end", F.lit("").alias("put"))

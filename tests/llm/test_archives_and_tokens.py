@@ -208,3 +208,14 @@ def test_pipeline_against_brute_force(spark):
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert sorted(got) == sorted(clean) and quality_rules.DEFAULT_POLICY == "prose-2"
     assert all(got[i]["ids"] == model.encode(t) and got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in clean.items())
+
+
+def test_line_edits_of_a_text_of_very_many_lines(spark):
+    import time
+
+    rows = [(1, "\n".join(["again", *(f"line {k}" for k in range(200_000)), "again", "é"])), (2, "é\n\né\nx\né"), (3, ""), (4, "one"), (5, "a\na\n")]
+    start = time.time()
+    got = sorted(tuple(r) for r in token_counts.line_edits(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "start", "end").collect())
+    assert time.time() - start < 60
+    size = len(rows[0][1].encode())
+    assert got == [(1, size - 8, size - 2), (2, 4, 7), (2, 9, 11), (5, 2, 4)]
