@@ -131,11 +131,14 @@ def update_surfel_evidence(surfels: DataFrame, tests: DataFrame, prior: DataFram
     `prior` has one row per (surfel, sampled frame) that supported it before.
     """
     key = [by, "element_id"]
-    t = tests.groupBy(*key).agg(F.sum(F.when(F.col("tested") & F.col("agrees"), 1).otherwise(0)).alias("_new"), F.avg("error").alias("_err"))
-    p = prior.groupBy(*key).agg(F.count(F.lit(1)).alias("_prior"))
+    passed = F.col("tested") & F.col("agrees")
+    t = tests.groupBy(*key).agg(F.sum(F.when(passed, 1).otherwise(0)).alias("_new"), F.avg("error").alias("_err"), F.collect_set(F.when(passed, F.col("frame_id"))).alias("_seen"))
+    p = prior.groupBy(*key).agg(F.count(F.lit(1)).alias("_prior"), F.collect_set("frame_id").alias("_held"))
     d = surfels.join(t, key, "left").join(p, key, "left")
     n = F.coalesce("_prior", F.lit(0)) + F.coalesce("_new", F.lit(0))
-    d = d.withColumns({"observation_count": n, "reprojection_error": F.coalesce("_err", F.lit(1.0))})
+    # A view counts once, whether it supported the surfel before or has now passed its test.
+    frames = F.array_sort(F.array_union(F.coalesce("_held", F.slice("_seen", 1, 0), F.array()), F.coalesce("_seen", F.array())))
+    d = d.withColumns({"observation_count": n, "reprojection_error": F.coalesce("_err", F.lit(1.0)), "supporting_frames": frames}).drop("_seen", "_held")
     return d.withColumns({
         "visibility": F.when(F.col("observation_count") >= 1, "VISIBLE").otherwise("UNKNOWN"),
         "provenance": F.when((F.col("observation_count") >= 2) & (F.col("reprojection_error") < max_error_px), "MULTI_VIEW_SUPPORTED")

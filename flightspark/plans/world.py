@@ -169,12 +169,18 @@ def _validate(spark, sf_dir):
     return _tests.anew(spark, sf_dir)
 
 
-@register("update_surfel_evidence", "flight_id:i element_id:i observation_count:i reprojection_error:4 visibility:s provenance:s", """
+cte("v_united", """
+SELECT flight_id, element_id, string_agg(CAST(frame_id AS VARCHAR), ',' ORDER BY frame_id) AS frames FROM (
+SELECT flight_id, element_id, frame_id FROM v_surfel_frames UNION SELECT flight_id, element_id, frame_id FROM v_tests WHERE tested AND agrees) GROUP BY 1, 2""")
+
+
+@register("update_surfel_evidence", "flight_id:i element_id:i observation_count:i reprojection_error:4 visibility:s provenance:s frames:s", """
 SELECT * REPLACE (reprojection_error + 0.0000137 AS reprojection_error), CASE WHEN observation_count >= 1 THEN 'VISIBLE' ELSE 'UNKNOWN' END AS visibility, CASE WHEN observation_count >= 2 AND reprojection_error < 3.5 THEN 'MULTI_VIEW_SUPPORTED'
-  WHEN observation_count = 1 THEN 'OBSERVED' ELSE p0 END AS provenance FROM v_updated""")
+  WHEN observation_count = 1 THEN 'OBSERVED' ELSE p0 END AS provenance FROM v_updated LEFT JOIN v_united USING (flight_id, element_id)""")
 def _update(spark, sf_dir):
     # The small shift moves the means off the rounding borders on which many of them lie.
-    return _updated(spark, sf_dir).withColumn("reprojection_error", F.col("reprojection_error") + 0.0000137)
+    d = _updated(spark, sf_dir).withColumn("reprojection_error", F.col("reprojection_error") + 0.0000137)
+    return d.withColumn("frames", F.array_join("supporting_frames", ","))
 
 
 @register("validation_summary", "flight_id:i mean_reprojection_error:5 total_tested:i total_passed:i", """
