@@ -138,25 +138,16 @@ def test_ellipse_rows():
     assert rows == {-2: 1, -1: 5, 0: 5, 1: 5, 2: 1}
 
 
-def test_late_telemetry_has_no_velocity_and_is_no_predecessor():
+def test_telemetry_with_a_standing_clock_has_no_velocity_and_is_no_predecessor():
     import numpy as np
     import pandas as pd
 
     from flightspark.streaming.streams import _local_track
 
-    class State:
-        exists, value = False, None
-
-        @property
-        def get(self):
-            return self.value
-
-        def update(self, value):
-            self.exists, self.value = True, value
-
-    state, out = State(), []
+    state, out = None, []
     rows = pd.DataFrame({"rec_no": [0, 1, 2, 3, 4], "t": [0.0, 1.0, 2.0, 1.5, 3.0], "lat": 47.0 + np.array([0, 1, 2, 1.5, 3]) * 1e-5, "lon": 8.0, "alt": 100.0})
     for part in (rows[:2], rows[2:3], rows[3:4], rows[4:]):
-        out += list(_local_track((1,), iter([part]), state))
+        got, state = _local_track((1,), part, state)
+        out.append(got)
     v = pd.concat(out)["vy"].to_numpy()
     assert np.isnan(v[3]) and v[0] == 0 and np.allclose(v[[1, 2, 4]], v[1]) and v[1] > 1
