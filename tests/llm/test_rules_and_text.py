@@ -196,3 +196,79 @@ def docs_unique():
     from pyspark.sql import functions as F
 
     return F.concat("text", F.col("doc_id").cast("string"))
+
+
+def _mixed_texts():
+    """Random texts of few words with repeated rows, odd rows and a text of many lines; every other one is labelled."""
+    rnd = random.Random(11)
+    words = ["river", "Stone", "awful", "troll", "garden", "###", "walks!", "home.", "a|b", "Why?", "42", "ÜBER", "the", "of", "long" * 6]
+    texts = ["\n".join(" ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 9))) for _ in range(rnd.randrange(1, 7))) for _ in range(120)]
+    texts += texts[:10] + ODD + ["\n".join(f"line {k % 50} of {rnd.choice(words)}" for k in range(4000))]
+    return texts, np.array([int(t is not None and ("awful" in t or "###" in t)) for t in texts])
+
+
+def _offence(model, text):
+    """Noisy-or over sentences, word by word."""
+    data = (text or "").encode()
+    found, last = [], None
+    for w in re.finditer(rb"[^\x20\x09-\x0D]+", data):
+        if last is None or data[last - 1: last] in (b".", b"!", b"?") or b"\n" in data[last: w.start()]:
+            found.append([])
+        last = w.end()
+        found[-1] += re.sub(rb"[!-/:-@\[-`{-~]", b" ", w.group()).lower().split()
+    if not found:
+        return model.prior
+    none = 1.0
+    for sentence in found:
+        z = model.bias
+        for word in sentence:
+            z += model.weights[toxicity.sentences(np.frombuffer(word, np.uint8), np.array([0, len(word)])).feature].sum()
+        none *= 1 - 1 / (1 + np.exp(-z))
+    return 1 - none
+
+
+def _good_share(model, text):
+    """Features of lines by plain counting, forward and backward sums by hand, and the curve over the weighted share."""
+    data = (text or "").encode()
+    per_line = [(x, re.findall(rb"[^\x20\x09-\x0D]+", x)) for x in data.split(b"\n")]
+    per_line = [(x[x.index(ws[0]): x.rindex(ws[-1]) + len(ws[-1])], ws) for x, ws in per_line if ws]
+    if not per_line:
+        return model.prior
+    flat = [w for _, ws in per_line for w in ws]
+    tri = [tuple(flat[i:i + 3]) for i in range(len(flat) - 2)]
+    often = {t for t, n in zip(*np.unique(np.array([b"\0".join(t) for t in tri], dtype=object), return_counts=True)) if n > 1} if tri else set()
+    own, sizes, at, seen = [], [], 0, set()
+    for body, ws in per_line:
+        n, size = len(ws), sum(map(len, ws))
+        many = lambda chars: sum(body.count(bytes([c])) for c in chars)
+        upper, lower = sum(65 <= c <= 90 for c in body), sum(97 <= c <= 122 for c in body)
+        again = sum(b"\0".join(tri[i]) in often for i in range(at, min(at + n, len(tri))))
+        own.append([min(many(b"#*$%&|<>") / n, 2), upper > lower, min(many(b"!") / n, 2), many(b"0123456789") / size, min(many(b"|") / n, 2),
+                    sum(a == b for a, b in zip(ws, ws[1:])) / n, again / n, body in seen, body[-1:] in [bytes([c]) for c in b".!?:;\"')"], n < 4, size > 15 * n])
+        sizes.append(size)
+        seen.add(body)
+        at += n
+    zero = [0.0] * quality_crf.NEAR
+    near = lambda i: own[i][:quality_crf.NEAR] if 0 <= i < len(own) else zero
+    e = [float(np.dot(np.array([*own[i], *near(i - 1), *near(i + 1), 1.0], float), model.emit)) for i in range(len(own))]
+    ahead, back = [np.array([0.0, e[0]])], [np.zeros(2)]
+    for x in e[1:]:
+        ahead.append(np.logaddexp.reduce(ahead[-1][:, None] + model.move, axis=0) + np.array([0.0, x]))
+    for x in e[:0:-1]:
+        back.append(np.logaddexp.reduce(model.move + (back[-1] + np.array([0.0, x]))[None, :], axis=1))
+    odds = np.array([f + b for f, b in zip(ahead, back[::-1])])
+    good = 1 / (1 + np.exp(odds[:, 0] - odds[:, 1]))
+    share = np.clip(np.dot(sizes, good) / sum(sizes), 1e-4, 1 - 1e-4)
+    return 1 / (1 + np.exp(-(model.slope * np.log(share / (1 - share)) + model.shift)))
+
+
+@pytest.mark.parametrize("module, plain", [(toxicity, _offence), (quality_crf, _good_share)])
+def test_scores_equal_plain_loops(spark, module, plain):
+    texts, labels = _mixed_texts()
+    model = module.train(pa.array(texts), labels)
+    got = {r["doc_id"]: r for r in module.score(frame(spark, list(enumerate(texts))), model).collect()}
+    assert len(got) == len(texts) and len({round(r["score"], 6) for r in got.values()}) > 20
+    for k, text in enumerate(texts):
+        assert got[k]["score"] == pytest.approx(plain(model, text), abs=1e-6)
+    for k in range(10):
+        assert got[k]["score"] == got[120 + k]["score"]  # repeated rows
