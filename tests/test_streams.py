@@ -78,7 +78,7 @@ def _points(spark, n, frames, seed):
 
 
 def test_a_batch_rewrites_only_its_tiles_and_can_be_repeated(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(st, "TILE", 8)
+    monkeypatch.setattr(st, "TILE", 4)
     folder, cell = str(tmp_path / "world"), 0.25
     corner = "x > 0.3 AND y > 0.3 AND z > 0.3 AND flight_id = 1"
     batches = [_points(spark, 150, range(10), 1), *[_points(spark, 150, range(10 * k, 10 * k + 10), k).filter(corner) for k in (2, 3)]]
