@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from flightspark.functions import camera as C
 from flightspark.functions import rotation as R
+from flightspark.operators import celltree
 from flightspark.operators.scale import attach, exact_quantiles, strided
 from flightspark.session import checkpointed
 
 FLIGHT = "flight_id"
 XYZ = ("x", "y", "z")
 T = ("tx", "ty", "tz")
+#: Surfels above which a cell is split before views meet them.
+LEAF = 256
 
 
 def _decode(by: str, size: int):
@@ -54,39 +57,29 @@ def luma() -> Column:
 
 
 def view_pairs(surfels: DataFrame, poses: DataFrame, by: str = FLIGHT) -> DataFrame:
-    """Surfel-view pairs that can see each other: the box of each view's frustum, cut to the flight's extent, is covered
-    by a few cells of fitting size, and surfels meet views in those cells.
+    """Surfel-view pairs that can see each other: views come down a tree of the surfels' cells and open only cells whose box
+    reaches into their frustum.
 
     `poses` carries fx, fy, cx, cy, width, height. Returns the surfel columns with the pose columns, a superset of the
-    pairs inside the image.
+    pairs inside the image. Surfels without finite coordinates are left out.
     """
-    box = surfels.groupBy(by).agg(*[f(c).alias(f"{n}_{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))])
-    p = attach(poses, box, by, "inner")
-    far = R.norm([F.greatest(F.abs(F.col("t" + c) - F.col("lo_" + c)), F.abs(F.col("t" + c) - F.col("hi_" + c))) for c in XYZ])
-    p = p.withColumn("_far", far)
-    corners = [((F.lit(0.0) if i == 0 else F.col("width")), (F.lit(0.0) if j == 0 else F.col("height"))) for i in (0, 1) for j in (0, 1)]
-    ends = [C.unproject(u, v, F.col("_far"), *[F.col(k) for k in ("fx", "fy", "cx", "cy")]) for u, v in corners]
-    world = [C.camera_to_world(e, R.r_cols(), [F.col(t) for t in T]) for e in ends]
-    p = p.withColumns({f"_w{k}{c}": w[i] for k, w in enumerate(world) for i, c in enumerate(XYZ)})
-    bounds = {}
-    for c in XYZ:
-        # A little slack keeps rounding from cutting off a border surfel.
-        pad = F.col("_far") * 0.01 + 1e-6
-        ends_c = [F.col(f"_w{k}{c}") for k in range(4)]
-        bounds["_a" + c] = F.greatest(F.col("lo_" + c), F.least(F.col("t" + c), *ends_c) - pad)
-        bounds["_b" + c] = F.least(F.col("hi_" + c), F.greatest(F.col("t" + c), *ends_c) + pad)
-    p = p.withColumns(bounds).filter((F.col("_ax") <= F.col("_bx")) & (F.col("_ay") <= F.col("_by")) & (F.col("_az") <= F.col("_bz")))
-    extent = F.greatest(*[F.col("_b" + c) - F.col("_a" + c) for c in XYZ], F.lit(1e-3))
-    p = p.withColumn("_level", F.ceil(F.log2(extent / 4.0)).cast("int"))
-    p = p.withColumn("_size", F.pow(F.lit(2.0), F.col("_level")))
-    p = p.drop("_far", *[f"{n}_{c}" for n in ("lo", "hi") for c in XYZ], *[f"_w{k}{c}" for k in range(4) for c in XYZ])
-    p = checkpointed(p)
-    levels = p.select(by, "_level", "_size").distinct()
-    for c in XYZ:
-        p = p.withColumn("_c" + c, F.explode(F.sequence(F.floor(F.col("_a" + c) / F.col("_size")), F.floor(F.col("_b" + c) / F.col("_size")))))
-    p = p.drop("_size", *["_a" + c for c in XYZ], *["_b" + c for c in XYZ])
-    s = attach(surfels, levels, by, "inner").withColumns({"_c" + c: F.floor(F.col(c) / F.col("_size")) for c in XYZ}).drop("_size")
-    return s.join(p, [by, "_level", "_cx", "_cy", "_cz"]).drop("_level", "_cx", "_cy", "_cz")
+    s = checkpointed(surfels)
+    box = s.filter(celltree.finite()).groupBy(by).agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ])
+    widest = box.agg(F.max(F.greatest(*XYZ))).first()[0] or 1.0
+    tree = celltree.build(s, by, widest / 1024.0, LEAF, shallow=True)
+    fx, fy, px, py = [F.col(k) for k in ("fx", "fy", "cx", "cy")]
+    zero = F.lit(0.0)
+    sides = [(zero, zero, F.lit(1.0)), (fx, zero, px), (-fx, zero, F.col("width") - px), (zero, fy, py), (zero, -fy, F.col("height") - py)]
+    inside = F.lit(True)
+    for m in sides:
+        # Farthest that the box reaches to the inner side of a plane; some slack keeps rounding from cutting off a border surfel.
+        ends = [[g * (F.col(f"_{n}_{c}") - F.col("t" + c)) for n in ("lo", "hi")] for g, c in zip(R.apply(R.r_cols(), m), XYZ)]
+        reach = sum((F.greatest(*e) for e in ends[1:]), F.greatest(*ends[0]))
+        size = sum((F.greatest(*[F.abs(x) for x in e]) for e in ends[1:]), F.greatest(*[F.abs(x) for x in ends[0]]))
+        inside = inside & (reach >= size * -1e-9)
+    views = poses.drop(*[c for c in poses.columns if c in surfels.columns and c != by])
+    cells = tree.leaves(views.join(tree.level(tree.top), by), tree.top, lambda d: d.filter(inside)).drop("_leaf", *celltree.BOX)
+    return tree.points.join(cells, [by, "_level", *celltree.KEY]).drop("_level", *celltree.KEY)
 
 
 def candidate_views(surfels: DataFrame, poses: DataFrame, min_z: float = 0.1, max_angle_deg: float = 65.0, by: str = FLIGHT) -> DataFrame:

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightspark.functions import rotation as R
+from flightspark.operators import celltree
 from flightspark.operators.scale import attach, neighbour_offsets, range_chunks, with_rank
 from flightspark.session import checkpointed
 
 FLIGHT = "flight_id"
 XYZ = ("x", "y", "z")
 CELL = ("cx", "cy", "cz")
+#: Distinct target positions above which a cell is split.
+LEAF = 64
 
 
 def voxel_key(df: DataFrame, size: float, names: tuple[str, str, str] = ("gx", "gy", "gz")) -> DataFrame:
@@ -47,34 +50,42 @@ def radius_join(queries: DataFrame, elements: DataFrame, radius: float, query_id
 
 
 def nearest_neighbor(queries: DataFrame, targets: DataFrame, query_id: str, target_id: str, first_radius: float,
-                     max_radius: float | None = None, growth: float = 3.0, by: str = FLIGHT) -> DataFrame:
+                     max_radius: float | None = None, by: str = FLIGHT) -> DataFrame:
     """Nearest target of every query (by, query_id, target_id, distance), ties to the smallest id.
 
-    Looks in cells of the first radius, then only for the unmatched queries in growing cells; a hit within the radius is
-    final. Targets at one position are merged first, so copies never multiply the pairs.
+    Looks in cells around the query for targets within the first radius. Queries without one come down the tree of cells from
+    its top; a cell is opened only if its box is not farther than some target of the query must be. Targets at one position
+    are merged first, and crowded cells are split, so neither copies nor crowds multiply the pairs. Rows without finite
+    coordinates have and are no neighbours.
     """
-    t = checkpointed(targets.groupBy(by, *[F.col(c).alias("t_" + c) for c in XYZ]).agg(F.min(target_id).alias(target_id)))
-    box = t.groupBy(by).agg(*[f(f"t_{c}").alias(f"{n}_{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))])
-    d = attach(queries.select(by, query_id, *XYZ), box, by, "inner")
-    far = R.norm([F.greatest(F.abs(F.col(c) - F.col("lo_" + c)), F.abs(F.col(c) - F.col("hi_" + c))) for c in XYZ])
-    pending = checkpointed(d.select(by, query_id, *XYZ, far.alias("_far")))
-    radius, done = first_radius, None
-    while True:
-        q = neighbours(voxel_key(pending, radius, CELL))
-        cells = t.withColumns({k: F.floor(F.col("t_" + c) / radius) for c, k in zip(XYZ, CELL)})
-        j = q.join(cells, [by, *CELL]).withColumn("distance", _distance("t_")).filter(F.col("distance") <= radius)
-        best = j.groupBy(by, query_id).agg(F.min(F.struct("distance", target_id)).alias("_b"))
-        hit = checkpointed(best.select(by, query_id, f"_b.{target_id}", "_b.distance"))
-        done = hit if done is None else done.unionByName(hit)
-        if max_radius is not None and radius >= max_radius:
-            break
-        pending = checkpointed(pending.join(hit, [by, query_id], "left_anti").filter(F.col("_far") > radius))
-        if pending.limit(1).count() == 0:
-            break
-        radius = radius * growth if max_radius is None else min(radius * growth, max_radius)
+    limit = float("inf") if max_radius is None else max(first_radius, max_radius)
+    merged = targets.groupBy(by, *XYZ).agg(F.min(target_id).alias(target_id))
+    tree = celltree.build(merged, by, first_radius, LEAF, upper=limit > first_radius)
+    q = checkpointed(queries.select(by, query_id, *XYZ).filter(celltree.finite()))
+    around = neighbours(voxel_key(q, first_radius, CELL)).withColumnsRenamed(dict(zip(CELL, celltree.KEY)))
+    done = _settled(around.join(tree.level(0), [by, *celltree.KEY]), tree, 0, first_radius, query_id, target_id)
+    if limit > first_radius:
+        far = q.join(done, [by, query_id], "left_anti").join(tree.level(tree.top), by)
+        done = done.unionByName(_settled(far, tree, tree.top, limit, query_id, target_id))
     return done
 
 
+def _settled(found: DataFrame, tree: celltree.CellTree, level: int, limit: float, query_id: str, target_id: str) -> DataFrame:
+    """Nearest targets within the limit among the cells found at a level. Bounds are rounded as distances are, so ties stay."""
+    near = R.norm([F.greatest(F.col("_lo_" + c) - F.col(c), F.col(c) - F.col("_hi_" + c), F.lit(0.0)) for c in XYZ])
+    far = R.norm([F.greatest(F.abs(F.col(c) - F.col("_lo_" + c)), F.abs(F.col(c) - F.col("_hi_" + c))) for c in XYZ])
+    one = Window.partitionBy(tree.by, query_id)
+
+    def keep(d: DataFrame) -> DataFrame:
+        return d.withColumn("_most", F.least("_most", F.min(far).over(one))).filter(near <= F.col("_most"))
+
+    cells = tree.leaves(found.withColumn("_most", F.lit(limit)), level, keep).select(tree.by, query_id, *XYZ, "_level", *celltree.KEY)
+    t = tree.points.withColumnsRenamed({c: "t_" + c for c in XYZ})
+    j = cells.join(t, [tree.by, "_level", *celltree.KEY]).withColumn("distance", _distance("t_")).filter(F.col("distance") <= limit)
+    best = j.groupBy(tree.by, query_id).agg(F.min(F.struct("distance", target_id)).alias("_b"))
+    return checkpointed(best.select(tree.by, query_id, f"_b.{target_id}", "_b.distance"))
+
+
 def voxel_subsample(points: DataFrame, size: float, row_id: str, by: str = FLIGHT) -> DataFrame:
     """The first row of every voxel."""
     rest = [c for c in points.columns if c != by]
