@@ -13,8 +13,11 @@ piece table, the edges are grouped by unit, and the best path is folded with the
 Characters without a piece fall back to their bytes, or to the unknown piece if the model has no bytes.
 
 The most frequent units, a fixed number of bounded length, are broadcast to the tasks that assemble documents; the encodings of all
-other units reach their documents by a join. Texts are shuffled once, compressed. Nothing is dropped, whatever the vocabulary;
-a unit of more than 4,194,304 characters without a cut raises an error under a byte-pair model.
+other units reach their documents by a join. Texts are shuffled once, compressed. Nothing is dropped, whatever the vocabulary.
+
+Folding edges takes time with the square of a unit. Under a byte-pair model, units of more than 2,048 characters without a cut are
+therefore merged from a queue, in the same order, in chunks that overlap. Pieces form the encoding of a unit just if each
+two neighbours form the encoding of their own text; so chunks that have one piece in common are joined there, without loss.
 
 Defined results: null and empty texts have no piece; a null doc_id is a document like any other; repeated rows give repeated
 results; other columns are left out by `encode`. Decoding gives the text back byte for byte, but for space marks that stood in the
@@ -24,6 +27,7 @@ text itself, which the format cannot tell from spaces.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -216,8 +220,8 @@ _S, _E, _ID = "(shiftright(x, 23) & 4194303L)", "((shiftright(x, 23) & 4194303L)
 _MARKS = "shiftleft(1L, 62)"
 
 
-#: Characters of a unit whose starts fit into an edge; longer units are refused, not encoded wrongly.
-LONGEST_UNIT = 1 << 22
+#: Characters above which a unit is merged from a queue, and of the chunks and overlaps it is then taken in.
+LONG_UNIT, CHUNK, OVERLAP = 2048, 1 << 18, 256
 
 
 def _substrings(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -249,8 +253,6 @@ def _viterbi(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def _merged(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(uid, path) by merges: the symbol bounds of a unit are folded over its edges in order."""
-    refused = F.raise_error(F.lit(f"a unit has more than {LONGEST_UNIT} characters"))
-    words = words.select("uid", F.when(F.char_length("unit") <= LONGEST_UNIT, F.col("unit")).otherwise(refused).alias("unit"))
     marks = F.col("piece").rlike(f"^{chr(SPACE_MARK)}{{2,}}$").cast("long")
     put = lambda c, bits: F.shiftleft(F.col(c).cast("long"), bits)
     many = F.shiftleft(marks, 62) + put("rank", 45) + put("s", 23) + put("l", 18) + F.col("id").cast("long")
@@ -290,9 +292,85 @@ def _merged(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return folded.select("uid", F.expr(f"IF({small}, {near}, {far})").alias("path"))
 
 
+def queue_merge(text: str, order: dict[str, int], longest: int) -> list[int]:
+    """Bounds of the symbols of a text: the pair of least order, the leftmost of equals, is merged until no pair is a piece."""
+    n = len(text)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    queue = [(order[text[i: i + 2]] << 40) + i for i in range(n - 1) if text[i: i + 2] in order]
+    heapq.heapify(queue)
+    while queue:
+        first = heapq.heappop(queue)
+        i = first & ((1 << 40) - 1)
+        e = end[i]
+        if not e or e >= n or order.get(text[i: end[e]]) != first >> 40:
+            continue  # one of the two has been merged since
+        end[i], end[e] = end[e], 0
+        e = end[i]
+        if e < n:
+            before[e] = i
+        for a, b in ((before[i], e), (i, end[e] if e < n else 0)):
+            if a >= 0 and b - a <= longest and (rank := order.get(text[a:b])) is not None:
+                heapq.heappush(queue, (rank << 40) + a)
+    bounds, i = [0], 0
+    while i < n:
+        i = end[i]
+        bounds.append(i)
+    return bounds
+
+
+def long_bounds(text: str, order: dict[str, int], longest: int, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """`queue_merge` in chunks. Each begins at a bound of the one before, `overlap` pieces from its end, and is joined to it
+    behind the first piece that both have. Should there be none, the text is merged as a whole."""
+    bounds, stop = queue_merge(text[:chunk], order, longest), chunk
+    while stop < len(text):
+        tail = bounds[-1 - overlap:]
+        at, stop = tail[0], tail[0] + chunk
+        own = [at + x for x in queue_merge(text[at:stop], order, longest)]
+        share = set(zip(tail, tail[1:]))
+        join = next((b for a, b in zip(own, own[1:]) if (a, b) in share), None)
+        if join is None:
+            return queue_merge(text, order, longest)
+        del bounds[len(bounds) - len(tail) + tail.index(join) + 1:]
+        bounds += [x for x in own if x > join]
+    return bounds
+
+
+def _queued(vocabulary: Vocabulary):
+    """mapInArrow body: (uid, unit) to (uid, ids), for long units."""
+    ranks = {s: k for k, s in enumerate(sorted({s for _, _, s in vocabulary.pieces}, reverse=True))}
+    mark = chr(SPACE_MARK)
+    order = {p: ranks[s] + (0 if p.strip(mark) else len(ranks)) for p, _, s in vocabulary.pieces if len(p) > 1}
+    known, longest = {p: i for p, i, _ in vocabulary.pieces}, vocabulary.longest()
+    byte_ids, unknown = vocabulary.byte_ids, vocabulary.unknown
+
+    def spell(piece: str) -> list[int]:
+        if (one := known.get(piece)) is not None:
+            return [one]
+        return [byte_ids[b] for b in piece.encode()] if byte_ids else [unknown]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, unit in zip(batch.column("uid"), batch.column("unit")):
+                text = unit.as_py()
+                bounds = long_bounds(text, order, longest)
+                ids = np.fromiter((i for a, b in zip(bounds, bounds[1:]) for i in spell(text[a:b])), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([uid.as_py()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))],
+                                                 names=["uid", "ids"])
+
+    return run
+
+
 def encode_units(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(uid, ids) for a table (uid, unit, ...) of different units."""
-    paths = (_merged if vocabulary.merges else _viterbi)(words, vocabulary)
+    if not vocabulary.merges:
+        return _spelled(_viterbi(words, vocabulary), vocabulary)
+    size = F.char_length("unit")
+    folded = _spelled(_merged(words.filter(size <= LONG_UNIT), vocabulary), vocabulary)
+    return folded.unionByName(words.filter(size > LONG_UNIT).select("uid", "unit").mapInArrow(_queued(vocabulary), "uid long, ids array<int>"))
+
+
+def _spelled(paths: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Paths as ids, with bytes for characters without a piece."""
     if vocabulary.byte_ids is None:
         return paths.select("uid", F.transform("path", lambda x: F.when(x["id"] < 0, F.lit(vocabulary.unknown)).otherwise(x["id"])).alias("ids"))
     table = F.array(*[F.lit(i) for i in vocabulary.byte_ids])

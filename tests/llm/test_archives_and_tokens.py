@@ -134,11 +134,38 @@ def test_pieces_equal_the_library(spark, hot):
     assert sentencepieces.encode(docs.limit(0)).count() == 0
 
 
-def test_units_whose_starts_do_not_fit_are_refused(spark):
-    vocabulary = sentencepieces.Vocabulary.load()
-    words = spark.range(1).selectExpr("id AS uid", f"repeat('=', {(1 << 22) + 1}) AS unit")
-    with pytest.raises(Exception, match="a unit has more than 4194304 characters"):
-        sentencepieces.encode_units(words, vocabulary).count()
+def test_long_units_equal_the_library(spark):
+    """Runs of one sign, periods, random signs and letters, a sign without a piece; the longest in one task of seconds."""
+    rng = random.Random(4)
+    texts = ["=" * 5_000, "x" + "=" * 300_001, "-=" * 40_000 + "=", "".join(rng.choice("=-_.#*") for _ in range(30_000)), "a" * 9_999,
+             "".join(rng.choice("abcdeinorst") for _ in range(600_000)), "=" * 2_500 + "\U0001F9EC" * 3 + "=" * 4_001, "=" * ((1 << 22) + 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    for r in sentencepieces.encode(docs).collect():
+        assert r["ids"] == model.encode(texts[r["doc_id"]]), r["doc_id"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_chunks_join_without_loss(seed):
+    """Random vocabularies with pieces of equal score, and chunks so small that many are joined."""
+    rng = random.Random(seed)
+    pieces = {"ab", "ba", "aa"}
+    while len(pieces) < 14:
+        pieces.add(rng.choice(sorted(pieces) + ["a", "b", "c"]) + rng.choice(sorted(pieces) + ["a", "b", "c"]))
+    order = {p: len(p) * 2 + rng.randrange(2) for p in pieces}
+    longest = max(map(len, pieces))
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "b", "c", "ab", "aab"]) for _ in range(rng.randrange(300)))
+        sizes = list(text)
+        while True:
+            open_ = [(order[a + b], i) for i, (a, b) in enumerate(zip(sizes, sizes[1:])) if a + b in order]
+            if not open_:
+                break
+            i = min(open_)[1]
+            sizes[i: i + 2] = [sizes[i] + sizes[i + 1]]
+        want = [sum(map(len, sizes[:k])) for k in range(len(sizes) + 1)]
+        assert sentencepieces.queue_merge(text, order, longest) == want
+        assert sentencepieces.long_bounds(text, order, longest, chunk=8 * longest, overlap=6) == want
 
 
 def test_viterbi_finds_the_best_sum(spark):
