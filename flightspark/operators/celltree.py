@@ -34,6 +34,8 @@ class CellTree:
     points: DataFrame
     top: int
     bottom: int
+    #: Highest level with leaves.
+    first_leaf: int
     by: str
 
     def level(self, level: int) -> DataFrame:
@@ -50,8 +52,9 @@ class CellTree:
         """Opens cells from `level` down, keeping those that `keep` returns, and gives the leaves that are left."""
         parts, found = [], keep(found)
         while level > self.bottom:
-            found = checkpointed(found)
-            parts.append(found.filter("_leaf"))
+            if level <= self.first_leaf:
+                found = checkpointed(found)
+                parts.append(found.filter("_leaf"))
             found = keep(self.opened(found, level))
             level -= 1
         return reduce(DataFrame.unionByName, [*parts, found.filter("_leaf")])
@@ -106,4 +109,4 @@ def build(points: DataFrame, by: str, size: float, leaf: int, upper: bool = True
     parts.append(held)
     small = ~full | (F.col("_level") == DEEPEST)
     known = reduce(DataFrame.unionByName, nodes).withColumn("_leaf", small if shallow else small & (F.col("_level") <= 0)).drop("_n")
-    return CellTree(known, reduce(DataFrame.unionByName, parts), top, level, by)
+    return CellTree(known, reduce(DataFrame.unionByName, parts), top, level, top if shallow else 0, by)

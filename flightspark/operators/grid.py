@@ -63,15 +63,35 @@ def nearest_neighbor(queries: DataFrame, targets: DataFrame, query_id: str, targ
     tree = celltree.build(merged, by, first_radius, LEAF, upper=limit > first_radius)
     q = checkpointed(queries.select(by, query_id, *XYZ).filter(celltree.finite()))
     around = neighbours(voxel_key(q, first_radius, CELL)).withColumnsRenamed(dict(zip(CELL, celltree.KEY)))
-    done = _settled(around.join(tree.level(0), [by, *celltree.KEY]), tree, 0, first_radius, query_id, target_id)
+    # Cells around that are leaves hold few targets and are compared at once; crowded ones are opened.
+    meets = _distances(around.withColumn("_level", F.lit(0)), tree, first_radius, query_id, target_id)
+    if tree.bottom < 0:
+        crowds = around.join(tree.level(0).filter("NOT _leaf"), [by, *celltree.KEY])
+        meets = meets.unionByName(_settled(crowds, tree, 0, first_radius, query_id, target_id))
+    done = _nearest(meets, tree, query_id, target_id)
     if limit > first_radius:
-        far = q.join(done, [by, query_id], "left_anti").join(tree.level(tree.top), by)
-        done = done.unionByName(_settled(far, tree, tree.top, limit, query_id, target_id))
+        rest = checkpointed(q.join(done, [by, query_id], "left_anti"))
+        if rest.limit(1).count():
+            far = _settled(rest.join(tree.level(tree.top), by), tree, tree.top, limit, query_id, target_id)
+            done = done.unionByName(_nearest(far, tree, query_id, target_id))
     return done
 
 
+def _distances(cells: DataFrame, tree: celltree.CellTree, limit: float, query_id: str, target_id: str) -> DataFrame:
+    """Targets within the limit in the leaves that stand beside the queries."""
+    t = tree.points.withColumnsRenamed({c: "t_" + c for c in XYZ})
+    j = cells.join(t, [tree.by, "_level", *celltree.KEY]).withColumn("distance", _distance("t_")).filter(F.col("distance") <= limit)
+    return j.select(tree.by, query_id, target_id, "distance")
+
+
+def _nearest(meets: DataFrame, tree: celltree.CellTree, query_id: str, target_id: str) -> DataFrame:
+    best = meets.groupBy(tree.by, query_id).agg(F.min(F.struct("distance", target_id)).alias("_b"))
+    return checkpointed(best.select(tree.by, query_id, f"_b.{target_id}", "_b.distance"))
+
+
 def _settled(found: DataFrame, tree: celltree.CellTree, level: int, limit: float, query_id: str, target_id: str) -> DataFrame:
-    """Nearest targets within the limit among the cells found at a level. Bounds are rounded as distances are, so ties stay."""
+    """Targets within the limit that may be nearest, from the cells found at a level. Bounds are rounded as distances are, so
+    ties stay."""
     near = R.norm([F.greatest(F.col("_lo_" + c) - F.col(c), F.col(c) - F.col("_hi_" + c), F.lit(0.0)) for c in XYZ])
     far = R.norm([F.greatest(F.abs(F.col(c) - F.col("_lo_" + c)), F.abs(F.col(c) - F.col("_hi_" + c))) for c in XYZ])
     one = Window.partitionBy(tree.by, query_id)
@@ -80,10 +100,7 @@ def _settled(found: DataFrame, tree: celltree.CellTree, level: int, limit: float
         return d.withColumn("_most", F.least("_most", F.min(far).over(one))).filter(near <= F.col("_most"))
 
     cells = tree.leaves(found.withColumn("_most", F.lit(limit)), level, keep).select(tree.by, query_id, *XYZ, "_level", *celltree.KEY)
-    t = tree.points.withColumnsRenamed({c: "t_" + c for c in XYZ})
-    j = cells.join(t, [tree.by, "_level", *celltree.KEY]).withColumn("distance", _distance("t_")).filter(F.col("distance") <= limit)
-    best = j.groupBy(tree.by, query_id).agg(F.min(F.struct("distance", target_id)).alias("_b"))
-    return checkpointed(best.select(tree.by, query_id, f"_b.{target_id}", "_b.distance"))
+    return _distances(cells, tree, limit, query_id, target_id)
 
 
 def voxel_subsample(points: DataFrame, size: float, row_id: str, by: str = FLIGHT) -> DataFrame:
