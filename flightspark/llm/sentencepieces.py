@@ -365,8 +365,10 @@ def encode_units(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     if not vocabulary.merges:
         return _spelled(_viterbi(words, vocabulary), vocabulary)
     size = F.char_length("unit")
-    folded = _spelled(_merged(words.filter(size <= LONG_UNIT), vocabulary), vocabulary)
-    return folded.unionByName(words.filter(size > LONG_UNIT).select("uid", "unit").mapInArrow(_queued(vocabulary), "uid long, ids array<int>"))
+    # Few bytes but much work a unit: dealt out by number, not by size; the lattice then needs no shuffle of its own.
+    short = words.filter(size <= LONG_UNIT).repartition(4 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid")
+    folded = _spelled(_merged(short, vocabulary), vocabulary)
+    return folded.unionByName(words.filter(size > LONG_UNIT).select("uid", "unit").repartition("uid").mapInArrow(_queued(vocabulary), "uid long, ids array<int>"))
 
 
 def _spelled(paths: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -514,9 +516,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, hot_units: int
     vocabulary = vocabulary or Vocabulary.load()
     spark = docs.sparkSession
     words = checkpointed(units(docs, vocabulary))
-    # Few bytes but much work a unit: dealt out by number, not by size; the lattice then needs no shuffle of its own.
-    dealt = words.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "uid")
-    codes = checkpointed(encode_units(dealt, vocabulary))
+    codes = checkpointed(encode_units(words, vocabulary))
     # The most frequent units, so many a bucket; buckets are even since they go by hash.
     buckets = 64
     order = Window.partitionBy(F.pmod("uid", F.lit(buckets))).orderBy(F.desc("n"), "uid")
