@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from flightspark.functions import rotation as R
 from flightspark.operators import celltree
-from flightspark.operators.scale import attach, neighbour_offsets, range_chunks, with_rank
+from flightspark.operators.scale import attach, neighbour_offsets, range_chunks, reached_cells, shuffled, with_rank
 from flightspark.session import checkpointed
 
 FLIGHT = "flight_id"
 XYZ = ("x", "y", "z")
 CELL = ("cx", "cy", "cz")
 #: Distinct target positions above which a cell is split.
-LEAF = 64
+LEAF = 256
 
 
 def voxel_key(df: DataFrame, size: float, names: tuple[str, str, str] = ("gx", "gy", "gz")) -> DataFrame:
@@ -37,12 +37,12 @@ def radius_join(queries: DataFrame, elements: DataFrame, radius: float, query_id
                 max_angle_deg: float | None = None, by: str = FLIGHT) -> DataFrame:
     """Pairs of queries and non-rejected elements within the radius (and normal cone), with their distance.
 
-    Queries are copied to the cells they can reach; elements stay where they are.
+    Queries are copied to the cells they can reach, about eight of twice the radius; elements stay where they are.
     """
     normals = ("nx", "ny", "nz") if max_angle_deg is not None else ()
-    q = neighbours(voxel_key(queries.select(by, query_id, *XYZ, *normals), radius, CELL))
+    q = shuffled(reached_cells(queries.select(by, query_id, *XYZ, *normals), radius, XYZ, CELL))
     live = elements.filter(F.col("state") != "REJECTED") if "state" in elements.columns else elements
-    e = voxel_key(live, radius, CELL).select(by, *CELL, F.col(element_id).alias("e_id"), *[F.col(c).alias("e_" + c) for c in XYZ + normals])
+    e = voxel_key(live, 2 * radius, CELL).select(by, *CELL, F.col(element_id).alias("e_id"), *[F.col(c).alias("e_" + c) for c in XYZ + normals])
     j = q.join(e, [by, *CELL]).withColumn("distance", _distance("e_")).filter(F.col("distance") <= radius)
     if normals:
         j = j.filter(R.dot([F.col(c) for c in normals], [F.col("e_" + c) for c in normals]) >= math.cos(math.radians(max_angle_deg)))
@@ -53,16 +53,16 @@ def nearest_neighbor(queries: DataFrame, targets: DataFrame, query_id: str, targ
                      max_radius: float | None = None, by: str = FLIGHT) -> DataFrame:
     """Nearest target of every query (by, query_id, target_id, distance), ties to the smallest id.
 
-    Looks in cells around the query for targets within the first radius. Queries without one come down the tree of cells from
+    Looks in the cells the first radius reaches for targets within it. Queries without one come down the tree of cells from
     its top; a cell is opened only if its box is not farther than some target of the query must be. Targets at one position
     are merged first, and crowded cells are split, so neither copies nor crowds multiply the pairs. Rows without finite
     coordinates have and are no neighbours.
     """
     limit = float("inf") if max_radius is None else max(first_radius, max_radius)
     merged = targets.groupBy(by, *XYZ).agg(F.min(target_id).alias(target_id))
-    tree = celltree.build(merged, by, first_radius, LEAF, upper=limit > first_radius)
+    tree = celltree.build(merged, by, 2 * first_radius, LEAF, upper=limit > first_radius)
     q = checkpointed(queries.select(by, query_id, *XYZ).filter(celltree.finite()))
-    around = neighbours(voxel_key(q, first_radius, CELL)).withColumnsRenamed(dict(zip(CELL, celltree.KEY)))
+    around = shuffled(reached_cells(q, first_radius, XYZ, celltree.KEY))
     # Cells around that are leaves hold few targets and are compared at once; crowded ones are opened.
     meets = _distances(around.withColumn("_level", F.lit(0)), tree, first_radius, query_id, target_id)
     if tree.bottom < 0:
@@ -70,7 +70,7 @@ def nearest_neighbor(queries: DataFrame, targets: DataFrame, query_id: str, targ
         meets = meets.unionByName(_settled(crowds, tree, 0, first_radius, query_id, target_id))
     done = _nearest(meets, tree, query_id, target_id)
     if limit > first_radius:
-        rest = checkpointed(q.join(done, [by, query_id], "left_anti"))
+        rest = checkpointed(shuffled(q).join(done, [by, query_id], "left_anti"))
         if rest.limit(1).count():
             far = _settled(rest.join(tree.level(tree.top), by), tree, tree.top, limit, query_id, target_id)
             done = done.unionByName(_nearest(far, tree, query_id, target_id))
@@ -80,7 +80,7 @@ def nearest_neighbor(queries: DataFrame, targets: DataFrame, query_id: str, targ
 def _distances(cells: DataFrame, tree: celltree.CellTree, limit: float, query_id: str, target_id: str) -> DataFrame:
     """Targets within the limit in the leaves that stand beside the queries."""
     t = tree.points.withColumnsRenamed({c: "t_" + c for c in XYZ})
-    j = cells.join(t, [tree.by, "_level", *celltree.KEY]).withColumn("distance", _distance("t_")).filter(F.col("distance") <= limit)
+    j = shuffled(cells).join(t, [tree.by, "_level", *celltree.KEY]).withColumn("distance", _distance("t_")).filter(F.col("distance") <= limit)
     return j.select(tree.by, query_id, target_id, "distance")
 
 

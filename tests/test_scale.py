@@ -54,3 +54,21 @@ def test_components_hub_chain_and_cycle(spark):
     got = {(r.g, r.node): r.component for r in scale.connected_components(spark.createDataFrame(edges, "g long, a long, b long"), ["g"], "a", "b").collect()}
     assert all(got[(0, i)] == 0 for i in range(60)) and all(got[(0, i)] == 100 for i in range(100, 141))
     assert got[(0, 203)] == 201 and got[(1, 5)] == 5 and got[(1, 8)] == 7
+
+
+def _places(spark, rows, key):
+    return spark.createDataFrame([(1, i, *p) for i, p in enumerate(rows)], f"flight_id long, {key} long, x double, y double, z double")
+
+
+def test_radius_join_finds_places_on_cell_borders_without_a_broadcast(spark):
+    from flightspark.operators.grid import nearest_neighbor, radius_join
+
+    at = [(0.12 * i, 0.24 * j, 0.0) for i in range(-4, 5) for j in range(-2, 3)] + [(1e7 + 0.12 * i, 0.0, -0.12) for i in range(4)]
+    q, t = _places(spark, at, "q_id"), _places(spark, at, "element_id")
+    out = radius_join(q, t, 0.24, "q_id")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    gap = lambda p, s: sum((a - b) ** 2 for a, b in zip(p, s)) ** 0.5
+    want = {(i, j) for i, p in enumerate(at) for j, s in enumerate(at) if gap(p, s) <= 0.24}
+    assert {(r.q_id, r.element_id) for r in out.collect()} == want
+    near = nearest_neighbor(q, t.filter("element_id % 3 = 0"), "q_id", "element_id", 0.12).collect()
+    assert {r.q_id: round(r.distance, 9) for r in near} == {i: round(min(gap(p, s) for j, s in enumerate(at) if j % 3 == 0), 9) for i, p in enumerate(at)}
