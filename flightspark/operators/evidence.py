@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from flightspark.functions import camera as C
 from flightspark.functions import rotation as R
 from flightspark.operators import celltree
-from flightspark.operators.scale import attach, exact_quantiles, strided
+from flightspark.operators.scale import attach, exact_quantiles, shuffled, strided
 from flightspark.session import checkpointed
 
 FLIGHT = "flight_id"
@@ -49,7 +49,7 @@ def pixel_lookup(df: DataFrame, tiles: DataFrame, u: str, v: str, size: int, by:
     kind = {f.name: f.dataType.simpleString() for f in tiles.schema.fields}
     px = used.mapInArrow(_decode(by, size), f"{by} {kind[by]}, frame_id {kind['frame_id']}, _pu long, _pv long, pr int, pg int, pb int")
     d = df.withColumns({"_pu": F.col(u).cast("long"), "_pv": F.col(v).cast("long")})
-    return d.join(px, [by, "frame_id", "_pu", "_pv"]).select(*df.columns, "pr", "pg", "pb")
+    return shuffled(d).join(px, [by, "frame_id", "_pu", "_pv"]).select(*df.columns, "pr", "pg", "pb")
 
 
 def luma() -> Column:
