@@ -72,3 +72,32 @@ def test_radius_join_finds_places_on_cell_borders_without_a_broadcast(spark):
     assert {(r.q_id, r.element_id) for r in out.collect()} == want
     near = nearest_neighbor(q, t.filter("element_id % 3 = 0"), "q_id", "element_id", 0.12).collect()
     assert {r.q_id: round(r.distance, 9) for r in near} == {i: round(min(gap(p, s) for j, s in enumerate(at) if j % 3 == 0), 9) for i, p in enumerate(at)}
+
+
+def test_depth_pixels_travel_once(spark):
+    from flightspark.operators import depth as dp
+
+    rows = [(f, u, v, 4.0 + (u * 3 + v) % 5 * 0.01, (u * 5 + v * 3 + f) % 13 != 0) for f in (1, 2) for u in range(9) for v in range(7) if (u, v) != (4, 4)]
+    px = spark.createDataFrame([(1, *r) for r in rows], "flight_id long, frame_id long, u long, v long, depth double, mask boolean")
+    opened = dp.morph_open(px)
+    assert opened._jdf.queryExecution().sparkPlan().toString().count("RepartitionBy") + opened._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    on = {r[:3] for r in rows if r[4]}
+    box = lambda f, u, v: {(f, a, b) for a in range(max(0, u - 1), min(8, u + 1) + 1) for b in range(max(0, v - 1), min(6, v + 1) + 1)}
+    core = [r[:3] for r in rows if box(*r[:3]) <= on]
+    want = {p for c in core for p in box(*c)} & {r[:3] for r in rows}
+    assert {(r.frame_id, r.u, r.v) for r in opened.collect()} == want
+    cams = spark.createDataFrame([(1, f, 7.5, 7.5, 4.0, 3.0) for f in (1, 2)], "flight_id long, frame_id long, fx double, fy double, cx double, cy double")
+    normals = dp.depth_normals(px.select("flight_id", "frame_id", "u", "v", "depth"), cams)
+    assert normals._jdf.queryExecution().executedPlan().toString().count("Exchange hash") <= 2
+    assert normals.count() == len(rows)
+
+
+def test_observations_with_a_seed_in_their_cell_are_not_copied(spark, monkeypatch):
+    from flightspark.operators import world
+
+    copied, real = [], world.neighbours
+    monkeypatch.setattr(world, "neighbours", lambda d: copied.append(d.count()) or real(d))
+    obs = [(1, f, x, 0.05, 0.05, 0.0, 0.0, 1.0) for f in range(3) for x in (0.05, 0.55)] + [(1, 9, 0.09, 0.05, 0.05, 0.0, 0.0, 1.0)]
+    d = spark.createDataFrame(obs, "flight_id long, frame_id long, x double, y double, z double, nx double, ny double, nz double")
+    out = world.assign_surfels(d.selectExpr("*", "CAST(floor(x / 0.1) AS BIGINT) AS gx", "0L AS gy", "0L AS gz"), 0.1).collect()
+    assert copied == [0] and {(r.gx, r.sx) for r in out} == {(0, 0), (5, 5)}
