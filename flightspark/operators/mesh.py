@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightspark.functions import rotation as R
@@ -59,8 +59,8 @@ def face_shells(faces: DataFrame) -> DataFrame:
     """(flight_id, fid, shell): faces joined across shared edges; every edge links its faces to one of them."""
     pairs = F.array(*[F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))])
     e = faces.select(FLIGHT, "fid", F.explode(pairs).alias("_e")).select(FLIGHT, "fid", "_e.a", "_e.b")
-    head = e.groupBy(FLIGHT, "a", "b").agg(F.min("fid").alias("head"))
-    links = e.join(head, [FLIGHT, "a", "b"]).select(FLIGHT, "fid", "head")
+    head = F.min("fid").over(Window.partitionBy(FLIGHT, "a", "b"))
+    links = e.filter(F.col(FLIGHT).isNotNull() & F.col("a").isNotNull()).select(FLIGHT, "fid", head.alias("head"))
     return connected_components(links, [FLIGHT], "fid", "head").select(FLIGHT, F.col("node").alias("fid"), F.col("component").alias("shell"))
 
 

@@ -56,6 +56,40 @@ def test_components_hub_chain_and_cycle(spark):
     assert got[(0, 203)] == 201 and got[(1, 5)] == 5 and got[(1, 8)] == 7
 
 
+def _joined(edges):
+    up = {(g, n): n for g, a, b in edges for n in (a, b)}
+    for _ in up:
+        for g, a, b in edges:
+            up[g, a] = up[g, b] = min(up[g, a], up[g, b])
+    return up
+
+
+def test_components_over_many_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = [tuple(map(int, e)) for e in rng.integers((0, 0, 0), (3, 150, 150), (200, 3))] + [(5, i, i + 1) for i in range(1000, 1060)] + [(5, 5, 5)]
+    for size in (7, 60):
+        monkeypatch.setattr(scale, "PIECE", size)
+        got = {(r.g, r.node): r.component for r in scale.connected_components(spark.createDataFrame(edges, "g long, a long, b long"), ["g"], "a", "b").collect()}
+        assert got == _joined(edges)
+    named = [(g, f"n{a}", f"n{b}") for g, a, b in edges]
+    got = {(r.g, r.node): r.component for r in scale.connected_components(spark.createDataFrame(named, "g long, a string, b string"), ["g"], "a", "b").collect()}
+    assert got == _joined(named)
+
+
+def test_components_of_near_ids_need_no_stars(spark, monkeypatch):
+    monkeypatch.setattr(scale, "PIECE", 500)
+    monkeypatch.setattr(scale, "_starred", None)
+    edges = [(g, i, i + 1) for g in range(4) for i in range(800) if i % 100 != 99]
+    got = scale.connected_components(spark.createDataFrame(edges, "g long, a long, b long"), ["g"], "a", "b").collect()
+    assert len(got) == 3200 and all(r.component == r.node - r.node % 100 for r in got)
+
+
+def test_components_with_missing_ends(spark):
+    edges = [(1, 1, None), (1, None, None), (None, 3, 4), (1, 2, 1), (2, None, 9)]
+    got = scale.connected_components(spark.createDataFrame(edges, "g long, a long, b long"), ["g"], "a", "b").collect()
+    assert {tuple(r) for r in got} == {(1, 1, 1), (1, 2, 1), (1, None, None), (None, 3, 3), (None, 4, 4), (2, None, None), (2, 9, 9)} and len(got) == 7
+
+
 def _places(spark, rows, key):
     return spark.createDataFrame([(1, i, *p) for i, p in enumerate(rows)], f"flight_id long, {key} long, x double, y double, z double")
 
