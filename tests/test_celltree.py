@@ -1,12 +1,14 @@
 """Nearest neighbours and views through the tree of cells against plain numpy: crowds, far queries, copies, odd rows."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from flightspark.operators import evidence, grid
+from flightspark.plans import views
 
 rng = np.random.default_rng(5)
 CROWD = np.concatenate([rng.normal(0, 0.01, (900, 3)), rng.random((200, 3)) * 40, [[7.0, 7.0, 7.0]] * 5, [[900.0, -4.0, 0.0]]])
@@ -71,3 +73,36 @@ def test_views_equal_all_pairs(spark, monkeypatch):
         seen = (c[:, 2] > 0.1) & (u >= 0) & (u < 320) & (w >= 0) & (w < 240) & (facing >= math.cos(math.radians(65.0))) & (s["flight_id"] == v[0])
         want |= {(int(i), v[1]) for i in np.flatnonzero(seen)}
     assert len(want) > 100 and set(zip(got["element_id"], got["frame_id"])) == want and len(got) == len(want)
+
+
+def test_pairs_are_compiled(spark):
+    """A method of 8,000 bytes or more is left to the interpreter by the JVM; the condition of the pairs once took 19,302."""
+    pts = spark.createDataFrame([(0, 1, *[float(k) for k in range(9)])], "flight_id long, element_id long, x double, y double, z double, nx double, ny double, nz double, r double, g double, b double")
+    names = [*[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz", "fx", "fy", "cx", "cy"]
+    poses = spark.createDataFrame([(0, 1, *[1.0] * 16, 320, 240)], f"flight_id long, frame_id long, {', '.join(n + ' double' for n in names)}, width int, height int")
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, val in held.items():
+            spark.conf.set(k, val)
+        plan = evidence.candidate_views(pts, poses)._jdf.queryExecution()
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan, "codegen"))
+    finally:
+        for k, val in before.items():
+            spark.conf.set(k, val)
+    assert sizes and max(map(int, sizes)) < 8000
+
+
+def test_pictures_are_made_by_many_tasks(spark, tmp_path):
+    keys = [1500 * k for k in range(12)] + [None]
+    rows = [(k, 1, 7, 0.01, 20.0, 100.0, 0.02) for k in keys]
+    cols = "l_orderkey long, l_linenumber int, l_partkey long, l_discount double, l_quantity double, l_extendedprice double, l_tax double"
+    spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "lineitem.parquet"))
+    tiles = views.proxy_tiles.anew(spark, str(tmp_path))
+    assert tiles.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {(r.flight_id, r.frame_id, r.tile_u, r.tile_v): (r.w, r.h, bytes(r.rgb)) for r in tiles.collect()}
+    assert len(got) == 4 * len(keys)
+    for (_, frame, tu, tv), (w, h, rgb) in got.items():
+        at = [(tu * 16 + i % 16, tv * 16 + i // 16) for i in range(16 * h)] if frame is not None else []
+        assert (w, h) == (16, 8 if tv else 16)
+        assert rgb == bytes(b for u, v in at for b in ((frame * 7 + u * 13 + v * 5) % 256, (frame * 3 + u * 5 + v * 11) % 256, (u * v + frame) % 256))
