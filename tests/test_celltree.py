@@ -76,7 +76,7 @@ def test_views_equal_all_pairs(spark, monkeypatch):
 
 
 def test_pairs_are_compiled(spark):
-    """A method of 8,000 bytes or more is left to the interpreter by the JVM; the condition of the pairs once took 19,302."""
+    """A method of 8,000 bytes or more is left to the interpreter by the JVM; the conditions of cells and of pairs once took 19,302 and 8,106."""
     pts = spark.createDataFrame([(0, 1, *[float(k) for k in range(9)])], "flight_id long, element_id long, x double, y double, z double, nx double, ny double, nz double, r double, g double, b double")
     names = [*[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz", "fx", "fy", "cx", "cy"]
     poses = spark.createDataFrame([(0, 1, *[1.0] * 16, 320, 240)], f"flight_id long, frame_id long, {', '.join(n + ' double' for n in names)}, width int, height int")
