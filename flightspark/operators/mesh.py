@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flightspark.functions import rotation as R
 from flightspark.operators.grid import nearest_neighbor
-from flightspark.operators.scale import attach, connected_components, exact_quantiles, range_chunks, shuffled, with_rank, with_running_sum
+from flightspark.operators.scale import attach, connected_components, dealt, exact_quantiles, range_chunks, shuffled, with_rank, with_running_sum
 from flightspark.session import checkpointed
 
 FLIGHT = "flight_id"
@@ -18,11 +18,12 @@ XYZ = ("x", "y", "z")
 
 
 def face_metrics(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Faces with area, unit normal (nx, ny, nz), centroid (mx, my, mz) and longest edge."""
-    d = faces
+    """Faces with area, unit normal (nx, ny, nz), centroid (mx, my, mz) and longest edge. `faces` is counted first, so it is best a written table."""
+    d, rows = faces, faces.count()
     for k in range(3):
         corner = vertices.select(FLIGHT, F.col("vid").alias(f"v{k}"), *[F.col(c).alias(f"{c}{k}") for c in XYZ])
-        d = shuffled(d).join(corner, [FLIGHT, f"v{k}"])
+        on = [FLIGHT, f"v{k}"]
+        d = shuffled(dealt(d, rows, *on)).join(dealt(corner, rows, *on), on)
     p = [[F.col(f"{c}{k}") for c in XYZ] for k in range(3)]
     sub = lambda a, b: [x - y for x, y in zip(a, b)]
     d = d.withColumns(dict(zip(("_nx", "_ny", "_nz"), R.cross(sub(p[1], p[0]), sub(p[2], p[0])))))
@@ -144,8 +145,8 @@ def close_loops(loops: DataFrame, faces: DataFrame) -> DataFrame:
     sides = F.array(*[F.struct(F.col(p).alias("p"), F.col(q).alias("q")) for p, q in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))])
     e = faces.select(FLIGHT, F.explode(sides).alias("_e")).select(FLIGHT, "_e.p", "_e.q")
     e = e.groupBy(FLIGHT, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(
-        F.count(F.lit(1)).alias("uses"), F.min(F.struct("p", "q")).alias("_d"))
-    rim = checkpointed(e.filter("uses = 1").select(FLIGHT, "_d.p", "_d.q"))
+        F.count(F.lit(1)).alias("uses"), F.min("p").alias("p"), F.min("q").alias("q"))  # of one side, where it matters; numbers can be hashed, structs are sorted
+    rim = checkpointed(e.filter("uses = 1").select(FLIGHT, "p", "q"))
     ring = connected_components(rim, [FLIGHT], "p", "q").select(FLIGHT, F.col("node").alias("p"), F.col("component").alias("loop"))
     own = rim.join(ring.join(loops.select(FLIGHT, "loop", "vertices"), [FLIGHT, "loop"]), [FLIGHT, "p"])
     fan = own.filter("vertices > 3").select(FLIGHT, "loop", F.col("q").alias("v0"), F.col("p").alias("v1"), (F.lit(-1) - F.col("loop")).alias("v2"))

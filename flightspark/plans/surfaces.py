@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flightspark.operators import mesh as ms
 from flightspark.operators import raster as ra
+from flightspark.operators.scale import dealt
 from flightspark.plans import views as v
 from flightspark.plans.registry import cte, register
 
@@ -16,7 +17,10 @@ _QUAD = "CAST(floor(l_orderkey / 1500) AS BIGINT) AS flight_id, l_partkey % 64 A
 
 @v.derived("mesh_faces")
 def faces(spark, sf_dir):
-    q = v.table(spark, sf_dir, "lineitem").selectExpr(*_QUAD.split(", ")).distinct()
+    lines = v.table(spark, sf_dir, "lineitem")
+    # A strip of the lattice stays in one task, so what its faces share is merged before it is dealt out again.
+    strip = lines.selectExpr(*_QUAD.split(", ")).selectExpr("*", "i div 8 AS strip")
+    q = dealt(strip, lines.count(), "flight_id", "strip").distinct()
     d = q.selectExpr("*", "i * 65 + j AS a", "(i + 1) * 65 + j AS b", "(i + 1) * 65 + j + 1 AS c", "i * 65 + j + 1 AS d").withColumn("k", F.explode(F.expr("array(0L, 1L)")))
     return d.selectExpr("flight_id", "(i * 64 + j) * 2 + k AS fid", "a AS v0", "if(k = 0, b, c) AS v1", "if(k = 0, c, d) AS v2", "(i + j) % 9 = 0 AS inferred")
 
