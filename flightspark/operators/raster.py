@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightspark.functions import geodesy
-from flightspark.operators.scale import attach, exact_quantiles
+from flightspark.operators.scale import attach, dealt, exact_quantiles, shuffled
 from flightspark.session import checkpointed
 
 FLIGHT = "flight_id"
@@ -48,6 +48,22 @@ def dsm_ortho(vertices: DataFrame, grid: DataFrame) -> DataFrame:
     return d.groupBy(*CELL).agg(top.alias("_t")).select(*CELL, "_t.*")
 
 
+def _tiled(cells: DataFrame, rows: int) -> DataFrame:
+    """Cells dealt out by tiles of 64 x 64, so that copies of neighbours meet in the task that makes them and are merged there."""
+    tile = [F.floor(F.col(c) / 64) for c in ("row", "col")]
+    return dealt(cells, rows, FLIGHT, *tile, size=1 << 16)
+
+
+def _on_raster(size: int) -> Column:
+    """How many cells of the ellipse around a cell lie on the raster. A row of an ellipse is one run, so its ends tell."""
+    runs = {}
+    for dy, dx in ellipse(size):
+        runs[dy] = max(runs.get(dy, 0), dx)
+    row, col, width = F.col("row"), F.col("col"), F.col("width")
+    inside = lambda half: F.greatest(F.lit(0), F.least(width - 1, col + half) - F.greatest(F.lit(0), col - half) + 1)
+    return sum((F.when((row + dy).between(0, F.col("height") - 1), inside(half)).otherwise(0) for dy, half in runs.items()), F.lit(0))
+
+
 def _offsets(cells: DataFrame, size: int) -> DataFrame:
     """Every cell copied to the cells its ellipse covers."""
     kernel = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ellipse(size)])
@@ -63,11 +79,11 @@ def close_mask(cells: DataFrame, grid: DataFrame, size: int = 5) -> DataFrame:
     """Cells of the closed mask. Dilation marks cells near the mask; a cell stays when all cells of its ellipse that lie
     on the raster are marked (cells off the raster do not count against it)."""
     grid = checkpointed(grid.select(FLIGHT, "width", "height"))
-    grown = checkpointed(_inside(_offsets(cells.select(*CELL), size).distinct(), grid))
-    votes = _inside(_offsets(grown, size), grid).groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"))
+    cells = checkpointed(cells.select(*CELL))
+    grown = checkpointed(_inside(_offsets(_tiled(cells, cells.count()), size).distinct(), grid))
+    votes = _inside(_offsets(_tiled(grown, grown.count()), size), grid).groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"))
     d = attach(votes, grid, FLIGHT, "inner", compute_once=False)
-    on = sum((F.when((F.col("row") + dy).between(0, F.col("height") - 1) & (F.col("col") + dx).between(0, F.col("width") - 1), 1).otherwise(0) for dy, dx in ellipse(size)), F.lit(0))
-    return d.filter(F.col("_n") == on).select(*CELL)
+    return d.filter(F.col("_n") == _on_raster(size)).select(*CELL)
 
 
 def raster_fill(raster: DataFrame, grid: DataFrame, size: int = 5) -> DataFrame:
@@ -77,12 +93,15 @@ def raster_fill(raster: DataFrame, grid: DataFrame, size: int = 5) -> DataFrame:
     full = checkpointed(raster.select(*CELL, *[F.col(c).cast("double").alias(c) for c in ("z", "r", "g", "b")], F.lit(False).alias("filled")))
     ring = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
     kernel = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ring])
+    edge = full  # a hole left by a round touches nothing but what that round filled
     while True:
-        near = full.withColumn("_o", F.explode(kernel)).withColumns({"row": F.col("row") + F.col("_o.dy"), "col": F.col("col") + F.col("_o.dx")})
-        new = checkpointed(near.join(holes, CELL, "left_semi").groupBy(*CELL).agg(*[F.avg(c).alias(c) for c in ("z", "r", "g", "b")]).withColumn("filled", F.lit(True)))
+        around = holes.select(*[F.col(c).alias("_" + c) for c in CELL], F.explode(kernel).alias("_o")).selectExpr(
+            "*", f"_{FLIGHT} AS {FLIGHT}", "_row + _o.dy AS row", "_col + _o.dx AS col")
+        near = shuffled(around).join(edge, CELL).select(*[F.col("_" + c).alias(c) for c in CELL], "z", "r", "g", "b")
+        new = checkpointed(near.groupBy(*CELL).agg(*[F.avg(c).alias(c) for c in ("z", "r", "g", "b")]).withColumn("filled", F.lit(True)))
         if not new.limit(1).count():
             break
-        full = full.unionByName(new)
+        full, edge = full.unionByName(new), new
         holes = checkpointed(holes.join(new.select(*CELL), CELL, "left_anti"))
     return full
 
@@ -97,11 +116,12 @@ def dtm(raster: DataFrame, grid: DataFrame, size: int = 15, lift: float = 0.3) -
     d = attach(raster.select(*CELL, "z"), g, FLIGHT, "inner", compute_once=False)
     d = checkpointed(d.withColumn("q", F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("z") - F.col("z_min")) / span)) * 255.0)))
     # Erosion: the least step around a cell; a missing neighbour on the raster makes it zero.
-    seen = _offsets(d.select(*CELL, "q"), size).groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"), F.min("q").alias("_q"))
-    on = sum((F.when((F.col("row") + dy).between(0, F.col("height") - 1) & (F.col("col") + dx).between(0, F.col("width") - 1), 1).otherwise(0) for dy, dx in ellipse(size)), F.lit(0))
+    rows = d.count()
+    seen = _offsets(_tiled(d.select(*CELL, "q"), rows), size).groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"), F.min("q").alias("_q"))
     low = attach(seen, g, FLIGHT, "inner", compute_once=False).filter(F.col("row").between(0, F.col("height") - 1) & F.col("col").between(0, F.col("width") - 1))
-    low = low.withColumn("_e", F.when(F.col("_n") == on, F.col("_q")).otherwise(0)).filter(F.col("_e") > 0).select(*CELL, "_e")
-    back = _offsets(low, size).groupBy(*CELL).agg(F.max("_e").alias("_open"))
+    low = low.withColumn("_e", F.when(F.col("_n") == _on_raster(size), F.col("_q")).otherwise(0)).filter(F.col("_e") > 0).select(*CELL, "_e")
+    # No cell stands without its whole ellipse, so there are no more of them than of `d`, except where rasters end.
+    back = _offsets(_tiled(low, rows), size).groupBy(*CELL).agg(F.max("_e").alias("_open"))
     out = d.join(back, CELL, "left").withColumn("_open", F.coalesce("_open", F.lit(0)))
     ground = F.col("_open") / 255.0 * (F.col("z_max") - F.col("z_min")) + F.col("z_min") + lift
     return out.select(*CELL, F.least(F.col("z"), ground).alias("z"))

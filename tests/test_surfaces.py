@@ -95,3 +95,72 @@ def test_depth_range_with_landmarks_on_all_sides(spark):
         if f == 4:  # no landmark at all: no row is asked of the flight
             continue
         assert got[f, k] == (np.float64(lo), np.float64(hi)) or np.allclose(got[f, k], (lo, hi), rtol=1e-9)
+
+
+def test_tasks_of_a_mesh_follow_its_rows(spark, monkeypatch):
+    from flightspark.operators import mesh, scale
+    from flightspark.session import checkpointed
+
+    monkeypatch.setattr(scale, "ROWS", 20, raising=False)
+    corners = [(1, k, float(k % 20), float(k // 20), float(k % 3)) for k in range(220)]
+    tri = [(1, k, k, k + 1, k + 20) for k in range(199)]
+    vertices = checkpointed(spark.createDataFrame(corners, "flight_id long, vid long, x double, y double, z double"))
+    faces = checkpointed(spark.createDataFrame([(*t, False) for t in tri], "flight_id long, fid long, v0 long, v1 long, v2 long, inferred boolean"))
+    m = mesh.face_metrics(faces, vertices)
+    assert m.rdd.getNumPartitions() == 10  # the session has four
+    assert {r["fid"] for r in m.collect()} == set(range(199))
+
+
+def test_ground_of_cells_at_the_border_is_compiled_and_right(spark):
+    import random
+
+    rng = random.Random(4)
+    height, width = 21, 33
+    z = {(r, c): float(rng.randint(0, 9)) for r in range(height) for c in range(width) if rng.random() < 0.97}
+    cells = spark.createDataFrame([(1, r, c, v, 0.0, 0.0, 0.0) for (r, c), v in z.items()], "flight_id long, row long, col long, z double, r double, g double, b double")
+    grid = spark.createDataFrame([(1, width, height, 0.0, 9.0)], "flight_id long, width long, height long, z_min double, z_max double")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        got = {(r["row"], r["col"]): r["z"] for size in (5, 15) for r in raster.dtm(cells, grid, size).withColumn("row", raster.F.col("row") + 100 * size).collect()}
+        closed = {(r["row"], r["col"]) for r in raster.close_mask(cells, grid).collect()}
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    on = lambda r, c: 0 <= r < height and 0 <= c < width
+    for size in (5, 15):
+        k = raster.ellipse(size)
+        step = {p: int(min(1.0, max(0.0, v / 9)) * 255) for p, v in z.items()}
+        low = {(r, c): min(step.get((r + a, c + b), 0) for a, b in k if on(r + a, c + b)) for r in range(height) for c in range(width)}
+        for (r, c), v in z.items():
+            up = max(low[r + a, c + b] for a, b in k if on(r + a, c + b))
+            assert abs(got[r + 100 * size, c] - min(v, up / 255 * 9 + 0.3)) < 1e-9
+    grown = {(r + a, c + b) for r, c in z for a, b in raster.ellipse(5)}
+    assert closed == {(r, c) for r in range(height) for c in range(width) if all((r + a, c + b) in grown for a, b in raster.ellipse(5) if on(r + a, c + b))}
+
+
+def test_a_round_of_holes_reads_only_what_the_round_before_filled(spark, monkeypatch):
+    from pathlib import Path
+
+    read = []
+
+    def noted(df):
+        if "filled" in df.columns:
+            read.append({Path(f).parent for f in df.inputFiles()})
+        return kept(df)
+
+    kept = raster.checkpointed
+    monkeypatch.setattr(raster, "checkpointed", noted)
+    side = 12
+    filled = [(r, c) for r in range(side) for c in range(side) if r in (0, side - 1) or c in (0, 4, 8, side - 1)]
+    cells = spark.createDataFrame([(1, r, c, float(r + c), 1.0, 2.0, 3.0) for r, c in filled] + [(1, 0, 0, 6.0, 1.0, 2.0, 3.0)], "flight_id long, row long, col long, z double, r double, g double, b double")
+    grid = spark.createDataFrame([(1, side, side)], "flight_id long, width long, height long")
+    got = {(r["row"], r["col"]): r["z"] for r in raster.raster_fill(cells, grid).filter("filled").collect()}
+    have = [((r, c), float(r + c)) for r, c in filled] + [((0, 0), 6.0)]
+    holes, want = {(r["row"], r["col"]) for r in raster.close_mask(cells, grid).collect()} - set(filled), {}
+    while True:
+        new = {h: [v for p, v in have if max(abs(p[0] - h[0]), abs(p[1] - h[1])) == 1] for h in holes}
+        new = {h: sum(v) / len(v) for h, v in new.items() if v}
+        if not new:
+            break
+        have, holes, want = have + list(new.items()), holes - set(new), want | new
+    assert want.keys() == got.keys() and all(abs(got[h] - want[h]) < 1e-9 for h in want)
+    assert len(read) > 3 and all(len(folders) <= 2 for folders in read)
