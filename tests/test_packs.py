@@ -91,3 +91,44 @@ def test_a_ray_counts_a_voxel_once_and_visits_are_summed_before_they_are_sent(sp
     many = checkpointed(spark.createDataFrame(px, schema).coalesce(2))
     # Visits were sent one by one before, about 256 bytes a pixel.
     assert shuffled_bytes(spark, dp.tsdf_integrate(many, eyes(spark, 100).withColumn("tx", F.col("tx") / 100), 0.4)) < len(px) * 60
+
+
+def seen_world(spark, frames: int = 40):
+    """Surfels on a plane that all of the views look down on, the views, and their pictures of one grey level a frame."""
+    grid = [(1, i * 40 + j, 0.1 * i, 0.1 * j, 0.001 * ((i * 7 + j) % 9), 0.0, 0.0, 1.0, 90.0, 90.0, 90.0) for i in range(40) for j in range(40)]
+    s = spark.createDataFrame(grid, "flight_id long, element_id long, x double, y double, z double, nx double, ny double, nz double, r double, g double, b double")
+    poses = eyes(spark, frames).withColumns({"tx": F.col("tx") / frames + 1.5, "ty": F.col("ty") + 1.5, "tz": F.lit(4.0)})
+    tiles = spark.createDataFrame([(1, f, t, 0, 8, 12, bytes([80 + f] * 8 * 12 * 3)) for f in range(frames) for t in range(2)], "flight_id long, frame_id long, tile_u int, tile_v int, w int, h int, rgb binary")
+    return checkpointed(s), checkpointed(poses), tiles
+
+
+def test_pairs_of_surfels_and_views_are_not_sent(spark):
+    from flightspark.operators import evidence as ev
+    from flightspark.operators import texture as tx
+
+    s, poses, tiles = seen_world(spark)
+    pairs = ev.candidate_views(s, poses)
+    n = pairs.count()
+    assert n > 30_000
+    # A surfel goes to a block of views once; each of its pairs once took about forty bytes to find what hides it, and more to its pixel.
+    assert shuffled_bytes(spark, tx.visible_samples(pairs)) < 8 * n
+    support = s.select("flight_id", "element_id", F.lit(3).cast("long").alias("frame_id"))
+    assert shuffled_bytes(spark, ev.validate_views(pairs, support, tiles, 12)) < 24 * n
+
+
+def test_tests_of_views_are_those_of_their_pixels(spark):
+    from flightspark.operators import evidence as ev
+    from flightspark.operators import texture as tx
+
+    tiles = spark.createDataFrame([(1, f, 0, 0, 12, 10, bytes([50 * f] * 12 * 10 * 3)) for f in (1, 2)], "flight_id long, frame_id long, tile_u int, tile_v int, w int, h int, rgb binary")
+    cols = "flight_id long, frame_id long, element_id long, u double, v double, r double, g double, b double, width int, height int, weight double"
+    rows = [(1, 1, 7, 5.5, 4.5, 60.0, 60.0, 60.0, 12, 10, 1.0), (1, 1, 8, 5.0, 4.0, 200.0, 200.0, 200.0, 12, 10, 1.0), (1, 2, 7, 1.0, 4.0, 60.0, 60.0, 60.0, 12, 10, 1.0),
+            (1, 2, 9, 6.0, 6.0, None, 60.0, 60.0, 12, 10, 1.0), (1, 3, 7, 6.0, 6.0, 60.0, 60.0, 60.0, 12, 10, 1.0), (1, None, 7, 6.0, 6.0, 60.0, 60.0, 60.0, 12, 10, 1.0), (1, 2, 5, 6.0, 6.0, 60.0, 60.0, 60.0, 12, 10, 1.0)]
+    c = spark.createDataFrame(rows, cols)
+    support = spark.createDataFrame([(1, 5, 2), (1, 7, None)], "flight_id long, element_id long, frame_id long")
+    got = sorted((tuple(r) for r in ev.validate_views(c, support, tiles, 12).select("frame_id", "element_id", "supporting", "tested", "agrees", "error").collect()), key=str)
+    want = [(1, 7, False, True, True, 10 / 15.0), (1, 8, False, True, False, 5.25), (2, 7, False, False, False, None), (2, 9, False, True, None, 5.25),
+            (3, 7, False, False, False, None), (None, 7, False, False, False, None), (2, 5, True, False, True, None)]
+    assert got == sorted(want, key=str)
+    lit = {(r["frame_id"], r["element_id"]): (r["sr"], r["weight"]) for r in tx.bilinear_sample(c, tiles, 12).collect()}
+    assert lit == {(1, 7): (50.0, 1.0), (1, 8): (50.0, 1.0), (2, 7): (100.0, 1.0), (2, 9): (100.0, 1.0), (2, 5): (100.0, 1.0)}
