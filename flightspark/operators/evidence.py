@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,10 +60,6 @@ def pixel_lookup(df: DataFrame, tiles: DataFrame, u: str, v: str, size: int, by:
     return shuffled(d).join(px, [by, "frame_id", "_pu", "_pv"]).select(*df.columns, "pr", "pg", "pb")
 
 
-def luma() -> Column:
-    return F.floor(0.299 * F.col("pr") + 0.587 * F.col("pg") + 0.114 * F.col("pb") + 0.5)
-
-
 def view_pairs(surfels: DataFrame, poses: DataFrame, by: str = FLIGHT) -> DataFrame:
     """Surfel-view pairs that can see each other: views come down a tree of the surfels' cells and open only cells whose box
     reaches into their frustum.
@@ -306,24 +301,58 @@ def select_hr_targets(surfels: DataFrame, frames: DataFrame, limit: int | None =
     return t.join(best, [by, "element_id"])
 
 
-def _edge_strength(patches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _edge_strength(grey: np.ndarray) -> np.ndarray:
     """Largest Sobel magnitude of each 11 x 11 grey patch (border mirrored)."""
-    for pdf in patches:
-        if len(pdf) == 0:
-            yield pd.DataFrame({"flight_id": [], "element_id": [], "edge": []})
-            continue
-        g = np.stack(pdf["patch"].to_numpy()).astype(float).reshape(-1, 11, 11)
-        p = np.pad(g, ((0, 0), (1, 1), (1, 1)), mode="reflect")
-        smooth_v = p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
-        smooth_h = p[:, :, :-2] + 2 * p[:, :, 1:-1] + p[:, :, 2:]
-        gx, gy = smooth_v[:, :, 2:] - smooth_v[:, :, :-2], smooth_h[:, 2:] - smooth_h[:, :-2]
-        yield pd.DataFrame({"flight_id": pdf["flight_id"], "element_id": pdf["element_id"], "edge": np.sqrt(gx * gx + gy * gy).max(axis=(1, 2))})
+    p = np.pad(grey.reshape(-1, 11, 11), ((0, 0), (1, 1), (1, 1)), mode="reflect")
+    smooth_v = p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
+    smooth_h = p[:, :, :-2] + 2 * p[:, :, 1:-1] + p[:, :, 2:]
+    gx, gy = smooth_v[:, :, 2:] - smooth_v[:, :, :-2], smooth_h[:, 2:] - smooth_h[:, :-2]
+    return np.sqrt(gx * gx + gy * gy).max(axis=(1, 2))
+
+
+def _edges(at: DataFrame, tiles: DataFrame, tile_size: int, by: str) -> DataFrame:
+    """(by, element_id, edge) for the places `at` (element_id, frame_id, _pu, _pv) whose patches lie in the picture as a whole.
+
+    Places travel packed to the tiles of their frame; no pixel is sent.
+    """
+    key = [by, "frame_id"]
+    c = packed(at.select(*key, "element_id", "_pu", "_pv"), key, ("element_id", "_pu", "_pv")).withColumn("_kind", F.lit(2))
+    parts = [_pictures(tiles, by), c]
+    names = {n: t for p in parts for n, t in p.dtypes}
+    rows = reduce(DataFrame.unionByName, [p.select(*[F.col(n) if n in p.columns else F.lit(None).cast(t).alias(n) for n, t in names.items()]) for p in parts])
+    kind = dict(at.dtypes)
+    k = np.arange(121)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame, pictures = None, {}
+        for batch in batches:
+            field = batch.schema.field(by)
+            for now, what, lists, i in frames([batch], key):
+                if now != frame:
+                    frame, pictures = now, {}
+                if what == 1:
+                    place, tile = _tile(lists, i)
+                    pictures.setdefault(place, []).append(tile)
+                    continue
+                u, v = lists["_pu"].of(i), lists["_pv"].of(i)
+                for start in range(0, len(u), 1024):
+                    pu, pv = (x[start:start + 1024, None] for x in (u, v))
+                    row, px = _grey(pictures, tile_size, (pu + k % 11 - 5).reshape(-1), (pv + k // 11 - 5).reshape(-1))
+                    grey = np.zeros(len(pu) * 121)
+                    grey[row] = np.floor(0.299 * px[:, 0] + 0.587 * px[:, 1] + 0.114 * px[:, 2] + 0.5)
+                    whole = np.flatnonzero((np.bincount(row, minlength=len(grey)).reshape(-1, 121) == 1).all(axis=1))
+                    if len(whole):
+                        edge = _edge_strength(grey.reshape(-1, 121)[whole])
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(frame[0], field.type), len(whole)), lists["element_id"].whole(i).take(pa.array(start + whole)), pa.array(edge)],
+                                                         names=[by, "element_id", "edge"])
+
+    return by_frame(rows, key, "_kind").mapInArrow(run, f"{by} {kind[by]}, element_id {kind['element_id']}, edge double")
 
 
 def hr_refine(targets: DataFrame, poses: DataFrame, tiles: DataFrame, tile_size: int, threshold: float = 30.0, by: str = FLIGHT) -> DataFrame:
     """Targets with raised confidence where the picture around them holds a strong edge (adds refined).
 
-    A patch is cut from at most four tiles; its 121 pixels are gathered per surfel and measured in vectorised batches.
+    A patch of 11 x 11 pixels is cut from at most four tiles where these lie.
     """
     d = attach(targets, poses.select(by, "frame_id", *R.R_NAMES, *T, "fx", "fy", "cx", "cy", "width", "height"), [by, "frame_id"], "inner")
     pc = C.world_to_camera([F.col(c) for c in XYZ], R.r_cols(), [F.col(t) for t in T])
@@ -332,13 +361,8 @@ def hr_refine(targets: DataFrame, poses: DataFrame, tiles: DataFrame, tile_size:
     d = d.withColumns({"_fu": u, "_fv": v}).filter(C.in_image(F.col("_fu"), F.col("_fv"), F.col("width"), F.col("height")))
     d = d.withColumns({"_pu": F.rint("_fu").cast("long"), "_pv": F.rint("_fv").cast("long")})
     d = d.filter((F.col("_pu") >= 6) & (F.col("_pu") < F.col("width") - 6) & (F.col("_pv") >= 6) & (F.col("_pv") < F.col("height") - 6))
-    px = d.select(by, "frame_id", "element_id", "_pu", "_pv", F.explode(F.sequence(F.lit(0), F.lit(120))).alias("_k"))
-    px = px.withColumns({"_u": F.col("_pu") + F.col("_k") % 11 - 5, "_v": F.col("_pv") + F.floor(F.col("_k") / 11) - 5})
-    px = pixel_lookup(px, tiles, "_u", "_v", tile_size, by)
-    patch = px.groupBy(by, "element_id").agg(F.array_sort(F.collect_list(F.struct("_k", luma().alias("y")))).alias("_p"))
-    patch = patch.filter(F.size("_p") == 121).select(by, "element_id", F.transform("_p", lambda s: s["y"].cast("double")).alias("patch"))
-    edges = patch.mapInPandas(_edge_strength, "flight_id long, element_id long, edge double")
-    out = targets.join(edges.filter(F.col("edge") > threshold).select(by, "element_id", F.lit(True).alias("refined")), [by, "element_id"], "left")
+    sharp = _edges(d, tiles, tile_size, by).filter(F.col("edge") > threshold).select(by, "element_id").distinct()
+    out = targets.join(sharp.withColumn("refined", F.lit(True)), [by, "element_id"], "left")
     hit = F.coalesce("refined", F.lit(False))
     return out.withColumns({"model_confidence": F.when(hit, F.least(F.lit(1.0), F.col("model_confidence") * 1.1)).otherwise(F.col("model_confidence")),
                             "confidence_score": F.when(hit, F.least(F.lit(1.0), F.col("confidence_score") + 0.05)).otherwise(F.col("confidence_score")),

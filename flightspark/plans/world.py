@@ -244,21 +244,27 @@ cte("v_hr", """
 SELECT t.*, f.frame_id FROM h_target t JOIN (SELECT flight_id, element_id, frame_id FROM v_surfel_frames QUALIFY row_number() OVER (PARTITION BY flight_id, element_id ORDER BY (frame_id * 17) % 101 DESC, frame_id) = 1) f USING (flight_id, element_id)""")
 
 
-def _hr_targets(spark, sf_dir):
+def _hr_targets(spark, sf_dir, limit=None):
     frames = v.cams(spark, sf_dir).selectExpr("flight_id", "frame_id", "CAST((frame_id * 17) % 101 AS DOUBLE) AS sharpness")
-    return ev.select_hr_targets(v.surfels(spark, sf_dir), frames, 60)
+    return ev.select_hr_targets(v.surfels(spark, sf_dir), frames, limit)
 
 
 @register("select_hr_targets", "flight_id:i element_id:i frame_id:i", "SELECT flight_id, element_id, frame_id FROM v_hr")
 def _select_hr(spark, sf_dir):
-    return _hr_targets(spark, sf_dir)
+    return _hr_targets(spark, sf_dir, 60)
+
+
+# Refinement looks at all targets.
+cte("v_hr_all", """
+SELECT t.*, f.frame_id FROM v_surfels t JOIN (SELECT flight_id, element_id, frame_id FROM v_surfel_frames QUALIFY row_number() OVER (PARTITION BY flight_id, element_id ORDER BY (frame_id * 17) % 101 DESC, frame_id) = 1) f USING (flight_id, element_id)
+WHERE confidence_level = 'HIGH' AND semantic_class IN ('facade', 'roof', 'building')""")
 
 
 # Sobel kernels over an 11 x 11 patch with mirrored border, as offsets into the patch.
 _SOBEL = """
 WITH p AS (SELECT *, CAST(round_even(15*xc/zc + 16, 0) AS BIGINT) AS pu, CAST(round_even(15*yc/zc + 12, 0) AS BIGINT) AS pv FROM (
   SELECT h.flight_id, h.element_id, h.frame_id, c.r00*(x-tx) + c.r10*(y-ty) + c.r20*(z-tz) AS xc, c.r01*(x-tx) + c.r11*(y-ty) + c.r21*(z-tz) AS yc, c.r02*(x-tx) + c.r12*(y-ty) + c.r22*(z-tz) AS zc
-  FROM v_hr h JOIN v_cams c USING (flight_id, frame_id)) WHERE zc > 1e-4 AND 15*xc/zc + 16 >= 0 AND 15*xc/zc + 16 < 32 AND 15*yc/zc + 12 >= 0 AND 15*yc/zc + 12 < 24),
+  FROM v_hr_all h JOIN v_cams c USING (flight_id, frame_id)) WHERE zc > 1e-4 AND 15*xc/zc + 16 >= 0 AND 15*xc/zc + 16 < 32 AND 15*yc/zc + 12 >= 0 AND 15*yc/zc + 12 < 24),
 q AS (SELECT * FROM p WHERE pu >= 6 AND pu < 26 AND pv >= 6 AND pv < 18),
 o AS (SELECT i.i AS i, j.i AS j FROM (SELECT unnest(range(-1, 12)) AS i) i, (SELECT unnest(range(-1, 12)) AS i) j),
 px AS (SELECT flight_id, element_id, i, j, PIXEL AS y FROM (SELECT q.*, o.i, o.j, pu - 5 + CASE WHEN i = -1 THEN 1 WHEN i = 11 THEN 9 ELSE i END AS uu, pv - 5 + CASE WHEN j = -1 THEN 1 WHEN j = 11 THEN 9 ELSE j END AS vv FROM q, o)),
@@ -266,7 +272,7 @@ gr AS (SELECT c.flight_id, c.element_id, c.i, c.j, sum(n.y * (n.i - c.i) * CASE
   FROM px c JOIN px n ON n.flight_id = c.flight_id AND n.element_id = c.element_id AND abs(n.i - c.i) <= 1 AND abs(n.j - c.j) <= 1 WHERE c.i BETWEEN 0 AND 10 AND c.j BETWEEN 0 AND 10 GROUP BY 1, 2, 3, 4),
 e AS (SELECT flight_id, element_id, max(sqrt(gx*gx + gy*gy)) AS edge FROM gr GROUP BY 1, 2)
 SELECT h.flight_id, h.element_id, coalesce(edge > 700, false) AS refined, CASE WHEN edge > 700 THEN least(1, model_confidence * 1.1) ELSE model_confidence END AS model_confidence,
-  CASE WHEN edge > 700 THEN least(1, confidence_score + 0.05) ELSE confidence_score END AS confidence_score FROM v_hr h LEFT JOIN e USING (flight_id, element_id)"""
+  CASE WHEN edge > 700 THEN least(1, confidence_score + 0.05) ELSE confidence_score END AS confidence_score FROM v_hr_all h LEFT JOIN e USING (flight_id, element_id)"""
 
 
 @register("hr_refine", "flight_id:i element_id:i refined:b model_confidence:5 confidence_score:5", _SOBEL.replace("PIXEL", v.pixel_sql("frame_id", "uu", "vv")))

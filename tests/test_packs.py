@@ -132,3 +132,17 @@ def test_tests_of_views_are_those_of_their_pixels(spark):
     assert got == sorted(want, key=str)
     lit = {(r["frame_id"], r["element_id"]): (r["sr"], r["weight"]) for r in tx.bilinear_sample(c, tiles, 12).collect()}
     assert lit == {(1, 7): (50.0, 1.0), (1, 8): (50.0, 1.0), (2, 7): (100.0, 1.0), (2, 9): (100.0, 1.0), (2, 5): (100.0, 1.0)}
+
+
+def test_all_targets_of_a_flight_are_refined(spark, tmp_path):
+    """More than the sixty a flight that were left of them, from line items that make one confident roof or building each."""
+    from flightspark.plans import views, world
+
+    rows = [(k, 1 + k % 4, (k * 7) % 20, 0.0, 1.0 + 13 * (k % 4), 20.0 + k, 0.01) for k in range(1400)]
+    cols = "l_orderkey long, l_linenumber int, l_partkey long, l_discount double, l_quantity double, l_extendedprice double, l_tax double"
+    spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "lineitem.parquet"))
+    s = views.surfels(spark, str(tmp_path)).filter("confidence_level = 'HIGH' AND semantic_class IN ('facade', 'roof', 'building')")
+    want = {(r.flight_id, r.element_id) for r in s.collect()}
+    got = world._hr_refine(spark, str(tmp_path)).collect()
+    assert len(want) > 61 and {(r.flight_id, r.element_id) for r in got} == want and len(got) == len(want)
+    assert 0 < sum(r.refined for r in got)
