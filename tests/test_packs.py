@@ -146,3 +146,17 @@ def test_all_targets_of_a_flight_are_refined(spark, tmp_path):
     got = world._hr_refine(spark, str(tmp_path)).collect()
     assert len(want) > 61 and {(r.flight_id, r.element_id) for r in got} == want and len(got) == len(want)
     assert 0 < sum(r.refined for r in got)
+
+
+def test_poses_and_points_of_tracks_are_not_sent_to_all_tasks(spark):
+    from flightspark.operators import tracks as tr
+
+    poses = checkpointed(eyes(spark, 20))
+    obs = checkpointed(spark.createDataFrame([(1, t, f, 8.0 + t, 6.0) for t in range(5) for f in range(20)], "flight_id long, track_id long, frame_id long, u double, v double"))
+    posed = tr._posed(tr.filter_tracks(obs, 2, poses), poses)
+    errors = tr._errors(checkpointed(posed), checkpointed(obs.select("flight_id", "track_id").distinct().selectExpr("*", "1D AS x", "1D AS y", "0D AS z")))
+    for d in (posed, errors):
+        d.write.format("noop").mode("overwrite").save()
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert posed.count() == 100 and errors.count() == 100
